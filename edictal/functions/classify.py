@@ -10,18 +10,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from edictal import rules as R
-from edictal.functions.text import any_of, col
+from edictal.functions.text import col
+
+
+SPECIAL = set(r".^$*+?()[]{}\\")
+
+
+def _balanced(parts: list[Column]) -> Column:
+    """OR of many conditions as a shallow tree."""
+    while len(parts) > 1:
+        parts = [a | b for a, b in zip(parts[::2], parts[1::2], strict=False)] + ([parts[-1]] if len(parts) % 2 else [])
+    return parts[0]
 
 
 def has(c: Column | str, words) -> Column:
-    """The text contains one of the words; unknown text contains none."""
-    return F.coalesce(col(c).rlike(any_of(words)), F.lit(False))
+    """The text contains one of the words; unknown text contains none.  Words that contain another of
+    the words add nothing and are not tested."""
+    needed = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    return F.coalesce(_balanced([F.contains(col(c), F.lit(w)) for w in needed]), F.lit(False))
 
 
 def matches(c: Column | str, pattern: str) -> Column:
+    """The pattern is found; a mere list of words is tested without a regular expression."""
+    if not SPECIAL & set(pattern):
+        return has(c, pattern.split("|"))
     return F.coalesce(col(c).rlike(pattern), F.lit(False))
 
 
+def either(c: Column | str, patterns) -> Column:
+    """Any of the patterns: the plain ones by containment, the rest as one alternation."""
+    plain = [p for p in patterns if not SPECIAL & set(p)]
+    rest = [p for p in patterns if SPECIAL & set(p)]
+    parts = ([has(c, plain)] if plain else []) + ([matches(c, "|".join(rest))] if rest else [])
+    return _balanced(parts)
+
+
+def ruled(c: Column | str, name: str, pattern: str | None = None) -> Column:
+    """A closing pattern, tried only where one of its stems occurs."""
+    return has(c, R.STEMS[name]) & matches(c, pattern or name)
+
+
 def chain(*cases: tuple[Column, object], default=None) -> Column:
     """First match wins."""
     out = None
@@ -42,9 +70,9 @@ def scope(text: Column | str, job: Column | str, codes: bool = False) -> Column:
         general = F.arrays_overlap(stated, F.array(*[F.lit(c) for c in R.GENERAL_CODES]))
         rules.append((F.size(stated) > 0, F.when(general, "SI").otherwise("NO")))
     rules += [
-        (matches(text, "|".join(R.OUT_OF_SCOPE)), "NO"),
-        (matches(job, "|".join(R.OUT_OF_SCOPE_JOB)), "NO"),
-        (matches(text, "|".join(R.IN_SCOPE)), "SI"),
+        (either(text, R.OUT_OF_SCOPE), "NO"),
+        (either(job, R.OUT_OF_SCOPE_JOB), "NO"),
+        (either(text, R.IN_SCOPE), "SI"),
     ]
     return chain(*rules, default="REVISION")
 
@@ -92,25 +120,26 @@ def is_pool_type(process_type: Column | str) -> Column:
     return matches(title_key(process_type), "bolsa|borsa")
 
 
-def _final_result(key: Column) -> Column:
-    """Which pattern states a final result, unless it is provisional, partial or revoked."""
-    partial = matches(key, rf"{R.EXERCISE}(?!{R.FISCAL_YEAR})|{R.PARTIAL}")
-    spoiled = partial | matches(key, f"{R.PROVISIONAL}|{R.REVOKED}")
-    first = chain(*[(matches(key, p), f"RESULTADO_FINAL_{i}") for i, p in enumerate(R.FINAL_RESULTS, 1)])
-    return F.when(~spoiled, first)
+def _spoiled(key: Column) -> Column:
+    """A result that is provisional, revoked or only of a part of the process."""
+    exercise = ruled(key, R.EXERCISE, rf"{R.EXERCISE}(?!{R.FISCAL_YEAR})")
+    return ruled(key, R.PROVISIONAL) | ruled(key, R.REVOKED) | exercise | matches(key, R.PARTIAL)
 
 
 def closure_rule(key: Column | str, pool: Column | bool = False) -> Column:
     """Identifier of the rule by which an official title closes a process, null when it does not."""
     key, pool = col(key), pool if isinstance(pool, Column) else F.lit(pool)
-    own = ~matches(key, R.INTERIM)
+    own = ~ruled(key, R.INTERIM)
+    results = [
+        (ruled(key, p) & own & ~pool & ~_spoiled(key), f"RESULTADO_FINAL_{i}") for i, p in enumerate(R.FINAL_RESULTS, 1)
+    ]
     return chain(
-        (matches(key, R.ANNULMENT), "ANULACION_CONVOCATORIA"),
-        (matches(key, R.DESISTANCE), "DESISTIMIENTO_CONVOCATORIA"),
-        (matches(key, rf"{R.FINALISATION}(?!{R.MINOR_STEP})"), "FINALIZACION_PROCESO"),
-        (matches(key, R.VOID), "PROCESO_DESIERTO"),
-        (own & matches(key, R.APPOINTMENT), "NOMBRAMIENTO_O_ADJUDICACION"),
-        (own & ~pool, _final_result(key)),
+        (ruled(key, R.ANNULMENT), "ANULACION_CONVOCATORIA"),
+        (ruled(key, R.DESISTANCE), "DESISTIMIENTO_CONVOCATORIA"),
+        (ruled(key, R.FINALISATION, rf"{R.FINALISATION}(?!{R.MINOR_STEP})"), "FINALIZACION_PROCESO"),
+        (ruled(key, R.VOID), "PROCESO_DESIERTO"),
+        (ruled(key, R.APPOINTMENT) & own, "NOMBRAMIENTO_O_ADJUDICACION"),
+        *results,
     )
 
 
@@ -224,7 +253,7 @@ def call_scope(n_title: Column | str, n_call: Column | str, tolerated=(), profil
         (other, "turno_no_libre"),
         (coded & ~F.exists(codes, lambda x: x.rlike(GENERAL_BODY)), "cuerpo_no_administrativo_general"),
         (special.isNotNull(), special),
-        (coded | matches(title, "|".join(profiles)), F.lit(None).cast("string")),
+        (coded | either(title, profiles), F.lit(None).cast("string")),
         default="sin_perfil_administrativo",
     )
     return F.struct(

@@ -37,21 +37,30 @@ def any_of(words) -> str:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Composed characters and their bases, derived from the Unicode database."""
-    composed, plain = [], []
-    for code in range(0x80, 0xAC00):
+    """Composed characters and their bases, then the combining marks, which have no counterpart and are
+    deleted; derived from the Unicode database."""
+    composed, plain, marks = [], [], []
+    for code in range(0x80, 0xD800):
+        if 0xAC00 <= code <= 0xD7A3:
+            continue
         ch = chr(code)
         base = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
-        if base != ch and len(base) == 1:
+        if base == "":
+            marks.append(ch)
+        elif base != ch and len(base) == 1:
             composed.append(ch)
             plain.append(base)
-    return "".join(composed), "".join(plain)
+    return "".join(composed + marks), "".join(plain)
+
+
+def is_ascii(c: Column | str) -> Column:
+    return F.octet_length(col(c)) == F.char_length(col(c))
 
 
 def unaccent(c: Column | str) -> Column:
-    """Canonical decomposition without the combining marks."""
-    composed, plain = _accents()
-    return F.regexp_replace(F.translate(col(c), composed, plain), r"\p{Mn}", "")
+    """Canonical decomposition without the combining marks, in one pass; plain ASCII is left alone."""
+    c = col(c)
+    return F.when(is_ascii(c), c).otherwise(F.translate(c, *_accents()))
 
 
 def fold(c: Column | str) -> Column:
@@ -104,7 +113,7 @@ def entity_variants(c: Column | str) -> Column:
     visible = visible_entity(c)
     prefix = F.regexp_extract(visible, r"(?i)^(ayuntamiento de\s+)(.+)$", 1)
     name = F.substr(visible, F.length(prefix) + 1)
-    halves = F.filter(F.transform(F.split(name, "/"), F.trim), lambda x: x != "")
+    halves = F.filter(F.transform(F.split(name, "/"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(
         F.transform(F.array_union(F.array(name), halves), lambda x: fold(F.concat(prefix, x)))
     )
@@ -112,7 +121,7 @@ def entity_variants(c: Column | str) -> Column:
 
 def alias_set(c: Column | str) -> Column:
     """Folded forms of a municipality split on ``/``."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(fold(c), "/"), F.trim), ""))
+    return F.array_distinct(F.array_remove(F.transform(F.split(fold(c), "/"), lambda x: F.trim(x)), ""))
 
 
 # Layout residue that card pages append to a stage name.
@@ -167,7 +176,7 @@ WORDING = (
     (r"(?i)\bi\b", "y"),
     (r"(?i)\bd'", "de "),
 )
-RESIDUE = r"(?iu)[àèòçï·]|\b(?:lloc|plaça|per|amb|dels?|les|els|una?|mitjan[cç]ant)\b"
+RESIDUE = r"(?i)[àèòçïÀÈÒÇÏ·]|\b(?:lloc|plaça|per|amb|dels?|les|els|una?|mitjan[cç]ant)\b"
 LONGEST_JOB = 120
 
 
@@ -248,7 +257,7 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 
 def sentences(c: Column | str) -> Column:
     """The trimmed sentences of a text."""
-    return F.transform(F.split(col(c), SENTENCE_END), F.trim)
+    return F.transform(F.split(col(c), SENTENCE_END), lambda x: F.trim(x))
 
 
 def norm_lines(c: Column | str) -> Column:
@@ -290,11 +299,11 @@ IDENTITY = (
 def identity_tokens(c: Column | str) -> Column:
     """``KIND:value`` identifiers, distinct and sorted."""
     text = F.upper(fold(c))
-    found_ = [
-        F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, k=kind: F.concat(F.lit(k + ":"), x))
-        for kind, p in IDENTITY
-    ]
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*found_))))
+
+    def stated(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(kind + ":"), x))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[stated(*rule) for rule in IDENTITY]))))
 
 
 def url_host(c: Column | str) -> Column:
@@ -353,18 +362,38 @@ def repair_mojibake(c: Column | str) -> Column:
     return F.when(_marks(c) > 0, F.coalesce(_reread(c), words)).otherwise(c)
 
 
-# Typographic ligatures that text extraction leaves behind.
-LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+# Glyphs that text extraction of one font family returns for letter pairs.
+GLYPHS = (("Ɵ", "ti"), ("ơ", "tí"), ("İ", "fí"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+UNREADABLE = "\ufffd"
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str]:
+    """Compatibility characters with a one-character normal form, derived from the Unicode database."""
+    odd, plain = [], []
+    for code in range(0x80, 0xFFFE):
+        if 0xAC00 <= code < 0xE000:
+            continue
+        normal = unicodedata.normalize("NFKC", chr(code))
+        if normal != chr(code) and len(normal) == 1:
+            odd.append(chr(code))
+            plain.append(normal)
+    return "".join(odd), "".join(plain)
 
 
 def repair_glyphs(c: Column | str) -> Column:
-    """Ligatures restored."""
-    c = col(c)
-    for bad, good in LIGATURES:
+    """Compatibility characters and ligatures restored."""
+    c = F.translate(col(c), *_compatible())
+    for bad, good in GLYPHS:
         c = F.replace(c, F.lit(bad), F.lit(good))
     return c
 
 
+def readable(c: Column | str) -> Column:
+    """No character was lost in extraction."""
+    return ~F.contains(col(c), F.lit(UNREADABLE))
+
+
 def content_hash(c: Column | str, n: int = 64) -> Column:
     """SHA-256 of the text, cut to ``n`` hexadecimal digits."""
     return F.left(F.sha2(col(c), 256), F.lit(n)) if n < 64 else F.sha2(col(c), 256)

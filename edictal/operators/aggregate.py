@@ -35,21 +35,18 @@ def last_success(runs: DataFrame) -> DataFrame:
 FLOOR_DAYS, CAP_DAYS = 7, 30
 
 
-def window_days(last: Column, as_of: Column, floor: int = FLOOR_DAYS, cap: int = CAP_DAYS) -> Column:
-    """Days to read back, and whether the gap exceeds the cap."""
+def window_days(last: Column, as_of: Column, floor: int = FLOOR_DAYS, cap: int = CAP_DAYS) -> tuple[Column, Column]:
+    """Days to read back, and whether the gap since the last success exceeds the cap."""
     need = F.greatest(F.lit(floor), F.date_diff(as_of, last) + 1)
-    return F.struct(
-        F.when(last.isNull(), floor).otherwise(F.least(F.lit(cap), need)).cast("int").alias("days"),
-        F.coalesce(need > cap, F.lit(False)).alias("exceeded") if last is not None else F.lit(False).alias("exceeded"),
-    )
+    days = F.when(last.isNull(), floor).otherwise(F.least(F.lit(cap), need)).cast("int")
+    return days, last.isNotNull() & (need > cap)
 
 
 def read_windows(runs: DataFrame, as_of: Column, floor: int = FLOOR_DAYS, cap: int = CAP_DAYS) -> DataFrame:
     """Read window of every source seen in the ledger."""
     sources = runs.select("source").distinct().join(last_success(runs), "source", "left")
-    w = window_days(F.col("last_success"), as_of, floor, cap)
-    gap = F.coalesce(F.date_diff(as_of, F.col("last_success")) + 1 > cap, F.lit(False))
-    return sources.select("source", "last_success", w["days"].alias("days"), gap.alias("exceeded"))
+    days, exceeded = window_days(F.col("last_success"), as_of, floor, cap)
+    return sources.select("source", "last_success", days.alias("days"), exceeded.alias("exceeded"))
 
 
 def last_publication(processes: DataFrame, notices: DataFrame) -> DataFrame:

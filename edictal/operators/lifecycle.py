@@ -100,6 +100,28 @@ def reconcile(processes: DataFrame, notices: DataFrame, history: bool = False) -
     )
 
 
+def closing_states(processes: DataFrame, notices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The actions of ``reconcile`` without their evidence, for counting.
+
+    The state of the best evidence is the smallest priority among the closing notices, so two integers
+    per process are all that is aggregated, hashed and shuffled.
+    """
+    priority = chain(*[(F.col("closing_state") == name, p) for name, p in PRIORITY.items()])
+    best = with_rule(notices).groupBy("process_id").agg(
+        F.min(priority).alias("_any"), F.min(F.when(closes_pools("rule"), priority)).alias("_pool")
+    )
+    terminal = is_terminal("state")
+    own = F.coalesce(F.col("closure_origin") == R.OWN_CLOSURE, F.lit(False))
+    candidates = processes.filter(~terminal | own).select(
+        "process_id", *keep, is_pool_type("process_type").alias("_is_pool"), terminal.alias("_closed")
+    )
+    joined = candidates.join(best, "process_id", "left").withColumn("_best", F.when(F.col("_is_pool"), F.col("_pool")).otherwise(F.col("_any")))
+    state = chain(*[(F.col("_best") == p, name) for name, p in PRIORITY.items()], default=R.RUNNING)
+    return joined.filter(F.col("_closed") == F.col("_best").isNull()).select(
+        "process_id", *keep, F.when(F.col("_closed"), "REOPEN").otherwise("CLOSE").alias("action"), state.alias("new_state")
+    )
+
+
 def apply_closures(processes: DataFrame, actions: DataFrame) -> DataFrame:
     """The snapshot after a reconciliation; the guard of U4 keeps closures made meanwhile."""
     act = actions.select("process_id", "action", "new_state")

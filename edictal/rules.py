@@ -68,6 +68,25 @@ PARTIAL = (
     r"|\bpregunta\w*\b|\bexamen\w*\b|\bentrevista\b|\btest\b"
 )
 
+# Words without which a pattern above cannot match; plain containment is far cheaper than a pattern.
+STEMS = {
+    ANNULMENT: ("anul", "sin efecto", "sense efecte"),
+    DESISTANCE: ("desist",),
+    FINALISATION: ("finalizacion", "finalitzacio"),
+    VOID: ("declar",),
+    APPOINTMENT: ("nombramiento", "nomenament", "posesion", "possessio", "adjudicacio"),
+    INTERIM: ("interi",),
+    PROVISIONAL: ("provis",),
+    REVOKED: ("anul", "sin efecto", "sense efecte", "revoca", "suspen"),
+    EXERCISE: ("ejercicio",),
+    FINAL_RESULTS[0]: ("relacio", "lista", "llista"),
+    FINAL_RESULTS[1]: ("propuest",),
+    FINAL_RESULTS[2]: ("proposta",),
+    FINAL_RESULTS[3]: ("propuesta de nombramiento", "proposta de nomenament"),
+    FINAL_RESULTS[4]: ("proceso selecti", "proces selecti"),
+    FINAL_RESULTS[5]: ("resultado final", "resultat final", "final del proc"),
+}
+
 # --- C6: structured state labels --------------------------------------------------------------------
 LABELS = (
     (ANNULLED, "anulad[oa]|anullat|anullada|anul lat|anul lada"),

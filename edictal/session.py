@@ -10,13 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
+# Runtime settings of the session the jobs run in.  Long rule chains compile to methods beyond the 8000
+# bytecodes HotSpot will compile; past that limit Spark splits them into smaller ones instead.
+RUNTIME = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A single-node session for tests and the bench; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("edictal")
@@ -28,7 +42,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

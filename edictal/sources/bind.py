@@ -239,7 +239,38 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Texts of calls; {d}, {month}, {year} the call date, {dmy} and {later} numeric dates.
+BODIES = (
+    "Resolución de {d} de {month} de {year}, del Ayuntamiento, referente a la convocatoria para proveer varias plazas. En el «Boletín Oficial de la Provincia de Valencia» número {n}, de {d} de {month} de {year}, se han publicado las bases. {n} plazas de {name}, perteneciente a la escala de Administración General, subescala Administrativa, por el sistema de oposición, en turno libre. El plazo de presentación de solicitudes será de veinte días hábiles.",
+    "Resolución de {d} de {month} de {year}, que deja sin efecto la de 3 de marzo de {year}. Contiene además la convocatoria 7/{year} de tres plazas de administrativo, por el sistema de concurso, por turno de promoción interna. Las solicitudes se presentarán en el registro.",
+    "Corrección de errores de la de {d} de {month} de {year}. Plazo para presentar solicitudes: diez días. Expediente num. 12/{year}.",
+    "Tabla: GRUPO SUBGRUPO SUBESCALA N.º VACANTES DENOMINACIÓN C C1 administrativa {n} C C1 auxiliar 2 fin. Subgrupo: C1.",
+    "Grupo/Subgrupo: C/C2. Escala de Administración General, subescala auxiliar. Una plaza de {name}. Convocatoria: {n}/24.",
+    "Clasificación: grupo A, subgrupo A1, administración general, subescala técnica de clase media; {n} plazas por turno libre y 4 por promoción interna.",
+    "Escala: Administración Especial, clase técnico medio. Bolsas: 241, 332-B, {n}-L. Bolsa clonada 1013B. Borsa 444. Siguientes bolsas:\n 112-B. Uno\n 113-L. Dos\n",
+    "Etapa actual: Bases y apertura de plazo Etapa actual: Listado provisional Fase: Bolsa en funcionamiento Plazo: Desde el {dmy} hasta el {later} Forma de presentación. Núm. de plazas totales 1.{n}",
+    "PLAZO PRESENTACIÓN: Hasta el {d} de {month} de {year} a las 23:59. Publicado {later} y {dmy}. Selección de dos plazas de administrativo, grupo C1/C2. Subescala técnica o auxiliar de administración general.",
+    "Texto sin fecha 31/02/2026 ni plazas.\r\n\r\nCódigo de convocatoria: ab-12/{year}.",
+)
+MONTH_NAMES = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+
+
+def bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Text of the call of every process."""
+    day = F.col("call_date")
+    text = pick(BODIES, F.col("process_id") % len(BODIES))
+    slots = (
+        ("{dmy}", F.date_format(day, "dd-MM-yyyy")), ("{later}", F.date_format(F.date_add(day, 20), "dd/MM/yyyy")),
+        ("{d}", F.dayofmonth(day).cast("string")), ("{month}", pick(MONTH_NAMES, F.month(day) - 1)),
+        ("{year}", F.year(day).cast("string")), ("{n}", (F.col("process_id") % 89 + 10).cast("string")), ("{name}", F.col("name")),
+    )
+    for slot, value in slots:
+        text = F.replace(text, F.lit(slot), value)
+    return processes(spark, path).select("process_id", "agency_id", "name", "process_type", "shift", "places", "call_date", text.alias("body"))
+
+
 VIEWS = {
+    "bodies": bodies,
     "agencies": agencies, "sources": sources, "notices": notices, "processes": processes,
     "changes": changes, "subscriptions": subscriptions, "readings": readings, "runs": runs,
 }

@@ -11,9 +11,24 @@ from edictal.functions.text import name_keys
 from edictal.schemas import MUNICIPALITIES, TABLES
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer partitions than cores.
+
+    A small file of one row group is one task, however costly the expressions on it.  A large table has
+    more partitions than the cluster has cores and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Tables that hold texts or facts; the others are dimensions.
+FACTS = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table by its declared schema; columns and filters are pruned by the scan."""
-    return spark.read.schema(TABLES[name]).parquet(os.path.join(path, f"{name}.parquet"))
+    df = spark.read.schema(TABLES[name]).parquet(os.path.join(path, f"{name}.parquet"))
+    return spread(df) if name in FACTS else df
 
 
 def seed(dim: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ the column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictal import rules as R
@@ -235,10 +235,15 @@ def pool_exclusion(n_title: Column | str, n_card: Column | str) -> Column:
 
 # Body codes, specialisms tolerated in the superior body and profiles without a code.
 CALL_CODE = r"\b([abc][12]-\d{2}(?:-[a-z0-9]{2,5})*)\b"
+TOLERATED = ("especialidad_apt", "especialidad_fondos_europeos")
+PORTAL_PROFILES = (
+    r"\bsuperior de administracion\b", r"\bcuerpo administrativo\b", r"\bcuerpo auxiliar\b", r"\badministrativ[oa]\b",
+    r"\bauxiliar administrativ[oa]\b",
+)
 GENERAL_BODY = r"^(?:a1|a2|c1|c2)-01(?:-[a-z0-9]+)*$"
 
 
-def call_scope(n_title: Column | str, n_call: Column | str, tolerated=(), profiles=R.IN_SCOPE) -> Column:
+def call_scope(n_title: Column | str, n_call: Column | str, tolerated=TOLERATED, profiles=PORTAL_PROFILES) -> Column:
     """Whether an open call is general administration, with the reason, codes and shift."""
     title = col(n_title)
     codes = F.array_sort(F.array_distinct(F.regexp_extract_all(title, F.lit(CALL_CODE), F.lit(1))))
@@ -349,3 +354,127 @@ def term_state(n_header: Column | str) -> Column:
 def is_application_stage(n_stage: Column | str) -> Column:
     """Only these stages carry the application term."""
     return has(n_stage, R.APPLICATION_STAGES)
+
+
+def visible_to(df: DataFrame, entitled: DataFrame, user: str = "user_id", private: str = "private") -> DataFrame:
+    """Rows a user may see: the restricted category only for entitled users."""
+    may = entitled.select(user).distinct().withColumn("_may", F.lit(True))
+    return df.join(may, user, "left").filter(~F.col(private) | F.coalesce("_may", F.lit(False))).drop("_may")
+
+
+# The start of a maintenance page, in both languages.
+OUT_OF_SERVICE = r"(?i)^[^\p{L}\p{N}_]*aplicaci(?:[oó]n\s+fuera\s+de\s+servicio|[oó]\s+fora\s+de\s+servei)"
+
+
+def is_maintenance(html: Column | str) -> Column:
+    """The visible text of a page opens with the maintenance notice."""
+    from edictal.functions.text import html_text
+
+    said = matches(html, r"(?i)fuera\s+de\s+servicio|fora\s+de\s+servei")
+    return said & matches(html_text(html), OUT_OF_SERVICE)
+
+
+# Vocabulary of a manual correction.
+GROUPS, SUBGROUPS = ("A", "B", "C", "D", "E"), ("A1", "A2", "B", "C1", "C2", "D", "E")
+SCALES = ("administración general", "administracion general", "administración especial", "administracion especial")
+
+
+def validate_correction(grp, subgroup, scale, opens, closes, evidence) -> Column:
+    """Codes of what is wrong with a manual correction, none when it can be saved."""
+    def given(c) -> Column:
+        return F.nullif(F.trim(col(c)), F.lit(""))
+
+    g, s, sc = F.upper(given(grp)), F.upper(given(subgroup)), F.lower(given(scale))
+    o, c = col(opens), col(closes)
+    bad = (
+        (~F.coalesce(F.trim(col(evidence)).rlike(r"^https?://[^/\s]+"), F.lit(False)), "EVIDENCE"),
+        (~g.isin(*GROUPS), "GROUP"),
+        (~s.isin(*SUBGROUPS), "SUBGROUP"),
+        (F.left(s, F.lit(1)) != g, "INCOHERENT"),
+        (~sc.isin(*SCALES), "SCALE"),
+        (o.isNull() != c.isNull(), "ONE_DATE"),
+        (o > c, "DATE_ORDER"),
+    )
+    return F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.lit(code)) for wrong, code in bad]))
+
+
+# Routes of access of the state portal and what they imply; agencies it belongs to or not.
+ROUTES = {
+    "INGRESO_LIBRE": ("Oposición", "TURNO_LIBRE"),
+    "INTERINIDAD": ("Bolsa de trabajo", "TURNO_LIBRE"),
+    "CONTRATACION_FIJA": ("Contratación laboral indefinida", "TURNO_LIBRE"),
+}
+OWN_AGENCY = (
+    "generalitat valenciana", "presidencia de la generalitat", "vicepresidencia", "conselleria", "labora",
+    "agencia valenciana", "agencia tributaria valenciana", "institut valencia", "instituto valenciano",
+)
+FOREIGN_AGENCY = ("universitat", "universidad", "ayuntamiento", "ajuntament", "diputacion", "diputacio")
+
+
+def route_defaults(route: Column | str) -> Column:
+    """Process type and shift implied by a route of access."""
+    route = col(route)
+    return F.struct(
+        chain(*[(route == r, kind) for r, (kind, _) in ROUTES.items()]).alias("kind"),
+        chain(*[(route == r, shift) for r, (_, shift) in ROUTES.items()]).alias("shift"),
+    )
+
+
+def portal_decision(n_title, n_text, n_agency, route, own=OWN_AGENCY, foreign=FOREIGN_AGENCY, profiles=PORTAL_PROFILES) -> Column:
+    """C17: whether a portal card is an opportunity, with the reason: codes in the text prevail over the
+    title; then the agency, then the route of access."""
+    stated = F.array_sort(F.array_distinct(F.regexp_extract_all(col(n_text), F.lit(r"\b([a-c]\d-\d{2}(?:-[a-z0-9]+)*)\b"), F.lit(1))))
+    codes = F.array_intersect(stated, F.array(*[F.lit(c) for c in R.GENERAL_CODES]))
+    general = F.when(F.size(stated) > 0, F.size(codes) > 0).otherwise(either(n_title, profiles))
+    agency = chain((has(n_agency, foreign), "NO"), (has(n_agency, own), "SI"), default="REVISION")
+    reason = chain(
+        (general & (agency == "SI") & col(route).isin(*ROUTES), "incluida"),
+        (col(route) == "PROMOCION_INTERNA", "promocion_interna"),
+        (~general, "fuera_ambito_administrativo"),
+        (agency == "NO", "organismo_excluido"),
+        (agency == "REVISION", "organismo_revision"),
+        default="via_no_incluida",
+    )
+    return F.struct(
+        (reason == "incluida").alias("included"), reason.alias("reason"),
+        F.array_join(F.transform(codes, lambda x: F.upper(x)), ",").alias("codes"), agency.alias("agency"),
+    )
+
+
+def of_agency_type(df: DataFrame, header: str, kind: str) -> DataFrame:
+    """Rows whose header names an agency of one kind."""
+    from edictal.functions.text import fold
+
+    n = fold(header)
+    county = has(n, ("diputacion provincial", "diputacio provincial", "diputacion de alicante"))
+    found = chain((county, "DIPUTACION"), (has(n, ("ayuntamiento", "ajuntament")), "AYUNTAMIENTO"), default="OTRO")
+    return df.filter(found == kind)
+
+
+# Scope of a city portal, shifts it excludes and words of a finished process.
+CITY_RULES = {
+    "in": (
+        r"\badministrativ[oa]/?a?\b", r"\baux(?:iliar)?\.?\s+administrativ[oa]/?a?\b",
+        r"tecnic[oa]/?a?\s+(?:de\s+)?administracion\s+general", r"tecnic[oa]/?a?\s+gestion\s+administracion\s+general",
+        r"gestio[nó]\s+administracio[nó]\s+general",
+    ),
+    "out": (
+        r"promocion\s+interna", r"provision\s+definitiva", r"libre\s+designacion",
+        r"concurso\s+de\s+meritos\s+para\s+(?:la\s+)?provision\s+de\s+(?:un|dos|\d+)\s+puesto",
+    ),
+    "shifts": ("promocion interna", "promocion_interna", "movilidad", "promocion interadministrativa"),
+    "final": (
+        "propuesta nombramiento", "propuesta de nombramiento", "nombramiento como personal", "aspirante definitivo",
+        "constitucion de bolsa de trabajo", "finalizado",
+    ),
+}
+
+
+def local_decision(n_name, n_shift, n_text, rules: dict = CITY_RULES) -> Column:
+    """Scope, end and opportunity by the rules of one local portal."""
+    inside = ~either(n_name, rules["out"]) & either(n_name, rules["in"])
+    finished = has(n_text, rules["final"])
+    return F.struct(
+        inside.alias("in_scope"), finished.alias("finished"),
+        (inside & ~has(n_shift, rules["shifts"]) & ~finished).alias("opportunity"),
+    )

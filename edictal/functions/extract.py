@@ -462,8 +462,7 @@ def application_stages(stages: Column, k: int = 3) -> Column:
     ``stages`` is an array of structs with ``name`` (folded), ``published`` and ``stage_id``.
     """
     opening = F.filter(stages, lambda s: s["name"].rlike(R.OPENING_STAGES))
-    keyed = F.transform(opening, lambda s: F.struct(s["published"].isNull(), s["published"], s["stage_id"], s["name"]))
-    ordered = F.transform(
-        F.array_sort(keyed), lambda s: F.struct(s["col3"].alias("stage_id"), s["name"].alias("name"), s["published"].alias("published"))
+    keyed = F.transform(
+        opening, lambda s: F.struct(s["published"].isNull().alias("undated"), s["published"].alias("published"), s["stage_id"].alias("stage_id"), s["name"].alias("name"))
     )
-    return F.slice(ordered, 1, k)
+    return F.slice(F.array_sort(keyed), 1, k)

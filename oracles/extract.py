@@ -108,7 +108,7 @@ POOLS = f"""
         SELECT process_id, replace(upper(unnest(regexp_extract_all(n, {q(X.POOL)}, 1))), ' ', '') AS ref FROM f
         UNION SELECT process_id, regexp_replace(upper(unnest(regexp_extract_all(n, {q(X.CLONED)}, 1))), '^(\\d+)-?([BL])$', '\\1-\\2') FROM f
         UNION SELECT process_id, replace(upper(unnest(regexp_extract_all(b, {q(X.POOL_REF)}, 0))), ' ', '') FROM (SELECT process_id, unnest(regexp_extract_all(n, {q(X.POOL_LIST)}, 1)) AS b FROM f)
-        UNION SELECT process_id, upper({got('line', _LINE)}) FROM (SELECT process_id, unnest(string_split(left(t, 6000), chr(10))) AS line FROM (SELECT process_id, unnest(list_slice(string_split_regex(n, {q(X.POOL_MARK)}), 2, NULL)) AS t FROM f)) WHERE {hit('line', _LINE)})
+        UNION SELECT process_id, upper({got('line', _LINE)}) FROM (SELECT process_id, unnest(string_split(left(t, 6000), chr(10))) AS line FROM (SELECT process_id, unnest((string_split_regex(n, {q(X.POOL_MARK)}))[2:]) AS t FROM f)) WHERE {hit('line', _LINE)})
 """
 _STAGE_ALONE = rf"(?i)Etapa actual\s*:\s*(.+?)\s*\b{X.STAGE_END}"
 

@@ -158,6 +158,12 @@ def neighbourhood(dates: DataFrame, day: str, days: int = 5) -> DataFrame:
     return seeds.select(F.explode(F.sequence(F.date_sub(day, days), F.date_add(day, days))).alias("day")).distinct()
 
 
+def recent(day: Column | str, as_of: Column, days: int | None = None, months: int | None = None) -> Column:
+    """Within the last days or months before a date."""
+    day = F.col(day) if isinstance(day, str) else day
+    return day >= (F.date_sub(as_of, days) if days is not None else F.add_months(as_of, -months))
+
+
 # --- order and limit ----------------------------------------------------------------------------------------
 
 def clamp(n: int, most: int = 200) -> int:

@@ -211,9 +211,12 @@ def document_type(title: Column | str, text: Column | str) -> Column:
     )
 
 
-def is_employment(n: Column | str, key: Column | str) -> Column:
-    """C14: unmistakably public employment: exclusions first, then closing acts, then the vocabulary."""
-    terminal = has(n, R.TERMINAL_WORDS) | closure_rule(key).isNotNull()
+def is_employment(n: Column | str, rule: Column | str) -> Column:
+    """C14: unmistakably public employment: exclusions first, then closing acts, then the vocabulary.
+
+    ``rule`` is the closing rule of the title (C5), which callers have at hand.
+    """
+    terminal = has(n, R.TERMINAL_WORDS) | col(rule).isNotNull()
     return ~has(n, R.NOT_EMPLOYMENT) & (terminal | has(n, R.EMPLOYMENT))
 
 

@@ -94,9 +94,10 @@ def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame)
     ``notices``: notice_id, stable_id, ref, source_id, url, title, body, published; ``processes``:
     process_id, stable_id, process_type; ``stored``: ref, source_id, url.
     """
-    staged = notices.withColumns({"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")})
-    base = C.is_founding("_n", "_b")
-    ruled = staged.withColumns({"_base": base, "_rule": C.closure_rule("_k"), "_employment": C.is_employment("_n", "_k")})
+    fields = ("notice_id", "stable_id", "ref", "source_id", "url", "title", "body", "published")
+    staged = notices.select(*fields).withColumns({"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")})
+    ruled = staged.withColumn("_rule", C.closure_rule("_k"))
+    ruled = ruled.withColumns({"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")})
     known = processes.select("stable_id", "process_id", C.is_pool_type("process_type").alias("_pool"))
     done = stored.select("ref", "source_id", "url").distinct().withColumn("_done", F.lit(True))
     created = W.first_by(ruled.filter("_employment AND _base"), ["stable_id"], [F.col("published").asc_nulls_last(), F.col("notice_id")])
@@ -169,10 +170,9 @@ def syllabus(documents: DataFrame, k: int = 12) -> DataFrame:
     the map side before any text is read.
     """
     ranked = W.rank_sources(documents, k).withColumn("_text", T.repair_glyphs("text")).filter(T.readable("_text"))
-    keyed = ranked.withColumn("_id", F.concat_ws("|", "process_id", "notice_id"))
-    blocks = line_block(keyed, "_id", "_text").filter(F.col("block").isNotNull())
-    found = keyed.select("_id", "process_id", "notice_id", "rank").join(blocks, "_id")
-    best = found.groupBy("process_id").agg(F.min_by(F.struct("notice_id", "block"), "rank").alias("b"))
+    blocks = line_block(ranked, ["process_id", "notice_id", "rank"], "_text")
+    usable = F.when(F.col("block").isNotNull(), F.col("rank"))
+    best = blocks.groupBy("process_id").agg(F.min_by(F.struct("notice_id", "block"), usable).alias("b")).filter(F.col("b").isNotNull())
     return best.select("process_id", F.col("b.notice_id").alias("notice_id"), F.col("b.block").alias("block"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from edictal import rules as R
 from edictal.functions import classify as C
 from edictal.functions import text as T
+from edictal.operators.lifecycle import with_rule
 from edictal.queries.common import staged, text_of, view
 
 
@@ -27,6 +28,11 @@ def scope_document(spark, path):
     return best.select("process_id", C.scope_document(F.array(C.chain((F.col("best") == 2, "SI"), (F.col("best") == 1, "REVISION"), default="NO"))).alias("scope"))
 
 
+def is_employment(spark, path):
+    df = with_rule(view(spark, path, "notices")).withColumn("nt", T.fold("title"))
+    return df.select("notice_id", C.is_employment("nt", "rule").alias("employment"))
+
+
 def mentions_town(spark, path):
     p = view(spark, path, "bodies").join(view(spark, path, "agencies").select("agency_id", "agency_name"), "agency_id")
     text = F.concat_ws(" ", "body", F.when(F.col("process_id") % 2 == 0, F.col("agency_name")))
@@ -75,7 +81,7 @@ QUERIES = {
     "is_founding": staged("notices", "notice_id", lambda: {"nt": F.when(F.col("n") > 10, T.fold("title")), "nb": T.fold("title")}, founding=lambda: C.is_founding("nt", "nb")),
     "family": staged("notices", "notice_id", nt, by_title=lambda: C.family("nt", R.FAMILIES_TITLE), by_call=lambda: C.family("nt"), collision=lambda: C.family("nt", R.FAMILIES_COLLISION)),
     "document_type": staged("bodies", "process_id", dict, kind=lambda: C.document_type("name", "body")),
-    "is_employment": staged("notices", "notice_id", lambda: {"nt": T.fold("title"), "k": T.title_key("title")}, employment=lambda: C.is_employment("nt", "k")),
+    "is_employment": is_employment,
     "pool_exclusion": staged("bodies", "process_id", lambda: {"n": T.fold("body"), **nn()}, reason=lambda: C.pool_exclusion("nn", "n"), specialism=lambda: C.specialism("n")),
     "call_scope": staged(
         "notices", "notice_id", lambda: {"nt": T.fold("title"), "nk": T.fold("kind")},

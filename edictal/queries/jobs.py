@@ -1 +1,130 @@
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from edictal.plans import jobs as J
+from edictal.queries.catalogue import as_of, cal, parts
+from edictal.queries.common import day, view
+from edictal.queries.match import owned
+
+PROVINCES = ("AFRICA", "AMERICA", "ASIA")
+
+
+def calls(spark, path):
+    """A call per notice, its entity and province those of its process."""
+    n = view(spark, path, "notices")
+    o = owned(spark, path).select("process_id", "town", "province", F.col("name").alias("job"), "call_date", "shift")
+    k = F.col("n")
+    return n.join(o, "process_id").select(
+        F.col("notice_id").alias("call_id"), F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"),
+        F.when(k % 11 == 0, "ANULACION").when(k % 13 == 0, "RECTIFICACION").otherwise("CONVOCATORIA").alias("document_type"),
+        F.concat(F.lit("Ayuntamiento de "), "town").alias("entity"), "province", "job", F.when(k % 3 != 0, k % 31).alias("places"),
+        F.when(k % 17 == 0, "Promoción interna").otherwise("libre").alias("shift"), F.when(k % 2 == 0, F.col("call_date")).otherwise(F.col("published")).alias("base_date"),
+        F.date_add("call_date", 45).alias("cited"), F.col("title").alias("text"),
+    ).dropDuplicates(["call_id"])
+
+
+def resolutions(spark, path):
+    n = view(spark, path, "notices").filter(F.col("source_id") % 3 == 1).select("process_id", F.col("published").alias("resolved"))
+    o = owned(spark, path).select("process_id", F.concat(F.lit("Ayuntamiento de "), F.split_part("town", F.lit("/"), F.lit(1))).alias("agency_name"), "province")
+    return n.join(o, "process_id")
+
+
+def agencies(spark, path):
+    return view(spark, path, "agencies").withColumn("agency_name", F.concat(F.lit("Ayuntamiento de "), F.split_part("town", F.lit("/"), F.lit(2))))
+
+
+def stable(spark, path):
+    n = view(spark, path, "notices")
+    known = n.filter(F.col("kind") == "BASES").groupBy("process_id").agg(F.min("notice_id").alias("m"))
+    return view(spark, path, "processes").join(known, "process_id", "left").withColumn("stable_id", F.concat(F.lit("BOELOCAL:"), "m"))
+
+
+def import_calls(spark, path):
+    n = view(spark, path, "notices")
+    stored = n.filter(F.col("n") == 7).select(F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"))
+    absorbed = n.filter(F.col("n") == 9).select(F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"))
+    return J.import_calls(calls(spark, path), stable(spark, path), agencies(spark, path), resolutions(spark, path), stored, absorbed, PROVINCES)
+
+
+def bulletin(spark, path):
+    n = view(spark, path, "notices").dropDuplicates(["notice_id"])
+    # Two thirds of the notices state a code of their own that no stored process has.
+    code = F.concat(F.when(F.col("process_id") % 3 == 0, "D:").otherwise("N:"), F.col("process_id"))
+    return n.withColumn("stable_id", code).withColumn("body", F.lit("")), view(spark, path, "processes").withColumn("stable_id", F.concat(F.lit("D:"), "process_id"))
+
+
+def import_notices(spark, path):
+    n, p = bulletin(spark, path)
+    stored = view(spark, path, "notices").filter(F.col("published") < F.lit("1998-01-01").cast("date"))
+    return J.import_notices(n, p, stored)
+
+
+def texts(spark, path):
+    b = view(spark, path, "bodies").join(view(spark, path, "agencies").select("agency_id", "agency_name"), "agency_id")
+    call = F.when(F.col("process_id") % 3 == 0, F.col("body"))
+    doc = F.when(F.col("process_id") % 2 == 0, F.concat_ws(" ", "body", "agency_name")).otherwise(F.col("body"))
+    return b.select("process_id", call.alias("call_text"), F.regexp_replace(doc, r" \(Sede\)$", "").alias("document"))
+
+
+def group_pipeline(spark, path):
+    p = owned(spark, path).select("process_id", "name", F.regexp_replace("agency_name", r" \(Sede\)$", "").alias("agency_name"), F.when(F.col("process_id") % 7 == 0, "A").alias("grp"), F.when(F.col("process_id") % 7 == 0, "A1").otherwise(" ").alias("subgroup"))
+    return J.group_pipeline(p, texts(spark, path))
+
+
+def group_declared(spark, path):
+    p = owned(spark, path).select("process_id", "name", "agency_name", F.lit(None).cast("string").alias("grp"), F.lit("").alias("subgroup"))
+    return J.group_pipeline(p, texts(spark, path), declared=True).select("process_id", "subgroup", "origin")
+
+
+def clean_titles(spark, path):
+    p = view(spark, path, "notices").select(F.col("notice_id").alias("process_id"), F.col("title").alias("name"), F.when(F.col("n") % 2 == 0, F.col("n")).alias("places"))
+    return J.clean_titles(p)
+
+
+def syllabus_blocks(spark, path):
+    from edictal.queries.text import syllabus_text
+
+    n = view(spark, path, "notices").dropDuplicates(["notice_id"])
+    b = view(spark, path, "bodies").select("process_id", "body")
+    docs = n.join(b, "process_id").withColumn("text", syllabus_text())
+    return J.syllabus(docs)
+
+
+def syllabus(spark, path):
+    return syllabus_blocks(spark, path)
+
+
+def topics(spark, path):
+    return J.topics(syllabus_blocks(spark, path))
+
+
+def quality(spark, path):
+    p, a, n, s = parts(spark, path)
+    return J.quality(p.filter(F.col("state") != "EN_CURSO"), n, s.filter("active"), a.filter("active"), view(spark, path, "changes"))
+
+
+def cycle(spark, path, history=False):
+    p, a, n, s = parts(spark, path)
+    tables = {"processes": p, "agencies": a, "notices": n, "sources": s, "texts": texts(spark, path), "events": n.filter(F.col("kind") == "convocatoria").select("process_id")}
+    return J.run_cycle(tables, cal(spark), as_of(), history)
+
+
+def cycle_summary(spark, path):
+    return J.cycle_summary(cycle(spark, path))
+
+
+def cycle_snapshot(spark, path):
+    out = cycle(spark, path)["snapshot"]
+    return out.select("process_id", "state", "closure_origin", day("opens").alias("opens"), day("closes").alias("closes"))
+
+
+def review_cycle(spark, path):
+    n, p = bulletin(spark, path)
+    stored = view(spark, path, "notices").filter(F.col("published") < F.lit("1998-01-01").cast("date"))
+    return J.review_cycle(calls(spark, path), n, stable(spark, path).drop("m").withColumn("stable_id", F.coalesce("stable_id", F.concat(F.lit("D:"), "process_id"))), agencies(spark, path), resolutions(spark, path), stored, PROVINCES)
+
+
+QUERIES = {f.__name__: f for f in (
+    import_calls, import_notices, group_pipeline, group_declared, clean_titles, syllabus, topics, quality, cycle_summary, cycle_snapshot, review_cycle,
+)}

@@ -50,13 +50,16 @@ def segment_records(spark, path):
     return segment_records(pages, "page", "text")
 
 
+def syllabus_text():
+    return F.concat(
+        F.lit("PREÁMBULO\nTEMARIO: parte primera\n"), "body", F.lit("\nTema 1. La Constitución\nTema 2. El acto administrativo\nBASES\nfin")
+    )
+
+
 def line_block(spark, path):
     from edictal.sources.feeds import line_block
 
-    text = F.concat(
-        F.lit("PREÁMBULO\nTEMARIO: parte primera\n"), "body", F.lit("\nTema 1. La Constitución\nTema 2. El acto administrativo\nBASES\nfin")
-    )
-    return line_block(view(spark, path, "bodies").select("process_id", text.alias("text")), "process_id", "text")
+    return line_block(view(spark, path, "bodies").select("process_id", syllabus_text().alias("text")), ["process_id"], "text")
 
 
 def code_block(spark, path):

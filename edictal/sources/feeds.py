@@ -65,13 +65,13 @@ def _block(lines: Column, start: Column, end: Column) -> Column:
     return F.when(start.isNotNull() & (F.length(text) >= SMALLEST_BLOCK), text)
 
 
-def line_block(df: DataFrame, key: str, text: str) -> DataFrame:
+def line_block(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """From the first opening line to the first closing line at least three lines later."""
-    lines = df.select(key, F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n").alias("_l"))
+    lines = df.select(*keys, F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n").alias("_l"))
     start = _first(F.transform("_l", lambda x: x.rlike(BLOCK_START)), F.lit(-1))
     placed = lines.withColumn("_s", start)
     end = _first(F.transform("_l", lambda x: x.rlike(BLOCK_END)), F.col("_s") + SMALLEST_GAP - 1)
-    return placed.withColumn("_e", end).select(key, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
+    return placed.withColumn("_e", end).select(*keys, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
 
 
 def code_block(df: DataFrame, key: str, text: str, code: str) -> DataFrame:

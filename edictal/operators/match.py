@@ -16,6 +16,7 @@ from edictal.functions import classify as C
 from edictal.functions import extract as X
 from edictal.functions import text as T
 from edictal.operators.windows import top_by
+from edictal.session import stage
 
 
 def status(low: Column, high: Column) -> Column:
@@ -203,7 +204,7 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
     need = F.when(C.has("_n", C.RESERVE), "RESERVE").when(
         C.matches("_n", r"\b(?:turno|torn)\s+(?:libre|lliure)\b"), "OPEN"
     ).otherwise("ANY")
-    probe = n.withColumn("_need", need).withColumn("_words", _word_set("_n", R.STOPWORDS_FOLLOW_UP)).drop("_n")
+    probe = stage(n.withColumn("_need", need).withColumn("_words", _word_set("_n", R.STOPWORDS_FOLLOW_UP)).drop("_n"))
 
     p = processes.withColumn("_s", T.fold(F.coalesce("shift", F.lit("")))).withColumn("_p", T.fold("name"))
     gives = F.when(C.has("_s", C.RESERVE), "RESERVE").when(C.has("_s", ("libre", "lliure")), "OPEN").otherwise("OTHER")
@@ -214,6 +215,7 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
         .groupBy("_town", "_gives", "_pwords")
         .agg(F.min("process_id").alias("_l"), F.max("process_id").alias("_h"))
     )
+    sets = stage(sets)
     # Which candidates a need admits: the same shift, or any.
     offers = sets.withColumn("_need", F.explode(F.array(F.lit("ANY"), F.col("_gives"))))
     pool = offers.groupBy("_town", "_need").agg(F.min("_l").alias("_low"), F.max("_h").alias("_high"))
@@ -269,6 +271,7 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
         .withColumn("_pwords", _word_set("_p", R.STOPWORDS_BASES, R.TOKEN_ALIAS))
         .drop("_p")
     )
+    p = stage(p)
     asked = p.select(F.col("base_date").alias("_day"), "_entity", "_ewords", "_pwords").distinct().withColumn(
         "_w", F.coalesce(F.array_min("_ewords"), F.lit(""))
     )

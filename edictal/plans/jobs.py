@@ -20,6 +20,7 @@ from edictal.operators import match as M
 from edictal.operators import windows as W
 from edictal.plans import catalogue as Q
 from edictal.plans import follow as Fo
+from edictal.session import stage
 from edictal.sources.feeds import line_block
 
 # Provinces whose notices are imported.
@@ -36,7 +37,10 @@ def import_calls(
     cited, text; ``processes``: process_id, stable_id, agency_id, name, call_date, places, scope;
     ``resolutions``: see ``match_document_event``; ``stored``: document_id of stored notices.
     """
-    df = calls.withColumn("_family", C.family(T.fold("job")))
+    # Five lookups read the calls: they are written once with what the text rules say of them.
+    df = calls.withColumns({"_nj": T.fold(F.coalesce("job", F.lit(""))), "_nt": T.fold(F.concat_ws(" ", "job", "text"))})
+    df = df.withColumns({"_family": C.family("_nj"), "_scope": C.scope("_nt", "_nj")}).drop("_nj", "_nt", "text")
+    df = stage(df)
     act = F.coalesce(F.col("document_type").isin("RECTIFICACION", "ANULACION"), F.lit(False))
     events = M.match_document_event(df.filter(act).select("document_id", "entity", "province", "cited").distinct(), resolutions)
     df = df.join(events.select("document_id", F.col("match_id").alias("_event")).dropDuplicates(["document_id"]), "document_id", "left")
@@ -64,8 +68,6 @@ def import_calls(
     known = processes.select(F.col("stable_id").alias("_stable"), F.col("process_id").alias("_known")).dropDuplicates(["_stable"])
     df = df.join(known, F.concat(F.lit("BOELOCAL:"), "call_id") == F.col("_stable"), "left")
 
-    n_job, n_text = T.fold(F.coalesce("job", F.lit(""))), T.fold(F.concat_ws(" ", "job", "text"))
-    staged = df.withColumns({"_nj": n_job, "_nt": n_text})
     yes = lambda c: F.coalesce(c, F.lit(False))
     decision = C.chain(
         (~yes(F.col("province").isin(*provinces)), "FUERA_ALCANCE"),
@@ -77,10 +79,10 @@ def import_calls(
         (F.col("_known").isNotNull(), "EXISTENTE_BOE"),
         (F.col("_overlap") == "UNIQUE", "VINCULADA_BOP"),
         (F.col("_overlap") == "AMBIGUOUS", "REVISION_SOLAPAMIENTO"),
-        (C.scope("_nt", "_nj") != "SI", "FUERA_AMBITO_ADMINISTRATIVO"),
+        (F.col("_scope") != "SI", "FUERA_AMBITO_ADMINISTRATIVO"),
         default="NUEVA",
     )
-    out = staged.withColumn("decision", decision)
+    out = df.withColumn("decision", decision)
     target = F.when(F.col("decision") == "EVENTO_DOCUMENTAL_IDENTIFICADO", F.col("_event")).when(
         F.col("decision") == "EXISTENTE_BOE", F.col("_known")
     ).when(F.col("decision") == "VINCULADA_BOP", F.col("_base"))
@@ -100,8 +102,10 @@ def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame)
     ruled = ruled.withColumns({"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")})
     known = processes.select("stable_id", "process_id", C.is_pool_type("process_type").alias("_pool"))
     done = stored.select("ref", "source_id", "url").distinct().withColumn("_done", F.lit(True))
-    created = W.first_by(ruled.filter("_employment AND _base"), ["stable_id"], [F.col("published").asc_nulls_last(), F.col("notice_id")])
-    first = created.select("stable_id", F.col("published").alias("_from"), F.col("notice_id").alias("_first"))
+    ruled = stage(ruled.drop("_n", "_b", "_k", "title", "body"))
+    at = F.struct(F.col("published").alias("a"), F.col("notice_id").alias("b"))
+    founded = ruled.filter("_employment AND _base").groupBy("stable_id").agg(F.min(at).alias("_f"))
+    first = founded.select("stable_id", F.col("_f.a").alias("_from"), F.col("_f.b").alias("_first"))
     df = ruled.join(known, "stable_id", "left").join(first, "stable_id", "left").join(done, ["ref", "source_id", "url"], "left")
     closes = F.col("_rule").isNotNull() & (~F.coalesce("_pool", F.lit(False)) | L.closes_pools("_rule"))
     exists = F.col("process_id").isNotNull()
@@ -219,8 +223,8 @@ def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, histo
     dated = U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled")
     groups = group_pipeline(dated.join(tables["agencies"].select("agency_id", "agency_name"), "agency_id").withColumns({"grp": F.lit(None).cast("string"), "subgroup": F.lit(None).cast("string")}), tables["texts"])
     titles = clean_titles(dated)
-    closures = L.reconcile(dated, notices, history)
-    after = L.apply_closures(dated, closures)
+    closures = stage(L.reconcile(dated, notices, history))
+    after = stage(L.apply_closures(dated, closures))
     fresh = Fo.new_opportunities(visible(processes), visible(after).withColumn("actionable", F.lit(False)), tables["events"])
     return {
         "deadlines": deadlines, "groups": groups, "titles": titles, "closures": closures, "snapshot": after,

@@ -41,19 +41,16 @@ def municipalities(spark, path):
 
 
 def flatten_summary(spark, path):
-    """One daily summary per day and source, its items one object or a list."""
+    """A summary per notice; its items are one object or a list, its section varies."""
     n = view(spark, path, "notices")
-    item = F.struct(F.col("notice_id").alias("identificador"), F.col("title").alias("titulo"), F.col("url").alias("url_html"))
-    daily = n.groupBy("published", (F.col("source_id") % 3).alias("k")).agg(F.collect_list(item).alias("items"))
-    many = F.to_json(F.struct(F.col("items").alias("item"), F.lit("Ayuntamientos").alias("nombre")))
-    one = F.to_json(F.struct(F.get("items", F.lit(0)).alias("item"), F.lit("Ayuntamientos").alias("nombre")))
-    heading = F.when(F.size("items") > 1, many).otherwise(one)
-    section = F.when(F.col("k") == 2, "1").otherwise("2B")
+    item = lambda suffix: F.struct(F.concat("notice_id", F.lit(suffix)).alias("identificador"), F.col("title").alias("titulo"), F.col("url").alias("url_html"))
+    name = F.lit("Ayuntamientos").alias("nombre")
+    heading = F.when(F.col("n") % 2 == 0, F.to_json(F.struct(F.array(item(""), item("-b")).alias("item"), name))).otherwise(F.to_json(F.struct(item("").alias("item"), name)))
+    section = F.when(F.col("source_id") % 3 == 2, "1").otherwise("2B")
     text = F.concat(
         F.lit('{"data":{"sumario":{"diario":[{"seccion":[{"codigo":"'), section, F.lit('","departamento":{"codigo":"9525","texto":{"epigrafe":['), heading, F.lit("]}}}]}]}}}"),
     )
-    summaries = daily.select(day("published").alias("published"), text.alias("json"))
-    return S.flatten_summary(summaries)
+    return S.flatten_summary(n.select(day("published").alias("published"), text.alias("json")))
 
 
 def feed_rows(spark, path):

@@ -43,17 +43,20 @@ def k():
 
 
 def track_seen(spark, path):
-    """T4: each signature of a pool once, however often it is read."""
+    """T4: each signature of a pool once, however often it is read; one batch is all baseline."""
+    folder = scratch(spark)
     stream = S.read_stream(spark, path).select(F.col("user_id").alias("pool_id"), F.concat_ws("_", "event_type", k() % 20).alias("signature"))
-    return drive(spark, S.track_seen(stream), S.SEEN)
+    S.track_seen(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("pool_id BIGINT, signature STRING, news BOOLEAN").parquet(f"{folder}/out/batch=*")
 
 
 def debounce_stream(spark, path):
-    """T5: first time a pool shows two inactive readings in a row."""
+    """T5: every reading at which a pool is inactive for the second time in a row."""
+    folder = scratch(spark)
     off = F.coalesce(~pool_operating(fold(pick(PHASES, k() % len(PHASES)))), F.lit(False))
-    stream = S.read_stream(spark, path).select(F.col("user_id").alias("pool_id"), "ts", "event_id", off.alias("off"))
-    out = drive(spark, S.debounce_stream(stream), S.CLOSED)
-    return out.select("pool_id", F.date_format("read_at", "yyyy-MM-dd HH:mm:ss").alias("read_at"))
+    stream = S.read_stream(spark, path).select(F.col("user_id").alias("pool_id"), F.col("ts").alias("read_at"), F.col("event_id").alias("reading_id"), off.alias("off"))
+    S.debounce_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("pool_id BIGINT, reading_id BIGINT").parquet(f"{folder}/out/batch=*")
 
 
 def news_from_batches(spark, path):
@@ -61,7 +64,7 @@ def news_from_batches(spark, path):
     folder = scratch(spark)
     stream = S.read_stream(spark, path).select("user_id", "event_type")
     S.news_from_batches(stream, f"{folder}/news", ["user_id", "event_type"], f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema("user_id BIGINT, event_type STRING").parquet(f"{folder}/news/batch=*").select("user_id", "event_type")
+    return spark.read.schema("user_id BIGINT, event_type STRING").parquet(f"{folder}/news/batch=*")
 
 
 def backfill(spark, path):

@@ -43,11 +43,13 @@ def place_sentences(spark, path):
 def segment_records(spark, path):
     from edictal.sources.feeds import segment_records
 
-    notices = view(spark, path, "notices")
-    pages = notices.groupBy("source_id", "published").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat("title", F.lit(". Núm. registro: 2024/"), "n"))), " ").alias("text")
-    ).select(F.concat_ws(":", "source_id", day("published")).alias("page"), "text")
-    return segment_records(pages, "page", "text")
+    # An index of three records per notice: title before the number, a repeated number, title after it.
+    text = F.concat(
+        "title", F.lit(". Núm. registro: 2024/"), "n", F.lit(" Otro Anunci de les bases de la convocatoria. Núm. de registre 2024/"), "n",
+        F.lit(" entidad Núm. registro 2025/"), "n", F.lit(" Anuncio posterior de "), "ref", F.lit(". Fin"),
+    )
+    pages = view(spark, path, "notices").select(F.col("notice_id").alias("page"), text.alias("text"))
+    return segment_records(pages.dropDuplicates(["page"]), "page", "text")
 
 
 def syllabus_text():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor cannot undo the work."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(os.path.join(checkpoint_dir(spark), "lineage"))
-    return df.checkpoint(eager=True)
+def stage(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and go on from the table.
+
+    The lineage ends there, so a lost executor repeats nothing before it, and readers still prune columns
+    and push filters into the scan, which a checkpointed plan cannot.
+    """
+    folder = os.path.join(checkpoint_dir(df.sparkSession), f"stage-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -15,13 +15,13 @@ NOTICE_WORD = r"(?i)\b(?:Anunci|Anuncio)\b"
 SHORTEST, LONGEST = 20, 1000
 
 
-def record_title(fragment: Column, last: bool) -> Column:
-    """Title inside a block, from its last (or first) notice word up to the first full stop."""
-    text = X.squeeze(fragment)
-    pattern = r"(?is)^.*\b(Anuncio?\b.*)$" if last else r"(?is)^.*?\b(Anuncio?\b.*)$"
-    title = X.found(text, pattern)
-    stop = F.locate(".", title)
-    title = F.when(stop > SHORTEST, F.left(title, stop)).otherwise(title)
+LAST_NOTICE, FIRST_NOTICE = r"(?is)^.*\b(Anuncio?\b.*)$", r"(?is)^.*?\b(Anuncio?\b.*)$"
+
+
+def record_title(text: Column) -> Column:
+    """Text from a notice word on, cut at its first full stop, if it has the size of a title."""
+    stop = F.locate(".", text)
+    title = F.when(stop > SHORTEST, F.left(text, stop)).otherwise(text)
     return F.when(F.length(title).between(SHORTEST, LONGEST), title)
 
 
@@ -37,9 +37,12 @@ def segment_records(df: DataFrame, page: str, text: str) -> DataFrame:
     cut = df.select(page, numbers.alias("_n"), blocks.alias("_b"))
     rows = cut.select(page, "_b", F.posexplode("_n").alias("pos", "record"))
     before, after = F.get("_b", F.col("pos")), F.get("_b", F.col("pos") + 1)
-    titled = rows.select(page, "record", "pos", F.coalesce(record_title(before, True), record_title(after, False)).alias("title"))
-    found = titled.filter(F.col("title").isNotNull())
-    return found.groupBy(page, "record").agg(F.min_by("title", "pos").alias("title"))
+    read = rows.select(
+        page, "record", "pos", X.found(X.squeeze(before), LAST_NOTICE).alias("_t1"), X.found(X.squeeze(after), FIRST_NOTICE).alias("_t2")
+    )
+    titled = read.select(page, "record", "pos", F.coalesce(record_title(F.col("_t1")), record_title(F.col("_t2"))).alias("title"))
+    at = F.when(F.col("title").isNotNull(), F.col("pos"))
+    return titled.groupBy(page, "record").agg(F.min_by("title", at).alias("title")).filter(F.col("title").isNotNull())
 
 
 # --- N14 ------------------------------------------------------------------------------------------------

@@ -6,15 +6,11 @@ deduplicate within a watermark, state is kept per key, and sinks are written per
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from edictal.operators.windows import previous
 from edictal.schemas import TABLES
 
 
@@ -43,74 +39,85 @@ def closed_days(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
 
 
-SEEN = T.StructType([T.StructField("pool_id", T.LongType()), T.StructField("signature", T.StringType()), T.StructField("news", T.BooleanType())])
-SEEN_STATE = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("initialised", T.BooleanType())])
-STATE_VERSION = 2
+def _batches(folder: str, batch_id: int) -> list[str]:
+    """What earlier batches wrote: the last full copy and the batches since.
 
+    Every batch writes its own folder, so the list follows from the batch id alone, and a batch that runs
+    again after a lost driver replaces itself.
+    """
+    last_full = (batch_id // COMPACT_EVERY) * COMPACT_EVERY
+    full = [f"{folder}/full={last_full}"] if last_full else []
+    return full + [f"{folder}/batch={i}" for i in range(last_full, batch_id)]
 
-def _track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One pool and signature: the first sight of an initialised key is news, a re-read is nothing."""
-    rows = [len(b) for b in batches]
-    if state.exists and state.get[0] == STATE_VERSION:
-        return
-    # An absent or older state is migrated silently: it sets a baseline and publishes nothing.
-    migrated = state.exists
-    state.update((STATE_VERSION, True))
-    if rows:
-        yield pd.DataFrame({"pool_id": [key[0]], "signature": [key[1]], "news": [not migrated]})
 
+def _remember(fresh: DataFrame, folder: str, batch_id: int) -> None:
+    """Write the state a batch adds, and every so often a full copy that ends the list."""
+    fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        spark = fresh.sparkSession
+        paths = [*_batches(folder, batch_id), f"{folder}/batch={batch_id}"]
+        spark.read.schema(fresh.schema).parquet(*paths).write.mode("overwrite").parquet(f"{folder}/full={batch_id + 1}")
 
-def track_seen(stream: DataFrame) -> DataFrame:
-    """T4: every signature of a pool once, kept by key, so a pool that publishes a third of everything is
-    spread over as many keys as it has signatures."""
-    return stream.groupBy("pool_id", "signature").applyInPandasWithState(_track, SEEN, SEEN_STATE, "append", GroupStateTimeout.NoTimeout)
 
+COMPACT_EVERY = 50
 
-CLOSED = T.StructType([T.StructField("pool_id", T.LongType()), T.StructField("read_at", T.TimestampType())])
-LAST = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("off", T.BooleanType())])
 
+def _earlier(spark: SparkSession, schema: T.StructType, folder: str, batch_id: int) -> DataFrame:
+    paths = _batches(folder, batch_id)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-def _debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The previous reading is the whole state; two inactive readings in a row close the pool."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    before = bool(state.get[1]) if state.exists else False
-    previous = rows["off"].shift(1, fill_value=before)
-    closing = rows[rows["off"].astype(bool) & previous.astype(bool)]
-    state.update((rows["ts"].iloc[-1].to_pydatetime(), bool(rows["off"].iloc[-1])))
-    if len(closing):
-        yield pd.DataFrame({"pool_id": [key[0]], "read_at": [closing["ts"].iloc[0]]})
 
+def _start(stream: DataFrame, step, checkpoint: str):
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def debounce_stream(stream: DataFrame) -> DataFrame:
-    """T5: a pool closes after two consecutive inactive readings.  ``stream``: pool_id, ts, event_id, off.
 
-    Readings are first cut to changes of state within the batch by the caller; see ``state_changes``.
-    """
-    return stream.groupBy("pool_id").applyInPandasWithState(_debounce, CLOSED, LAST, "append", GroupStateTimeout.NoTimeout)
+def track_seen(stream: DataFrame, folder: str, checkpoint: str, owner: str = "pool_id", item: str = "signature"):
+    """T4: every item of an owner once; items first seen together with their owner are its silent
+    baseline, later ones are news.  Repeats are dropped on the map side before anything is shuffled, so
+    neither an owner nor an item that is read over and over burdens one task."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        found = batch.select(owner, item).dropDuplicates()
+        seen = _earlier(batch.sparkSession, found.schema, f"{folder}/seen", batch_id)
+        fresh = found.join(seen, [owner, item], "left_anti")
+        known = seen.select(owner).distinct().withColumn("_known", F.lit(True))
+        told = fresh.join(known, owner, "left").withColumn("news", F.coalesce("_known", F.lit(False))).drop("_known")
+        told.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        _remember(fresh, f"{folder}/seen", batch_id)
 
+    return _start(stream, step, checkpoint)
 
-def news_from_batches(stream: DataFrame, folder: str, keys: list[str], checkpoint: str, query: str = "news"):
-    """News events of every micro-batch: the keys no earlier batch published.
 
-    Each batch is written under its own id, so a batch that is run again replaces itself.
+def debounce_stream(stream: DataFrame, folder: str, checkpoint: str):
+    """T5: readings at which a pool closes: it and the one before are both inactive, across batches.
+
+    ``stream``: pool_id, read_at, reading_id, off.  State is the last reading of every pool; it joins the
+    batch as its first row, and readings are compared per pool and day, so a pool that owns a third of
+    all readings is spread over its days.
     """
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        done = [d for d in (os.path.join(folder, f"batch={i}") for i in range(batch_id)) if _exists(spark, d)]
-        if done:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(*done), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(os.path.join(folder, f"batch={batch_id}"))
+    columns = ["pool_id", "read_at", "reading_id", "off"]
 
-    return (
-        stream.writeStream.queryName(query).foreachBatch(publish).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*columns).withColumn("_new", F.lit(True))
+        if batch_id:
+            last = batch.sparkSession.read.schema(batch.select(*columns).schema).parquet(f"{folder}/last/batch={batch_id - 1}")
+            rows = rows.unionByName(last.withColumn("_new", F.lit(False)))
+        seen = previous(rows, "pool_id", "read_at", "reading_id", "off", "_before")
+        closing = seen.filter(F.col("_new") & F.col("off") & F.col("_before")).select("pool_id", "read_at", "reading_id")
+        closing.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        newest = rows.groupBy("pool_id").agg(F.max(F.struct("read_at", "reading_id", "off")).alias("r"))
+        newest.select("pool_id", "r.*").write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
+
+    return _start(stream, step, checkpoint)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def news_from_batches(stream: DataFrame, folder: str, keys: list[str], checkpoint: str):
+    """News events of every micro-batch: the keys no earlier batch published."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        fresh = fresh.join(_earlier(batch.sparkSession, batch.schema, folder, batch_id).select(*keys), keys, "left_anti").select(*batch.columns)
+        _remember(fresh, folder, batch_id)
+
+    return _start(stream, step, checkpoint)
 
 
 def backfill(stream: DataFrame, folder: str, checkpoint: str, notify: bool = False):

@@ -16,7 +16,8 @@ SQL = {
                 UNION SELECT name, left(y, length(y) - length(p)) FROM (SELECT name, v AS y FROM a UNION SELECT name, w FROM a), (SELECT unnest(['la', 'el', 'les', 'los']) AS p) WHERE NOT starts_with(y, p) AND ends_with(y, p) AND length(y) > length(p))
         , l AS (SELECT name, string_agg(x, ',' ORDER BY x) AS aliases FROM o GROUP BY 1)
         SELECT province, name, count(*) AS n, aliases FROM t JOIN l USING (name) WHERE province IS NOT NULL GROUP BY 1, 2, 4""",
-    "flatten_summary": sql("notices", """SELECT CAST(published AS VARCHAR) AS published, 'Ayuntamientos' AS heading, notice_id AS item_id, title, url FROM notices WHERE source_id % 3 <> 2"""),
+    "flatten_summary": sql("notices", """SELECT CAST(published AS VARCHAR) AS published, 'Ayuntamientos' AS heading, notice_id AS item_id, title, url FROM notices WHERE source_id % 3 <> 2
+        UNION ALL SELECT CAST(published AS VARCHAR), 'Ayuntamientos', notice_id || '-b', title, url FROM notices WHERE source_id % 3 <> 2 AND n % 2 = 0"""),
     "feed_rows": sql("notices", f"SELECT notice_id, {squeeze('title')} AS title, url, CAST(published AS VARCHAR) AS published FROM notices WHERE n % 3 < 2 AND url IS NOT NULL"),
     "read_feed": sql("processes", "SELECT name AS title, concat('https://a.example/', process_id) AS url, CAST(call_date AS VARCHAR) AS published FROM processes"),
     "normalise_records": sql("processes", """SELECT process_id, CASE WHEN process_id % 9 <> 0 THEN concat('BOPAL:', year(call_date), ':', process_id) ELSE '' END AS ref, process_type AS agency,

@@ -106,8 +106,8 @@ SQL = {
         , e AS (SELECT process_id, unnest(range(len(s))) AS pos, unnest(s) AS sentence FROM s)
         SELECT process_id, CAST(pos AS INT) AS pos, trim(sentence) AS sentence FROM e WHERE {hit('trim(sentence)', X.STATES_PLACES)}"""),
     "segment_records": sql("notices", f"""
-        , p AS (SELECT concat_ws(':', source_id, CAST(published AS VARCHAR)) AS page, string_agg(x, ' ' ORDER BY x) AS text
-                FROM (SELECT *, concat(title, '. Núm. registro: 2024/', n) AS x FROM notices) GROUP BY 1)
+        , p AS (SELECT DISTINCT notice_id AS page, concat(title, '. Núm. registro: 2024/', n, ' Otro Anunci de les bases de la convocatoria. Núm. de registre 2024/', n,
+                       ' entidad Núm. registro 2025/', n, ' Anuncio posterior de ', ref, '. Fin') AS text FROM notices)
         , m AS (SELECT page, regexp_extract_all(text, {q(S.RECORD_MARK)}, 1) AS r, string_split_regex(text, {q(S.RECORD_MARK)}) AS b FROM p)
         , e AS (SELECT page, i, r[i] AS record, b[i] AS before, b[i + 1] AS after FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM m))
         , t AS (SELECT page, i, record, {got(squeeze('before'), '(?is)^.*\\b(Anuncio?\\b.*)$')} AS t1, {got(squeeze('after'), '(?is)^.*?\\b(Anuncio?\\b.*)$')} AS t2 FROM e)
@@ -145,6 +145,7 @@ SQL = {
     "page_facets": """SELECT page_id, lower(nullif(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1), '')) AS host,
                nullif(regexp_extract(regexp_replace(url, '#.*$', ''), '[?&]page=([^&]*)', 1), '') AS page FROM pages""",
     "repair_mojibake": sql("notices", "SELECT notice_id, title AS repaired, title AS kept FROM notices"),
+    "repair_glyphs": "SELECT doc_id, text, NOT contains(text, chr(65533)) AS readable FROM documents",
     "content_hash": "SELECT doc_id, sha256(text) AS full, left(sha256(text), 16) AS short FROM documents",
     "stable_id": sql("notices", f"""
         , c AS (SELECT notice_id, {fold('title')} AS n FROM notices)

@@ -6,18 +6,42 @@ from collections.abc import Callable
 from pathlib import Path
 
 import edictal
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import exact_dups
+from edictal.llm import bin_completion, exact_dups, token_counts, word_table
 from edictal.llm.common import table
 
 
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_BPE)
+    out = word_table.decode(word_table.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.col("written").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dups.dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = bin_completion.cut(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    # The sum is taken before the pieces are placed, so that no token moves.
+    out = bin_completion.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,4 +57,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op8_exact_dedup,)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}

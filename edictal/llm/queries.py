@@ -10,10 +10,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import bin_completion, exact_dups, token_counts, word_table
+from edictal.llm import bin_completion, exact_dups, token_counts, url_rules, word_table
 from edictal.llm.common import table
 
 
+# Fixed values of the contract: host, path and verdict of every rule.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -57,4 +66,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}

@@ -1,6 +1,22 @@
 """DuckDB SQL of the numbered queries that SQL can express."""
 
 SQL = {
+    "op1_url_filter": r"""
+        WITH rules(rh, rp, verdict) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        ), cut AS (
+            SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), urls AS (
+            SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), fits AS (
+            SELECT r, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+            FROM urls JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)
+    """,
     "op8_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import bin_completion, exact_dups, token_counts, url_rules, word_table
+from edictal.llm import bin_completion, exact_dups, kd_search, token_counts, url_rules, word_table
 from edictal.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -66,4 +70,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op3_top_k, op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -19,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Bits of the filter that ``likely`` broadcasts: 2 MB at any size.  It only spares moving rows; a full one lets all pass.
+FILTER_BITS = 1 << 24
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose hash in ``column`` is in that of ``wanted``, and few others: a semi-join ahead of the real one that moves no row."""
+
+    def slot(name: str):
+        return F.pmod(F.col(name), F.lit(FILTER_BITS)) + 1
+
+    # At most FILTER_BITS / 32768 rows of 4 KB.
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot(column)).alias("filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(column))).alias("filter_bits"))
+    place = f"bitmap_bit_position(pmod(`{column}`, {FILTER_BITS}L) + 1)"
+    byte = f"conv(hex(substring(filter_bits, cast({place} div 8 as int) + 1, 1)), 16, 10)"
+    held = rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot(column))).join(F.broadcast(bits), "filter_bucket")
+    return held.filter(F.expr(f"({byte} div cast(power(2, {place} % 8) as int)) % 2 = 1")).drop("filter_bucket", "filter_bits")
+
+
 def fill(column: pa.Array, value="") -> pa.Array:
     """A text column as one array, null as the given value."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,3 +119,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def words_per_value(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Index of the first word of every value, and the number of words at the end."""
     return np.searchsorted(starts, offsets)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal ``keys``, each run as a table; a run may reach over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        edges = [0, *cuts.tolist(), batch.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if held and last != tuple(key[i]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = tuple(key[i])
+    if held:
+        yield pa.Table.from_batches(held)

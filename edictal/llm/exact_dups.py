@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictal.llm.common import LOWER, flat, steps
+from edictal.llm.common import LOWER, flat, likely, steps
 from edictal.session import stage
 
 CHUNK_BYTES = 1 << 20
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1812433253)
-# Bits of the filter of rows that have a copy; it only spares moving texts, a full one moves them all.
-FILTER_BITS = 1 << 24
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,10 +91,6 @@ def _chunks(body: Column, n_bytes: Column, chunk_bytes: int) -> Column:
     return F.inline(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("place"), F.substring(body, i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))))
 
 
-def _slot(probe: Column) -> Column:
-    return F.pmod(probe, F.lit(FILTER_BITS)) + 1
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, int] = PRIMES) -> DataFrame:
     """One row per document: row, id, probe (hash of the raw text), n_bytes, f1, f2 (fingerprint) and sha of the normalised text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -113,18 +107,8 @@ def _differing(docs: DataFrame, prints: DataFrame, text_col: str, chunk_bytes: i
     key = ["n_bytes", "f1", "f2"]
     copied = prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     probes = stage(prints.select("probe", *key).distinct().join(copied, key, "left_semi"))
-    # At most FILTER_BITS / 32768 rows of 4 KB.
-    bits = probes.groupBy(F.bitmap_bucket_number(_slot(F.col("probe"))).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("probe")))).alias("bits"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    place = "bitmap_bit_position(slot)"
-    found = (
-        docs.select(text.alias("t"), F.xxhash64(text).alias("probe"))
-        .withColumn("slot", _slot(F.col("probe")))
-        .withColumn("bucket", F.bitmap_bucket_number("slot"))
-        .join(F.broadcast(bits), "bucket")
-        .filter(F.expr(f"(conv(hex(substring(bits, cast({place} div 8 as int) + 1, 1)), 16, 10) div cast(power(2, {place} % 8) as int)) % 2 = 1"))
-        .select("probe", F.translate("t", UPPER, LOWERED).cast("binary").alias("body"))
-    )
+    found = likely(docs.select(text.alias("t"), F.xxhash64(text).alias("probe")), probes, "probe").select("probe", F.translate("t", UPPER, LOWERED).cast("binary").alias("body"))
     chunks = found.withColumn("n_bytes", F.octet_length("body").cast("long")).select("probe", "n_bytes", _chunks(F.col("body"), F.col("n_bytes"), chunk_bytes))
     ends = chunks.groupBy("probe", "n_bytes", "place").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     met = ends.join(probes, ["probe", "n_bytes"]).groupBy(*key, "place").agg(F.min("low").alias("low"), F.max("high").alias("high"))

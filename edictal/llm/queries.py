@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import bin_completion, exact_dups, kd_search, token_counts, url_rules, word_table
+from edictal.llm import bin_completion, exact_dups, kd_search, near_dups, token_counts, toxicity, url_rules, word_table
 from edictal.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dups.near_dups(table(spark, sf_dir, "documents"), percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dups.dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -55,6 +60,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, [F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")])
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -70,4 +81,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op3_top_k, op4_bpe_round_trip, op5_token_counts, op8_exact_dedup, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op3_top_k, op4_bpe_round_trip, op5_token_counts, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity)}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import bin_completion, exact_dups, kd_search, near_dups, token_counts, toxicity, url_rules, word_table
+from edictal.llm import bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, token_counts, toxicity, url_rules, word_table
 from edictal.llm.common import table
 
 
@@ -23,6 +23,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+# Grades of the labels: 0 poor, 1 good but toxic, 2 good.
+LEVELS = 3
+
+
+def ratings(labels: DataFrame) -> DataFrame:
+    """Graded ratings of labelled rows; rows that are held out as for toxicity are left to measure with."""
+    quality, toxic = F.col("quality").cast("int"), F.coalesce(F.col("toxic").cast("int"), F.lit(0))
+    return labels.filter(~toxicity.held_out("doc_id")).select("doc_id", F.when(quality == 0, 0).when(toxic > 0, 1).when(quality > 0, 2).alias("grade"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ratings(table(spark, sf_dir, "labels")), LEVELS)
+    return ordinal.grade(docs, model, [F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")])
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,6 +59,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation takes part: an even one is preferred to the next odd one, with which it makes a pair."""
+    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null")
+    pair = F.floor(F.col("conv_id") / 2)
+    pairs = turns.select(pair.alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+    out = chat_pairs.format_pairs(turns, pairs)
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["length"], F.lit(":"), x["learned"].cast("int"))), " ")
+    return out.withColumns({c: written(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dups.near_dups(table(spark, sf_dir, "documents"), percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -81,4 +107,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(importable(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op3_top_k, op4_bpe_round_trip, op5_token_counts, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity)}

@@ -28,6 +28,30 @@ SQL = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    "op6_preference_format": """
+        WITH said AS (
+            SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn,
+                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS m
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), beside AS (
+            SELECT pair_id, turn, list_sort(coalesce(list(m) FILTER (side = 0), [])) AS c, list_sort(coalesce(list(m) FILTER (side = 1), [])) AS r
+            FROM said GROUP BY ALL
+        ), forks AS (
+            SELECT *, coalesce(turn < min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY pair_id), true) AS common FROM beside
+        ), parts AS (
+            SELECT pair_id, greatest(turn // 64, 0) AS piece,
+                   flatten(coalesce(list(c ORDER BY turn) FILTER (common), [])) AS p, flatten(coalesce(list(c ORDER BY turn) FILTER (NOT common), [])) AS c,
+                   flatten(coalesce(list(r ORDER BY turn) FILTER (NOT common), [])) AS r, CAST(count(*) FILTER (common) AS INTEGER) AS prefix_turns
+            FROM forks GROUP BY ALL
+        )
+        SELECT pair_id, piece, prefix_turns,
+               coalesce(list_aggregate(list_transform(p, lambda m: '<|im_start|>' || m.role || chr(10) || m.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS prompt,
+               coalesce(list_aggregate(list_transform(c, lambda m: '<|im_start|>' || m.role || chr(10) || m.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS chosen,
+               coalesce(list_aggregate(list_transform(r, lambda m: '<|im_start|>' || m.role || chr(10) || m.text || '<|im_end|>' || chr(10)), 'string_agg', ''), '') AS rejected,
+               coalesce(list_aggregate(list_transform(c, lambda m: (length(m.role) + 13) || ':0 ' || (length(m.text) + 10) || CASE WHEN m.role = 'assistant' THEN ':1 ' ELSE ':0 ' END || '1:0'), 'string_agg', ' '), '') AS chosen_mask,
+               coalesce(list_aggregate(list_transform(r, lambda m: (length(m.role) + 13) || ':0 ' || (length(m.text) + 10) || CASE WHEN m.role = 'assistant' THEN ':1 ' ELSE ':0 ' END || '1:0'), 'string_agg', ' '), '') AS rejected_mask
+        FROM parts
+    """,
     "op8_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents

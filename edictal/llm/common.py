@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FILTER_BITS = 1 << 24
 
 
-def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """Rows whose hash in ``column`` is in that of ``wanted``, and few others: a semi-join ahead of the real one that moves no row."""
+def _filtered(rows: DataFrame, wanted: DataFrame, column: str):
+    """``rows`` beside the bits of their bucket, and whether the bit of their hash is set."""
 
     def slot(name: str):
         return F.pmod(F.col(name), F.lit(FILTER_BITS)) + 1
@@ -34,8 +34,22 @@ def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     bits = wanted.groupBy(F.bitmap_bucket_number(slot(column)).alias("filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(column))).alias("filter_bits"))
     place = f"bitmap_bit_position(pmod(`{column}`, {FILTER_BITS}L) + 1)"
     byte = f"conv(hex(substring(filter_bits, cast({place} div 8 as int) + 1, 1)), 16, 10)"
-    held = rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot(column))).join(F.broadcast(bits), "filter_bucket")
-    return held.filter(F.expr(f"({byte} div cast(power(2, {place} % 8) as int)) % 2 = 1")).drop("filter_bucket", "filter_bits")
+    beside = rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot(column))).join(F.broadcast(bits), "filter_bucket", "left")
+    return beside, F.coalesce(F.expr(f"({byte} div cast(power(2, {place} % 8) as int)) % 2 = 1"), F.lit(False))
+
+
+def likely(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows whose hash in ``column`` is in that of ``wanted``, and few others: a semi-join ahead of the real one that moves no row."""
+    beside, held = _filtered(rows, wanted, column)
+    return beside.filter(held).drop("filter_bucket", "filter_bits")
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``dropped``; only those that may be in it are moved to be joined."""
+    rows, dropped = rows.withColumn("filter_hash", F.xxhash64(key)), dropped.select(key, F.xxhash64(key).alias("filter_hash"))
+    beside, held = _filtered(rows, dropped, "filter_hash")
+    kept = beside.filter(~held).select(rows.columns)
+    return kept.unionByName(likely(rows, dropped, "filter_hash").join(dropped.select(key), key, "left_anti").select(rows.columns)).drop("filter_hash")
 
 
 def fill(column: pa.Array, value="") -> pa.Array:

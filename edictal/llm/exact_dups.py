@@ -91,10 +91,10 @@ def _chunks(body: Column, n_bytes: Column, chunk_bytes: int) -> Column:
     return F.inline(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("place"), F.substring(body, i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, int] = PRIMES) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, int] = PRIMES, row_col: str | None = None) -> DataFrame:
     """One row per document: row, id, probe (hash of the raw text), n_bytes, f1, f2 (fingerprint) and sha of the normalised text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("probe"), text.cast("binary").alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
+    source = docs.select((F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("probe"), text.cast("binary").alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = source.select("row", "id", "probe", "n_bytes", _chunks(F.col("body"), F.col("n_bytes"), chunk_bytes))
     hashed = chunks.mapInArrow(_hash_chunks(primes, chunk_bytes), f"row long, id {kind}, probe long, n_bytes long, f1 long, f2 long, sha string")
@@ -115,15 +115,15 @@ def _differing(docs: DataFrame, prints: DataFrame, text_col: str, chunk_bytes: i
     return met.filter("low < high").select(*key).distinct()
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, int] = PRIMES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, int] = PRIMES, row_col: str | None = None) -> DataFrame:
     """Groups of texts that are the same after lower-casing A-Z, a row per input row.
 
     Columns: row, id, keep_id, group_size, kept, text_sha256.  Null counts as the empty text.  The row with the largest id stays, a null
     id being the smallest; of rows that share it the one with the largest row number.  Other columns of ``docs`` are not read.
-    An empty table gives an empty result.
+    ``row_col`` may name a column of distinct whole numbers to know rows by.  An empty table gives an empty result.
     """
     key = ["n_bytes", "f1", "f2"]
-    prints = stage(fingerprints(docs, id_col, text_col, chunk_bytes, primes))
+    prints = stage(fingerprints(docs, id_col, text_col, chunk_bytes, primes, row_col))
     differing = stage(_differing(docs, prints, text_col, chunk_bytes)).withColumn("split", F.lit(True))
     rows = prints.join(differing, key, "left").withColumn("part", F.when(F.col("split"), F.col("sha")).otherwise(F.lit(""))).drop("split")
     by = [*key, "part"]

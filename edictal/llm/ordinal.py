@@ -24,7 +24,7 @@ BUCKETS = 1 << 15
 # Weights of a whole text: 24 classes of length, 17 each of the part of its words that are distinct and that repeat the word before.
 LENGTHS, RATIOS = 24, 17
 WHOLE = LENGTHS + 2 * RATIOS
-SCALE, EPOCHS, BATCH, RATE, DECAY = 40.0, 30, 128, 0.02, 1e-4
+SCALE, STEPS, BATCH, RATE, DECAY = 40.0, 1400, 128, 0.02, 1e-4
 TAIL, CUT = 1, 0.5
 
 
@@ -122,33 +122,34 @@ def train(texts: list[str], grades: np.ndarray, levels: int) -> Ordinal:
     first, gaps = model.thresholds[:1].copy(), np.log(np.diff(model.thresholds))
     params, rng = [model.weights, first, gaps], np.random.default_rng(3)
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(grades))
-        for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            many = np.diff(ends)[rows]
-            at = np.repeat(ends[rows], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            row = np.repeat(np.arange(len(rows)), many)
-            c, x = columns[at], values[at]
-            score = np.bincount(row, weights=model.weights[c] * x, minlength=len(rows))
-            cuts = first[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-            # P(grade) is the difference of two neighbouring tails; the outer ones are 1 and 0.
-            tails = np.concatenate([np.ones((len(rows), 1)), sigmoid(score[:, None] - cuts), np.zeros((len(rows), 1))], axis=1)
-            slope = tails * (1 - tails)
-            y, k = grades[rows], np.arange(len(rows))
-            likely = np.maximum(tails[k, y] - tails[k, y + 1], 1e-9)
-            d_score = -(slope[k, y] - slope[k, y + 1]) / likely / len(rows)
-            d_cuts = np.zeros(len(cuts) + 2)
-            np.add.at(d_cuts, y, slope[k, y] / likely / len(rows))
-            np.add.at(d_cuts, y + 1, -slope[k, y + 1] / likely / len(rows))
-            d_cuts = d_cuts[1:-1]
-            grads = [np.bincount(c, weights=d_score[row] * x, minlength=width) + DECAY * model.weights, d_cuts.sum(keepdims=True), np.array([d_cuts[j + 1 :].sum() for j in range(len(gaps))]) * np.exp(gaps)]
-            t += 1
-            scale = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for p, g, a, b in zip(params, grads, m, v, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= (scale * a / (np.sqrt(b) + 1e-7)).astype(p.dtype)
+    order = np.zeros(0, np.int64)
+    for _ in range(STEPS):
+        if not len(order):
+            order = rng.permutation(len(grades))
+        rows, order = order[:BATCH], order[BATCH:]
+        many = np.diff(ends)[rows]
+        at = np.repeat(ends[rows], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row = np.repeat(np.arange(len(rows)), many)
+        c, x = columns[at], values[at]
+        score = np.bincount(row, weights=model.weights[c] * x, minlength=len(rows))
+        cuts = first[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+        # P(grade) is the difference of two neighbouring tails; the outer ones are 1 and 0.
+        tails = np.concatenate([np.ones((len(rows), 1)), sigmoid(score[:, None] - cuts), np.zeros((len(rows), 1))], axis=1)
+        slope = tails * (1 - tails)
+        y, k = grades[rows], np.arange(len(rows))
+        likely = np.maximum(tails[k, y] - tails[k, y + 1], 1e-9)
+        d_score = -(slope[k, y] - slope[k, y + 1]) / likely / len(rows)
+        d_cuts = np.zeros(len(cuts) + 2)
+        np.add.at(d_cuts, y, slope[k, y] / likely / len(rows))
+        np.add.at(d_cuts, y + 1, -slope[k, y + 1] / likely / len(rows))
+        d_cuts = d_cuts[1:-1]
+        grads = [np.bincount(c, weights=d_score[row] * x, minlength=width) + DECAY * model.weights, d_cuts.sum(keepdims=True), np.array([d_cuts[j + 1 :].sum() for j in range(len(gaps))]) * np.exp(gaps)]
+        t += 1
+        scale = RATE * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        for p, g, a, b in zip(params, grads, m, v, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= (scale * a / (np.sqrt(b) + 1e-7)).astype(p.dtype)
     model.thresholds = first[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))])
     return model
 

@@ -95,16 +95,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it, where it is not installed."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session for the operators: Python workers find this package where the driver has it, if it is not installed."""
     root, env = str(Path(edictal.__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH")]))
+    # Texts are long: batches of the default 10,000 rows would hold tens of MB in each of several buffers.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
 def _ready(query: Query) -> Query:
-    return lambda spark, sf_dir: query(importable(spark), sf_dir)
+    return lambda spark, sf_dir: query(prepared(spark), sf_dir)
 
 
 QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity)}

@@ -25,7 +25,7 @@ from edictal.llm.text_model import F32, Adam, Network, sigmoid
 TRAIN_ROWS, TRAIN_BYTES = 8000, 1 << 17
 WINDOW, STRIDE = 24, 16
 HIDDEN, EMBEDDING, GRAMS, SEEN = 6, 4, (4, 5), 4
-ROUNDS, EPOCHS, BATCH, RATE = 3, 4, 256, 0.01
+ROUNDS, STEPS, BATCH, RATE = 3, 125, 256, 0.01
 THRESHOLD = 0.7
 STEP, WINDOWS = 1 << 21, 4096
 # A word is a run of letters: A-Z, a-z and the bytes of all other characters.
@@ -261,36 +261,38 @@ def train(texts: list[str], labels: np.ndarray) -> Model | Constant:
             order = np.lexsort((-found, text))
             top = order[np.flatnonzero(np.concatenate([[True], text[order][1:] != text[order][:-1]]))]
             chosen += [(label, w) for w in top.tolist()]
-        for _ in range(EPOCHS):
-            for i in range(0, len(chosen), BATCH):
-                if i == 0:
-                    rng.shuffle(chosen)
-                batch = chosen[i : i + BATCH]
-                n, target = len(batch), np.array([y for y, _ in batch], F32)
-                word, gram = np.full((WINDOW, n), -1, np.int64), np.full((WINDOW, n), -1, np.int64)
-                odds, mask = np.zeros((WINDOW, n, 2), F32), np.zeros((WINDOW, n), bool)
-                for label, (side, place, (_, start, length)) in enumerate(parts):
-                    columns = np.flatnonzero(target == label)
-                    if not len(columns):
-                        continue
-                    w = np.array([batch[c][1] for c in columns])
-                    inside = reach < length[w]
-                    index = side.at[np.minimum(start[w] + reach, len(side.at) - 1)]
-                    mask[:, columns] = inside
-                    word[:, columns], gram[:, columns] = place[0][index], place[1][index]
-                    odds[:, columns] = place[2][index]
-                x = model.vectors(word.ravel(), gram.ravel(), odds.reshape(-1, 2))
-                logit, kept = model.net.forward(model.net.project(x).reshape(WINDOW, n, -1), mask, keep=True)
-                grads, d_gates = model.net.backward((sigmoid(logit) - target) / F32(n), kept)
-                d_gates = d_gates.reshape(WINDOW * n, -1)
-                grads |= {"wx": x.T @ d_gates, "bx": d_gates.sum(axis=0)}
-                d_x = d_gates @ params["wx"].T
-                for name, at, columns in (("word", word.ravel(), slice(2, 2 + EMBEDDING)), ("gram", gram.ravel(), slice(2 + EMBEDDING, None))):
-                    g = np.zeros_like(model.tables[name])
-                    known = at >= 0
-                    np.add.at(g, at[known], d_x[known, columns])
-                    grads[name] = g
-                adam.step(grads)
+        for step in range(STEPS):
+            at = step * BATCH % max(len(chosen), 1)
+            if at < BATCH:
+                rng.shuffle(chosen)
+            batch = chosen[at : at + BATCH]
+            if not batch:
+                break
+            n, target = len(batch), np.array([y for y, _ in batch], F32)
+            word, gram = np.full((WINDOW, n), -1, np.int64), np.full((WINDOW, n), -1, np.int64)
+            odds, mask = np.zeros((WINDOW, n, 2), F32), np.zeros((WINDOW, n), bool)
+            for label, (side, place, (_, start, length)) in enumerate(parts):
+                columns = np.flatnonzero(target == label)
+                if not len(columns):
+                    continue
+                w = np.array([batch[c][1] for c in columns])
+                inside = reach < length[w]
+                index = side.at[np.minimum(start[w] + reach, len(side.at) - 1)]
+                mask[:, columns] = inside
+                word[:, columns], gram[:, columns] = place[0][index], place[1][index]
+                odds[:, columns] = place[2][index]
+            x = model.vectors(word.ravel(), gram.ravel(), odds.reshape(-1, 2))
+            logit, kept = model.net.forward(model.net.project(x).reshape(WINDOW, n, -1), mask, keep=True)
+            grads, d_gates = model.net.backward((sigmoid(logit) - target) / F32(n), kept)
+            d_gates = d_gates.reshape(WINDOW * n, -1)
+            grads |= {"wx": x.T @ d_gates, "bx": d_gates.sum(axis=0)}
+            d_x = d_gates @ params["wx"].T
+            for name, at, columns in (("word", word.ravel(), slice(2, 2 + EMBEDDING)), ("gram", gram.ravel(), slice(2 + EMBEDDING, None))):
+                g = np.zeros_like(model.tables[name])
+                known = at >= 0
+                np.add.at(g, at[known], d_x[known, columns])
+                grads[name] = g
+            adam.step(grads)
     return model
 
 

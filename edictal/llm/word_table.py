@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from edictal.llm.common import fill, flat, steps
 from edictal.session import stage
 
 # Bounds of the broadcast table: so many words of so many bytes at most.
-TABLE_WORDS = 1 << 19
+TABLE_WORDS = 1 << 18
 WORD_BYTES = 48
 # Rare words that a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 # Fixed value: the characters that the vocabulary's white-space pattern matches (Unicode White_Space).
 WHITE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # Python's split() takes these for white space too; texts that hold them go through the library whole.
@@ -47,26 +48,28 @@ class WordEncoder:
     """Ids of whole texts, word by word.  ``known`` gives the ids of frequent words as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, known: dict[str, bytes] | None = None, remembered: int = REMEMBERED):
-        self.tok, self.known, self.rare, self.remembered = tokenizer(path), known or {}, {}, remembered
+        self.tok, self.ids, self.remembered, self.rare = tokenizer(path), {} if known is None else known, remembered, []
         # A text that holds the beginning of a special token is left to the library.
         self.marks = tuple({t.content[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content}) + SEPARATORS
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.rare) > self.remembered:
-            self.rare = {}
+            for word in self.rare:
+                del self.ids[word]
+            self.rare = []
+        ids = self.ids
         split: list[list[str] | None] = [None if any(m in t for m in self.marks) else t.split() for t in texts]
-        known, rare = self.known, self.rare
-        missing = list({w for words in split if words for w in words if w not in known and w not in rare})
+        missing = list(set(chain.from_iterable(filter(None, split))).difference(ids))
+        self.rare += missing
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
-            for word, got in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                rare[word] = np.array(got.ids, "<u4").tobytes()
+            ids.update(zip(part, [np.array(got.ids, "<u4").tobytes() for got in self.tok.encode_batch_fast(part, add_special_tokens=False)], strict=True))
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([known[w] if w in known else rare[w] for w in words]))
+                out.append(b"".join(map(ids.__getitem__, words)))
         return out
 
 
@@ -140,7 +143,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     known, key = spark.sparkContext.broadcast(word_table(docs, path, text_col, table_words)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lambda: WordEncoder(path, known.value))
+        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 4))
         for batch in batches:
             for i, j, texts in text_steps(batch.column("text"), 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])

@@ -157,8 +157,7 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def _results(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    top = np.iinfo(np.int64)
-    scores = [min(max(int(s), top.min), top.max) for _, _, found in parts for s in found]
+    scores = [int(s) for _, _, found in parts for s in found]
     return pa.table({
         "query_id": pa.array([q for q, ids, _ in parts for _ in ids], pa.int64()),
         "vec_id": pa.array([int(i) for _, ids, _ in parts for i in ids], pa.int64()),
@@ -186,7 +185,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     Rows with a null id, a null vector or a component that is null or not finite take no part.  A shorter vector counts as having zeros at
     its end.  A row is never its own neighbour, nor are rows with its id; rows that repeat id and vector count once.  Scores are exact
-    whole numbers, held to 64 bits.  Other columns are not read; an empty table gives an empty result.
+    whole numbers; one beyond 64 bits is an error.  Other columns are not read; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("raw")).filter(F.col("vec_id").isNotNull() & usable(F.col("raw")))

@@ -5,7 +5,7 @@ texts than in others; a text is read in overlapping windows, all of them, and sc
 looked up by hash in tables of what the training rows showed often enough; what they did not show enters as zeros.
 
 The network is trained on a bounded sample of labelled rows: each round finds the most toxic window of every text as the network sees it
-and teaches the text's label on it.  In training, a text's own part in the frequencies of its words is taken out.
+and teaches the text's label on it.  In training, a text's words are rated by texts other than itself.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def gathered(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
 def read_texts(texts: list[str]) -> Words:
     """Words of many texts, read in steps and numbered together."""
     data, offsets = flat(pa.array(texts, pa.large_string()))
-    parts = [read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in steps(offsets)]
+    parts = [read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in list(steps(offsets)) or [(0, 0)]]
     base = np.cumsum([0, *(len(p.hashes) for p in parts)])
     hashes, one, number = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
     at = np.concatenate([number[b + p.at] for b, p in zip(base, parts, strict=False)])
@@ -223,13 +223,14 @@ def document_counts(words: Words) -> tuple[tuple[np.ndarray, np.ndarray], tuple[
     return (words.hashes, in_texts), (grams, gram_texts)
 
 
-def _aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.union1d(a[0], b[0])
-    counts = [np.zeros(len(keys), np.float64) for _ in range(2)]
-    for c, (k, n) in zip(counts, (a, b), strict=True):
+def aligned(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes that stand in at least SEEN texts, and their counts of every list."""
+    keys = np.unique(np.concatenate([k for k, _ in counts]))
+    found = [np.zeros(len(keys), np.float64) for _ in counts]
+    for c, (k, n) in zip(found, counts, strict=True):
         c[np.searchsorted(keys, k)] = n
-    often = counts[0] + counts[1] >= SEEN
-    return keys[often], counts[0][often], counts[1][often]
+    often = sum(found) >= SEEN
+    return keys[often], [c[often] for c in found]
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model | Constant:
@@ -238,29 +239,32 @@ def train(texts: list[str], labels: np.ndarray) -> Model | Constant:
     if not len(labels) or labels.min() == labels.max():
         return Constant(float((labels.sum() + 1) / (len(labels) + 2)) if len(labels) else 0.0)
     rate = float(labels.mean())
-    sides = [read_texts([t for t, y in zip(texts, labels, strict=True) if y == label]) for label in (0, 1)]
+    # Four groups: both labels, each in two halves.  The words of a half are rated by the other one, so that no text votes on its own.
+    groups = [(label, half) for label in (0, 1) for half in (0, 1)]
+    place = np.zeros(len(labels), np.int64)
+    for label in (0, 1):
+        place[labels == label] = np.arange(int((labels == label).sum())) % 2
+    sides = [read_texts([t for t, y, h in zip(texts, labels, place, strict=True) if (y, h) == g]) for g in groups]
     counts = [document_counts(side) for side in sides]
-    words, other_w, toxic_w = _aligned(counts[0][0], counts[1][0])
-    grams, other_g, toxic_g = _aligned(counts[0][1], counts[1][1])
-    model = Model(words, log_odds(toxic_w, other_w, rate), grams, log_odds(toxic_g, other_g, rate))
+    words, word_counts = aligned([c[0] for c in counts])
+    grams, gram_counts = aligned([c[1] for c in counts])
+    model = Model(words, log_odds(word_counts[2] + word_counts[3], word_counts[0] + word_counts[1], rate), grams, log_odds(gram_counts[2] + gram_counts[3], gram_counts[0] + gram_counts[1], rate))
     parts = []
-    for label, side in enumerate(sides):
-        # A text does not vote on its own words.
-        own = (np.maximum(toxic_w - label, 0), np.maximum(other_w - (1 - label), 0)), (np.maximum(toxic_g - label, 0), np.maximum(other_g - (1 - label), 0))
-        odds = [np.append(log_odds(*o, rate), F32(0)) for o in own]
-        parts.append((side, model.places(side, *odds), windows_of(side.first)))
+    for (label, half), side in zip(groups, sides, strict=True):
+        odds = [np.append(log_odds(c[3 - half], c[1 - half], rate), F32(0)) for c in (word_counts, gram_counts)]
+        parts.append((label, side, model.places(side, *odds), windows_of(side.first)))
     rng, reach = np.random.default_rng(5), np.arange(WINDOW)[:, None]
     params = model.net.params | model.tables
     adam = Adam(params, RATE)
     for _ in range(ROUNDS):
         chosen = []
-        for label, (side, place, (text, start, length)) in enumerate(parts):
+        for k, (_, side, at, (text, start, length)) in enumerate(parts):
             if not len(text):
                 continue
-            found = model.logits(side.at, model.net.project(model.vectors(*place)), start, length)
+            found = model.logits(side.at, model.net.project(model.vectors(*at)), start, length)
             order = np.lexsort((-found, text))
             top = order[np.flatnonzero(np.concatenate([[True], text[order][1:] != text[order][:-1]]))]
-            chosen += [(label, w) for w in top.tolist()]
+            chosen += [(k, w) for w in top.tolist()]
         for step in range(STEPS):
             at = step * BATCH % max(len(chosen), 1)
             if at < BATCH:
@@ -268,19 +272,20 @@ def train(texts: list[str], labels: np.ndarray) -> Model | Constant:
             batch = chosen[at : at + BATCH]
             if not batch:
                 break
-            n, target = len(batch), np.array([y for y, _ in batch], F32)
+            n, group = len(batch), np.array([k for k, _ in batch])
+            target = (group >= 2).astype(F32)
             word, gram = np.full((WINDOW, n), -1, np.int64), np.full((WINDOW, n), -1, np.int64)
             odds, mask = np.zeros((WINDOW, n, 2), F32), np.zeros((WINDOW, n), bool)
-            for label, (side, place, (_, start, length)) in enumerate(parts):
-                columns = np.flatnonzero(target == label)
+            for k, (_, side, known, (_, start, length)) in enumerate(parts):
+                columns = np.flatnonzero(group == k)
                 if not len(columns):
                     continue
                 w = np.array([batch[c][1] for c in columns])
                 inside = reach < length[w]
                 index = side.at[np.minimum(start[w] + reach, len(side.at) - 1)]
                 mask[:, columns] = inside
-                word[:, columns], gram[:, columns] = place[0][index], place[1][index]
-                odds[:, columns] = place[2][index]
+                word[:, columns], gram[:, columns] = known[0][index], known[1][index]
+                odds[:, columns] = known[2][index]
             x = model.vectors(word.ravel(), gram.ravel(), odds.reshape(-1, 2))
             logit, kept = model.net.forward(model.net.project(x).reshape(WINDOW, n, -1), mask, keep=True)
             grads, d_gates = model.net.backward((sigmoid(logit) - target) / F32(n), kept)

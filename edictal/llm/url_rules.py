@@ -99,7 +99,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     asked = under.select("host", "path", F.explode("stack").alias("node")).withColumn("key", F.concat("node", "path"))
     rule_keys = rules.withColumn("key", F.concat("node", "rule_path"))
     found = sweep(asked, rule_keys.select("key").distinct()).filter(F.size("stack") > 0)
-    best = found.select("host", "path", F.element_at("stack", -1).alias("key")).groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"))).alias("best"))
+    best = found.select("host", "path", F.get("stack", F.size("stack") - 1).alias("key")).groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"))).alias("best"))
     # Rules of equal length differ in how much of it is host; a key can be read as several of them.
     named = rule_keys.groupBy("key").agg(F.max(F.struct(F.length("rule_host").alias("n"), "rule_host", "rule_path", "verdict")).alias("named"))
     answers = stage(best.select("host", "path", F.col("best.key").alias("key")).join(named, "key").select("host", "path", F.concat("named.rule_host", "named.rule_path").alias("rule"), "named.verdict"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,19 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(likely(rows, dropped, "filter_hash").join(dropped.select(key), key, "left_anti").select(rows.columns)).drop("filter_hash")
 
 
+def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
+    """What ``make`` makes of all of a bounded sample, made on an executor: its working memory stays off the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            made = pickle.dumps(make(pa.Table.from_batches(held)))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["made"])
+
+    got = rows.coalesce(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(got[0]["made"]) if got else make(pa.table({n: pa.array([], pa.string()) for n in rows.columns}))
+
+
 def fill(column: pa.Array, value="") -> pa.Array:
     """A text column as one array, null as the given value."""
     if isinstance(column, pa.ChunkedArray):

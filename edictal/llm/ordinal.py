@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictal.llm.common import fill, flat, span_hashes, steps, word_spans, words_per_value
+from edictal.llm.common import fill, flat, in_one_task, span_hashes, steps, word_spans, words_per_value
 
 # Bounds of the training sample: rated rows, and bytes of a text that may be among them.
-TRAIN_ROWS, TRAIN_BYTES = 6000, 1 << 17
+TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 17
 BUCKETS = 1 << 15
 # Weights of a whole text: 24 classes of length, 17 each of the part of its words that are distinct and that repeat the word before.
 LENGTHS, RATIOS = 24, 17
@@ -163,8 +163,8 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, id_col: str = "doc_id"
     sample = rated.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
     # The sample has at most ``rows`` rows of an id and a grade.
-    got = texts.join(F.broadcast(sample), "id").select("id", "y", "text").orderBy("id", "text").limit(rows).toArrow()
-    return train(got.column("text").to_pylist(), got.column("y").to_numpy(), levels)
+    got = texts.join(F.broadcast(sample), "id").select("id", "y", "text").orderBy("id", "text").limit(rows)
+    return in_one_task(got, lambda t: train(t.column("text").to_pylist(), np.array(t.column("y").to_pylist(), np.int64), levels))
 
 
 def grade(docs: DataFrame, model: Ordinal, columns: list[Column], text_col: str = "text", tail: int = TAIL, cut: float = CUT) -> DataFrame:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictal.llm.common import LOWER, fill, flat, span_hashes, steps, words_per_value
+from edictal.llm.common import LOWER, fill, flat, in_one_task, span_hashes, steps, words_per_value
 from edictal.llm.text_model import F32, Adam, Network, sigmoid
 
 # Bounds of the training sample: labelled rows, and bytes of a text that may be among them.
-TRAIN_ROWS, TRAIN_BYTES = 8000, 1 << 17
+TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 17
 WINDOW, STRIDE = 24, 16
 HIDDEN, EMBEDDING, GRAMS, SEEN = 6, 4, (4, 5), 4
 ROUNDS, STEPS, BATCH, RATE = 3, 125, 256, 0.01
@@ -316,8 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = marked.orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
     # The sample has at most ``rows`` rows of an id and a label.
-    got = texts.join(F.broadcast(sample), "id").select("id", "y", "text").orderBy("id", "text").limit(rows).toArrow()
-    return train(got.column("text").to_pylist(), np.minimum(got.column("y").to_numpy(), 1))
+    got = texts.join(F.broadcast(sample), "id").select("id", F.least("y", F.lit(1)).alias("y"), "text").orderBy("id", "text").limit(rows)
+    return in_one_task(got, lambda t: train(t.column("text").to_pylist(), np.array(t.column("y").to_pylist(), np.int64)))
 
 
 def score(docs: DataFrame, model: Model | Constant, columns: list[Column], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

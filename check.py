@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -32,6 +34,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
     names = [n for a in sys.argv[2:] for n in (__import__(f"edictal.queries.{a[1:]}", fromlist=["QUERIES"]).QUERIES if a[0] == "@" else [a])]
     path = f"/root/testdata/{sf}"
+    os.environ.setdefault("SPARK_CHECKPOINT_DIR", tempfile.mkdtemp(prefix="edictal-check-"))
     spark = local_session(8)
     db = duckdb.connect()
     for t in TABLES:

@@ -377,7 +377,7 @@ def pool_refs(n: Column | str) -> Column:
         F.transform(F.regexp_extract_all(n, F.lit(POOL_LIST), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(POOL_REF), F.lit(0)))
     )
     tails = F.transform(
-        F.slice(F.split(n, POOL_MARK), 2, 1000000), lambda t: F.left(t, F.lit(POOL_WINDOW))
+        F.slice(F.split(n, POOL_MARK), F.lit(2), F.size(F.split(n, POOL_MARK))), lambda t: F.left(t, F.lit(POOL_WINDOW))
     )
     lines = F.flatten(F.transform(tails, lambda t: F.regexp_extract_all(t, F.lit(POOL_LINE), F.lit(1))))
     single = F.regexp_extract_all(n, F.lit(POOL), F.lit(1))

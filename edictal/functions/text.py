@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -233,23 +234,39 @@ def agency_identity(c: Column | str) -> Column:
     )
 
 
-# The named character entities that bulletin pages use.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"),
-    ("&ntilde;", "ñ"), ("&ccedil;", "ç"), ("&agrave;", "à"), ("&egrave;", "è"), ("&ograve;", "ò"),
-    ("&ordm;", "º"), ("&ordf;", "ª"), ("&middot;", "·"), ("&laquo;", "«"), ("&raquo;", "»"), ("&amp;", "&"),
-)
+# What one byte of 80 to 9F means in the Windows encoding, which pages and repaired texts mean by such codes.
+WINDOWS = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; what is none is the replacement character."""
+    real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    found = F.decode(F.unhex(F.lpad(F.hex(F.when(real, code)), 8, "0")), "UTF-32")
+    return F.translate(F.coalesce(found, F.lit("\ufffd")), "".join(map(chr, WINDOWS)), "".join(WINDOWS.values()))
+
+
+def _entity(piece: Column) -> Column:
+    """What follows an ampersand, its entity restored; as it was, ampersand included, if it begins with none."""
+    name = F.regexp_extract(piece, "^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{0,30});", 1)
+    named = F.create_map(*[F.lit(x) for n, code in name2codepoint.items() for x in (n, chr(code))], F.lit("apos"), F.lit("'"))
+    digits = F.regexp_replace(name, "^#[xX]?", "")
+    code = F.when(F.lower(F.left(name, F.lit(2))) == "#x", F.conv(digits, 16, 10)).when(F.left(name, F.lit(1)) == "#", digits).cast("long")
+    found = F.when(code.isNotNull(), _character(code)).when(name != "", F.try_element_at(named, name))
+    return F.coalesce(F.concat(found, F.substring(piece, F.length(name) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
+
+def unescape(c: Column | str) -> Column:
+    """Character entities restored: named ones, and decimal and hexadecimal code points."""
+    pieces = F.split(col(c), "&")
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _entity)
+    return F.when(F.contains(col(c), F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))).otherwise(col(c))
 
 
 def html_text(c: Column | str) -> Column:
     """Visible text of a page: scripts, styles and tags dropped, entities restored, squeezed."""
     text = F.regexp_replace(col(c), r"(?is)<script\b[^>]*>.*?</script>", " ")
     text = F.regexp_replace(text, r"(?is)<style\b[^>]*>.*?</style>", " ")
-    text = F.regexp_replace(text, "<[^>]+>", " ")
-    for name, ch in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(ch))
-    return squeeze(text)
+    return squeeze(unescape(F.regexp_replace(text, "<[^>]+>", " ")))
 
 
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -349,14 +366,18 @@ def _marks(c: Column) -> Column:
 
 
 def _reread(c: Column) -> Column:
-    """The string re-read as UTF-8, if it fits in one byte per character and marks disappear."""
+    """The string re-read as UTF-8 from either one-byte encoding, if it fits in one byte per character and marks disappear."""
+    return F.coalesce(_from_bytes(c, c), _from_bytes(c, F.translate(c, "".join(WINDOWS.values()), "".join(map(chr, WINDOWS)))))
+
+
+def _from_bytes(marked: Column, c: Column) -> Column:
     fits = ~c.rlike(r"[^\x{00}-\x{FF}]")
     again = F.when(fits, F.try_validate_utf8(F.encode(F.when(fits, c), "ISO-8859-1").cast("string")))
-    return F.when((_marks(c) > 0) & again.isNotNull() & (_marks(again) < _marks(c)), again)
+    return F.when((_marks(marked) > 0) & again.isNotNull() & (_marks(again) < _marks(marked)), again)
 
 
 def repair_mojibake(c: Column | str) -> Column:
-    """UTF-8 read as latin-1, repaired whole if possible, else word by word."""
+    """UTF-8 read as latin-1 or as the Windows encoding, repaired whole if possible, else word by word."""
     c = col(c)
     words = F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(_reread(w), w)), " ")
     return F.when(_marks(c) > 0, F.coalesce(_reread(c), words)).otherwise(c)

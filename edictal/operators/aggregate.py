@@ -84,11 +84,12 @@ DIGEST_CAP = 40
 def digests(outbox: DataFrame, items: DataFrame, cap: int = DIGEST_CAP) -> DataFrame:
     """One digest per user: subject, the first ``cap`` items in order, and how many more there are.
 
-    ``outbox``: user_id, process_id, created, send_id; ``items``: process_id, name, line.  Only the rows
-    that will be listed meet their item and are collected.
+    ``outbox``: user_id, process_id, created, send_id; ``items``: process_id, name, line.  Rows without an
+    item neither count nor take a place; only the rows that will be listed meet the item's texts.
     """
-    listed = top_by(outbox, ["user_id"], [F.col("created"), F.col("send_id")], cap)
-    totals = outbox.groupBy("user_id").agg(F.count("*").alias("total"))
+    found = outbox.join(items.select("process_id"), "process_id", "left_semi")
+    listed = top_by(found, ["user_id"], [F.col("created"), F.col("send_id")], cap)
+    totals = found.groupBy("user_id").agg(F.count("*").alias("total"))
     lines = listed.join(items, "process_id").groupBy("user_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("body"),
         F.min_by("name", "rank").alias("first_name"),

@@ -14,6 +14,7 @@ from edictal.functions import classify as C
 from edictal.functions import extract as X
 from edictal.functions import text as T
 from edictal.operators.windows import debounce, first_by
+from edictal.sources.tables import absent
 
 
 def same(a: Column, b: Column) -> Column:
@@ -53,31 +54,31 @@ def recipients(paying: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """O3: rows of ``after`` whose key ``before`` lacks."""
-    return after.join(before, keys, "left_anti")
+    return absent(after, before, keys)
 
 
 def unseen(found: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Found items not in the seen set, each once; the next seen set is the union of both."""
-    return found.dropDuplicates(keys).join(seen, keys, "left_anti")
+    return absent(found.dropDuplicates(keys), seen, keys)
 
 
 def baseline_delta(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """What to drop from and add to a stored baseline (``delta`` is REMOVE or ADD)."""
-    gone = old.select(*keys).distinct().join(new, keys, "left_anti").withColumn("delta", F.lit("REMOVE"))
-    added = new.select(*keys).distinct().join(old, keys, "left_anti").withColumn("delta", F.lit("ADD"))
+    gone = absent(old.select(*keys).distinct(), new, keys).withColumn("delta", F.lit("REMOVE"))
+    added = absent(new.select(*keys).distinct(), old, keys).withColumn("delta", F.lit("ADD"))
     return gone.unionByName(added)
 
 
 def worklist(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Known items, never dropped, and the newly found ones."""
-    return known.unionByName(found.dropDuplicates(keys).join(known, keys, "left_anti"))
+    return known.unionByName(absent(found.dropDuplicates(keys), known, keys))
 
 
 # --- upserts -------------------------------------------------------------------------------------------------
 
 def insert_absent(target: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The rows of a batch to insert: first of each key, key not stored."""
-    return first_by(batch, keys, order).join(target, keys, "left_anti")
+    return absent(first_by(batch, keys, order), target, keys)
 
 
 def append_new(target: DataFrame, batch: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -424,4 +425,4 @@ def merge_by_key(old: DataFrame, new: DataFrame, parent: str, key: str, cols: li
     both = old.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1))).filter(~blank(key))
     at = F.struct("_side", "pos")
     merged = both.groupBy(parent, key).agg(F.min(at).alias("_first"), F.max_by(F.struct(*cols), at).alias("_last"))
-    return merged.select(parent, key, (F.col("_first._side") * 1000000000 + F.col("_first.pos")).alias("seen"), "_last.*")
+    return merged.select(parent, key, F.struct(F.col("_first._side").alias("side"), F.col("_first.pos").alias("pos")).alias("seen"), "_last.*")

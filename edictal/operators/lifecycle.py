@@ -64,6 +64,15 @@ def _evidence_for(process_type: str) -> Column:
     return F.when(is_pool_type(process_type), F.col("pool_evidence")).otherwise(F.col("any_evidence"))
 
 
+def _candidates(processes: DataFrame, *keep: str) -> DataFrame:
+    """Opportunities that may close or reopen, with no more than what decides: open ones, and those closed here."""
+    terminal = is_terminal("state")
+    own = F.coalesce(F.col("closure_origin") == R.OWN_CLOSURE, F.lit(False))
+    return processes.filter(F.col("is_opportunity") & (~terminal | own)).select(
+        "process_id", *keep, is_pool_type("process_type").alias("is_pool"), terminal.alias("closed")
+    )
+
+
 def reconcile(processes: DataFrame, notices: DataFrame, history: bool = False) -> DataFrame:
     """CLOSE and REOPEN actions.
 
@@ -71,12 +80,7 @@ def reconcile(processes: DataFrame, notices: DataFrame, history: bool = False) -
     no longer holds; closures made by others are never touched.  ``history`` marks the actions not
     significant, so a first load notifies nobody.
     """
-    terminal = is_terminal("state")
-    own = F.coalesce(F.col("closure_origin") == R.OWN_CLOSURE, F.lit(False))
-    # What decides, before the join: the process side carries only four narrow columns.
-    candidates = processes.filter(~terminal | own).select(
-        "process_id", "state", "closure_origin", is_pool_type("process_type").alias("is_pool"), terminal.alias("closed")
-    )
+    candidates = _candidates(processes, "state")
     evidence = best_evidence(notices)
     best = F.when(F.col("is_pool"), F.col("pool_evidence")).otherwise(F.col("any_evidence"))
     joined = candidates.join(evidence, "process_id", "left").withColumn("best", best)
@@ -110,29 +114,30 @@ def closing_states(processes: DataFrame, notices: DataFrame, keep: tuple[str, ..
     best = with_rule(notices).groupBy("process_id").agg(
         F.min(priority).alias("_any"), F.min(F.when(closes_pools("rule"), priority)).alias("_pool")
     )
-    terminal = is_terminal("state")
-    own = F.coalesce(F.col("closure_origin") == R.OWN_CLOSURE, F.lit(False))
-    candidates = processes.filter(~terminal | own).select(
-        "process_id", *keep, is_pool_type("process_type").alias("_is_pool"), terminal.alias("_closed")
-    )
-    joined = candidates.join(best, "process_id", "left").withColumn("_best", F.when(F.col("_is_pool"), F.col("_pool")).otherwise(F.col("_any")))
+    joined = _candidates(processes, *keep).join(best, "process_id", "left").withColumn("_best", F.when(F.col("is_pool"), F.col("_pool")).otherwise(F.col("_any")))
     state = chain(*[(F.col("_best") == p, name) for name, p in PRIORITY.items()], default=R.RUNNING)
-    return joined.filter(F.col("_closed") == F.col("_best").isNull()).select(
-        "process_id", *keep, F.when(F.col("_closed"), "REOPEN").otherwise("CLOSE").alias("action"), state.alias("new_state")
+    return joined.filter(F.col("closed") == F.col("_best").isNull()).select(
+        "process_id", *keep, F.when(F.col("closed"), "REOPEN").otherwise("CLOSE").alias("action"), state.alias("new_state")
     )
 
 
 def apply_closures(processes: DataFrame, actions: DataFrame) -> DataFrame:
-    """The snapshot after a reconciliation; the guard of U4 keeps closures made meanwhile."""
-    act = actions.select("process_id", "action", "new_state")
+    """The snapshot after a reconciliation; the guard of U4 keeps closures made meanwhile.
+
+    A closure is stored with its evidence (closure_rule, closure_notice_id, closure_title, closure_published), which goes when it is
+    taken back; a snapshot without these columns gets them.
+    """
+    evidence = {"closure_rule": "rule", "closure_notice_id": "notice_id", "closure_title": "title", "closure_published": "published"}
+    act = actions.select("process_id", F.col("action").alias("_action"), F.col("new_state").alias("_new_state"), *[F.col(c).alias(f"_{c}") for c in evidence.values()])
     joined = processes.join(act, "process_id", "left")
-    close = (F.col("action") == "CLOSE") & ~is_terminal("state")
-    reopen = F.col("action") == "REOPEN"
-    return (
-        joined.withColumn("closure_origin", F.when(close, R.OWN_CLOSURE).when(reopen, None).otherwise(F.col("closure_origin")))
-        .withColumn("state", F.when(close | reopen, F.col("new_state")).otherwise(F.col("state")))
-        .select(*processes.columns)
-    )
+    close = (F.col("_action") == "CLOSE") & ~is_terminal("state")
+    reopen = F.col("_action") == "REOPEN"
+    before = lambda c: F.col(c) if c in processes.columns else F.lit(None)
+    return joined.withColumns({
+        "closure_origin": F.when(close, R.OWN_CLOSURE).when(reopen, None).otherwise(F.col("closure_origin")),
+        "state": F.when(close | reopen, F.col("_new_state")).otherwise(F.col("state")),
+        **{c: F.when(close, F.col(f"_{given}")).when(reopen, None).otherwise(before(c)) for c, given in evidence.items()},
+    }).select(*processes.columns, *[c for c in evidence if c not in processes.columns])
 
 
 def closure_changes(actions: DataFrame) -> DataFrame:

@@ -86,13 +86,15 @@ def source_score(kind: Column, title: Column, url: Column) -> Column:
     return total
 
 
-def rank_sources(notices: DataFrame, k: int = 12) -> DataFrame:
-    """The ``k`` best source documents of each process."""
+def rank_sources(notices: DataFrame, k: int | None = None) -> DataFrame:
+    """The source documents of each process by their worth, the ``k`` best of them if a limit is given."""
     scored = notices.filter(F.trim(F.coalesce("url", F.lit(""))) != "").withColumn(
         "score", source_score(F.col("kind"), F.col("title"), F.col("url"))
     )
     order = [F.col("score").desc(), F.col("published").desc_nulls_last(), F.col("notice_id").desc()]
-    return top_by(scored, ["process_id"], order, k)
+    if k is not None:
+        return top_by(scored, ["process_id"], order, k)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("process_id").orderBy(*order)))
 
 
 def first_non_null(df: DataFrame, key: str, order: Column, cols: list[str]) -> DataFrame:
@@ -166,14 +168,17 @@ def recent(day: Column | str, as_of: Column, days: int | None = None, months: in
 
 # --- order and limit ----------------------------------------------------------------------------------------
 
-def clamp(n: int, most: int = 200) -> int:
-    return max(1, min(n, most))
+def page(n: int, most: int = 200) -> int:
+    """A page size; one that cannot be served is refused, not changed."""
+    if not 1 <= n <= most:
+        raise ValueError(f"a page has 1 to {most} rows, not {n}")
+    return n
 
 
 def top_catalogue(df: DataFrame, n: int = 100) -> DataFrame:
     """K1: catalogue order, newest first; a top-k, never a total sort."""
     day = F.coalesce("exam_date", "call_date", "opens")
-    return df.orderBy(day.desc_nulls_last(), F.col("process_id").desc()).limit(clamp(n))
+    return df.orderBy(day.desc_nulls_last(), F.col("process_id").desc()).limit(page(n))
 
 
 def review_queue(df: DataFrame, n: int = 300) -> DataFrame:
@@ -184,7 +189,7 @@ def review_queue(df: DataFrame, n: int = 300) -> DataFrame:
 
 def history(df: DataFrame, process_id, day: str, tie: str, n: int = 100) -> DataFrame:
     """K4: newest rows of one process."""
-    return df.filter(F.col("process_id") == process_id).orderBy(F.col(day).desc_nulls_last(), F.col(tie).desc()).limit(clamp(n))
+    return df.filter(F.col("process_id") == process_id).orderBy(F.col(day).desc_nulls_last(), F.col(tie).desc()).limit(page(n))
 
 
 def batch_after(df: DataFrame, last_id, n: int | None = None, recent_first: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from edictal import rules as R
 from edictal.functions.classify import has, is_private, is_terminal
 from edictal.operators.calendar import enrolment_state
 from edictal.operators.match import activity
-from edictal.operators.windows import clamp, top_catalogue
+from edictal.operators.windows import page, top_catalogue
 
 
 def offered(processes: DataFrame) -> DataFrame:
@@ -88,8 +88,8 @@ def catalogue_list(
     visible = catalogue(rows, agencies, notices, sources, as_of)
     if not open_now:
         # Only the rows that are shown are enriched.
-        return enriched(top_catalogue(visible, clamp(n)), sources, cal, as_of)
-    return top_catalogue(enriched(visible, sources, cal, as_of).filter("open_now"), clamp(n))
+        return enriched(top_catalogue(visible, page(n)), sources, cal, as_of)
+    return top_catalogue(enriched(visible, sources, cal, as_of).filter("open_now"), page(n))
 
 
 def detail(processes: DataFrame, agencies: DataFrame, notices: DataFrame, sources: DataFrame, cal: DataFrame, as_of: Column, wanted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from edictal import rules as R
 from edictal.functions.classify import is_private
 from edictal.operators.cdc import news_union
 from edictal.operators.match import news_counts
-from edictal.operators.windows import clamp, dedup_news
+from edictal.operators.windows import page, dedup_news
 
 NEWS_DAYS = 10
 
@@ -31,8 +31,7 @@ def my_feed(notices: DataFrame, changes: DataFrame, processes: DataFrame, follow
     listed = processes.filter(F.col("is_opportunity") & (F.col("scope") == "SI")).join(followed, "process_id", "left_semi").select("process_id", "name")
     window = lambda c: F.col(c).between(F.date_sub(as_of, NEWS_DAYS), as_of)
     news = substantive(notices.filter(window("published")), changes.filter(window("detected"))).join(listed, "process_id")
-    newest = news.orderBy(F.col("detected").desc_nulls_last(), F.col("news_id").desc()).limit(clamp(n))
-    return dedup_news(newest).orderBy(F.col("detected").desc_nulls_last(), F.col("news_id").desc())
+    return dedup_news(news).orderBy(F.col("detected").desc_nulls_last(), F.col("news_id").desc()).limit(page(n))
 
 
 def new_news(

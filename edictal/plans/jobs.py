@@ -101,12 +101,14 @@ def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame)
     ruled = staged.withColumn("_rule", C.closure_rule("_k"))
     ruled = ruled.withColumns({"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")})
     known = processes.select("stable_id", "process_id", C.is_pool_type("process_type").alias("_pool"))
-    done = stored.select("ref", "source_id", "url").distinct().withColumn("_done", F.lit(True))
+    # A missing reference, source or address is a value like any other: what was published without it is published.
+    done = stored.select(*[F.col(c).alias(f"_{c}") for c in ("ref", "source_id", "url")]).distinct().withColumn("_done", F.lit(True))
+    stored_already = F.col("ref").eqNullSafe(F.col("_ref")) & F.col("source_id").eqNullSafe(F.col("_source_id")) & F.col("url").eqNullSafe(F.col("_url"))
     ruled = stage(ruled.drop("_n", "_b", "_k", "title", "body"))
     at = F.struct(F.col("published").alias("a"), F.col("notice_id").alias("b"))
     founded = ruled.filter("_employment AND _base").groupBy("stable_id").agg(F.min(at).alias("_f"))
     first = founded.select("stable_id", F.col("_f.a").alias("_from"), F.col("_f.b").alias("_first"))
-    df = ruled.join(known, "stable_id", "left").join(first, "stable_id", "left").join(done, ["ref", "source_id", "url"], "left")
+    df = ruled.join(known, "stable_id", "left").join(first, "stable_id", "left").join(done, stored_already, "left")
     closes = F.col("_rule").isNotNull() & (~F.coalesce("_pool", F.lit(False)) | L.closes_pools("_rule"))
     exists = F.col("process_id").isNotNull()
     later = F.col("_first").isNotNull() & (
@@ -167,13 +169,13 @@ def clean_titles(processes: DataFrame) -> DataFrame:
     return plan.filter(F.col("new_name").isNotNull() | F.col("new_places").isNotNull())
 
 
-def syllabus(documents: DataFrame, k: int = 12) -> DataFrame:
+def syllabus(documents: DataFrame, k: int | None = None) -> DataFrame:
     """Q15: the syllabus of each process: the best-ranked readable document with a block, and its topics.
 
-    ``documents``: process_id, notice_id, kind, title, url, published, text.  Ranks are cut per process on
-    the map side before any text is read.
+    ``documents``: process_id, notice_id, kind, title, url, published, text.  Unreadable documents take no
+    rank; ``k`` may limit the readable ones that are looked at.
     """
-    ranked = W.rank_sources(documents, k).withColumn("_text", T.repair_glyphs("text")).filter(T.readable("_text"))
+    ranked = W.rank_sources(documents.withColumn("_text", T.repair_glyphs("text")).filter(T.readable("_text")), k)
     blocks = line_block(ranked, ["process_id", "notice_id", "rank"], "_text")
     usable = F.when(F.col("block").isNotNull(), F.col("rank"))
     best = blocks.groupBy("process_id").agg(F.min_by(F.struct("notice_id", "block"), usable).alias("b")).filter(F.col("b").isNotNull())

@@ -77,6 +77,14 @@ def append_new(spark, path):
     return U.append_new(target, n, ["ref", "source_id", "url"], [F.col("published"), F.col("notice_id")]).select("ref", "source_id", "url", "notice_id")
 
 
+def append_twice(spark, path):
+    """What a second run of a batch appends: nothing, whatever is missing in its keys."""
+    n, keys = view(spark, path, "notices"), ["ref", "source_id", "url"]
+    order = [F.col("published"), F.col("notice_id")]
+    first = U.append_new(n.limit(0).select(*keys), n, keys, order).select(*keys)
+    return U.append_new(first, n, keys, order).select(*keys, "notice_id")
+
+
 def upsert_keep(spark, path):
     out = U.upsert_keep(snapshot(spark, path), newer(spark, path), "process_id", SNAP[1:])
     return out.withColumn("closes", day("closes"))
@@ -199,7 +207,7 @@ def mark_baseline(spark, path):
 def fan_out_stage(spark, path):
     r = view(spark, path, "readings")
     news = r.select(F.col("k").alias("ad_id"), F.when(F.col("k") % 4 != 0, F.concat("k", F.lit("/24"))).alias("number"), "stage", F.col("opens").alias("published"))
-    e = edges(spark, path, False).filter(F.col("pool_id") < 40)
+    e = edges(spark, path, False)
     told = r.filter(F.col("k") % 5 == 2).select((F.col("pool_id")).alias("pool_id"), F.col("k").alias("ad_id"), "stage")
     return U.fan_out_stage(news, e, told).withColumn("published", day("published"))
 
@@ -287,12 +295,12 @@ def merge_by_key(spark, path):
     n = view(spark, path, "notices").groupBy("process_id", F.col("source_id").cast("string").alias("doc")).agg(F.min("n").alias("pos"), F.max("title").alias("title"))
     old = n.filter(F.col("pos") % 3 != 0)
     new = n.filter(F.col("pos") % 2 == 0).withColumn("title", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("N "), "title")))
-    return U.merge_by_key(old, new, "process_id", "doc", ["title"])
+    return U.merge_by_key(old, new, "process_id", "doc", ["title"]).select("process_id", "doc", "seen.*", "title")
 
 
 QUERIES = {
     **{f.__name__: f for f in (
-        news_union, recipients, snapshot_diff, unseen, baseline_delta, worklist, insert_absent, append_new, upsert_keep, fill_empty, guarded_update,
+        news_union, recipients, snapshot_diff, unseen, baseline_delta, worklist, insert_absent, append_new, append_twice, upsert_keep, fill_empty, guarded_update,
         apply_plan, silence_technical, fingerprint_plan, needs_refresh, persistence_plan, may_apply, ad_plan, upsert_edges, mark_baseline,
         fan_out_stage, reassign, patch, guarded_delete, without, fix_shift, rescope, close_pools, apply_subscriptions, replace_children,
         review_transition, manual_edit, manual_scope, merge_by_key,

@@ -60,6 +60,14 @@ def import_notices(spark, path):
     return J.import_notices(n, p, stored)
 
 
+def import_twice(spark, path):
+    """What a second import of the same bulletins publishes: nothing."""
+    n, p = bulletin(spark, path)
+    published = J.import_notices(n, p, n.limit(0)).filter("publish").select("notice_id")
+    stored = n.join(published, "notice_id", "left_semi").select("ref", "source_id", "url")
+    return J.import_notices(n, p, stored).filter("publish").select("notice_id", "action")
+
+
 def texts(spark, path):
     b = view(spark, path, "bodies").join(view(spark, path, "agencies").select("agency_id", "agency_name"), "agency_id")
     call = F.when(F.col("process_id") % 3 == 0, F.col("body"))
@@ -126,5 +134,5 @@ def review_cycle(spark, path):
 
 
 QUERIES = {f.__name__: f for f in (
-    import_calls, import_notices, group_pipeline, group_declared, clean_titles, syllabus, topics, quality, cycle_summary, cycle_snapshot, review_cycle,
+    import_calls, import_notices, import_twice, group_pipeline, group_declared, clean_titles, syllabus, topics, quality, cycle_summary, cycle_snapshot, review_cycle,
 )}

@@ -40,7 +40,7 @@ def reconcile_twice(spark, path):
 def apply_closures(spark, path):
     processes, notices = view(spark, path, "processes"), view(spark, path, "notices")
     after = L.apply_closures(processes, L.reconcile(processes, notices))
-    return after.select("process_id", "state", "closure_origin")
+    return after.select("process_id", "state", "closure_origin", "closure_rule", "closure_notice_id", "closure_title", day("closure_published").alias("closure_published"))
 
 
 def closure_changes(spark, path):

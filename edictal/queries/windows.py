@@ -23,7 +23,7 @@ def best_url(spark, path):
 
 
 def rank_sources(spark, path):
-    return W.rank_sources(view(spark, path, "notices"), 3).select("process_id", "notice_id", "score", "rank")
+    return W.rank_sources(view(spark, path, "notices")).select("process_id", "notice_id", "score", "rank")
 
 
 def first_non_null(spark, path):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +36,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("edictal")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    if "SPARK_CHECKPOINT_DIR" in os.environ:
+        builder = builder.config("spark.checkpoint.dir", os.environ["SPARK_CHECKPOINT_DIR"])
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
+        .config("edictal.deal", str(partitions))
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
@@ -47,14 +49,10 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is set and the master is local."""
+    """The shared folder that ``spark.checkpoint.dir`` names."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="edictal-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return folder
 
 

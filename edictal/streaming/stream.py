@@ -6,20 +6,29 @@ deduplicate within a watermark, state is kept per key, and sinks are written per
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from edictal.operators.windows import previous
 from edictal.schemas import TABLES
 
 
 def read_stream(spark: SparkSession, path: str, name: str = "events", files_per_batch: int = 1000) -> DataFrame:
-    """A table folder as a file stream; event times become zoned timestamps, which watermarks need."""
-    raw = (
-        spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    """A table as a file stream; event times become zoned timestamps, which watermarks need.
+
+    A table stored as a folder is streamed from that folder; one stored as a single file is found by its name.
+    """
+    table = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, f"{name}.parquet"))
+    files = table.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(table):
+        raise FileNotFoundError(f"no table {name} in {path}")
+    reader = spark.readStream.schema(TABLES[name]).option("maxFilesPerTrigger", files_per_batch)
+    if files.getFileStatus(table).isDirectory():
+        raw = reader.parquet(table.toString())
+    else:
+        raw = reader.option("pathGlobFilter", f"{name}.parquet").parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -39,52 +48,26 @@ def closed_days(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
 
 
-def _batches(folder: str, batch_id: int) -> list[str]:
-    """What earlier batches wrote: the last full copy and the batches since.
-
-    Every batch writes its own folder, so the list follows from the batch id alone, and a batch that runs
-    again after a lost driver replaces itself.
-    """
-    last_full = (batch_id // COMPACT_EVERY) * COMPACT_EVERY
-    full = [f"{folder}/full={last_full}"] if last_full else []
-    return full + [f"{folder}/batch={i}" for i in range(last_full, batch_id)]
-
-
-def _remember(fresh: DataFrame, folder: str, batch_id: int) -> None:
-    """Write the state a batch adds, and every so often a full copy that ends the list."""
-    fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-    if (batch_id + 1) % COMPACT_EVERY == 0:
-        spark = fresh.sparkSession
-        paths = [*_batches(folder, batch_id), f"{folder}/batch={batch_id}"]
-        spark.read.schema(fresh.schema).parquet(*paths).write.mode("overwrite").parquet(f"{folder}/full={batch_id + 1}")
-
-
-COMPACT_EVERY = 50
-
-
-def _earlier(spark: SparkSession, schema: T.StructType, folder: str, batch_id: int) -> DataFrame:
-    paths = _batches(folder, batch_id)
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
 def _start(stream: DataFrame, step, checkpoint: str):
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def track_seen(stream: DataFrame, folder: str, checkpoint: str, owner: str = "pool_id", item: str = "signature"):
-    """T4: every item of an owner once; items first seen together with their owner are its silent
-    baseline, later ones are news.  Repeats are dropped on the map side before anything is shuffled, so
-    neither an owner nor an item that is read over and over burdens one task."""
+    """T4: every item of an owner once; items first seen in the batch in which their owner is are its silent
+    baseline, later ones are news.
+
+    What was seen is the state of Spark's own deduplication.  Which owners are known is read from the sink, whose
+    batches before this one are final, so a batch that runs again replaces itself.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        found = batch.select(owner, item).dropDuplicates()
-        seen = _earlier(batch.sparkSession, found.schema, f"{folder}/seen", batch_id)
-        fresh = found.join(seen, [owner, item], "left_anti")
-        known = seen.select(owner).distinct().withColumn("_known", F.lit(True))
-        told = fresh.join(known, owner, "left").withColumn("news", F.coalesce("_known", F.lit(False))).drop("_known")
-        told.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-        _remember(fresh, f"{folder}/seen", batch_id)
+        earlier = [f"{folder}/out/batch={i}" for i in range(batch_id)]
+        spark = batch.sparkSession
+        known = spark.read.schema(batch.schema).parquet(*earlier) if earlier else spark.createDataFrame([], batch.schema)
+        known = known.select(F.col(owner).alias("_owner")).distinct().withColumn("_known", F.lit(True))
+        told = batch.join(known, F.col(owner).eqNullSafe(F.col("_owner")), "left").withColumn("news", F.coalesce("_known", F.lit(False)))
+        told.select(owner, item, "news").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    return _start(stream, step, checkpoint)
+    return _start(stream.select(owner, item).dropDuplicates([owner, item]), step, checkpoint)
 
 
 def debounce_stream(stream: DataFrame, folder: str, checkpoint: str):
@@ -111,13 +94,11 @@ def debounce_stream(stream: DataFrame, folder: str, checkpoint: str):
 
 
 def news_from_batches(stream: DataFrame, folder: str, keys: list[str], checkpoint: str):
-    """News events of every micro-batch: the keys no earlier batch published."""
+    """News events of every micro-batch: the keys no earlier batch published, by Spark's own deduplication."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
-        fresh = fresh.join(_earlier(batch.sparkSession, batch.schema, folder, batch_id).select(*keys), keys, "left_anti").select(*batch.columns)
-        _remember(fresh, folder, batch_id)
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    return _start(stream, step, checkpoint)
+    return _start(stream.dropDuplicates(keys), step, checkpoint)
 
 
 def backfill(stream: DataFrame, folder: str, checkpoint: str, notify: bool = False):

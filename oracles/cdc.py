@@ -71,7 +71,8 @@ SQL = {
     "append_new": sql("notices", """
         , o AS (SELECT DISTINCT ref, source_id, url FROM notices WHERE published < DATE '2000-01-01')
         , r AS (SELECT *, row_number() OVER (PARTITION BY ref, source_id, url ORDER BY published, notice_id) AS r FROM notices)
-        SELECT r.ref, r.source_id, r.url, notice_id FROM r LEFT JOIN o ON o.ref = r.ref AND o.source_id = r.source_id AND o.url = r.url WHERE r = 1 AND o.ref IS NULL"""),
+        SELECT ref, source_id, url, notice_id FROM r WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.ref IS NOT DISTINCT FROM r.ref AND o.source_id IS NOT DISTINCT FROM r.source_id AND o.url IS NOT DISTINCT FROM r.url)"""),
+    "append_twice": "SELECT CAST(NULL AS VARCHAR) AS ref, CAST(NULL AS BIGINT) AS source_id, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS notice_id WHERE false",
     "upsert_keep": sql("processes", f"{NEW} SELECT coalesce(n.process_id, s.process_id) AS process_id, coalesce(n.name, s.name) AS name, coalesce(n.places, s.places) AS places, coalesce(n.state, s.state) AS state, {_KEEP.format('n', 's')} FROM snap s FULL JOIN newer n ON n.process_id = s.process_id"),
     "fill_empty": sql("processes", f"""{NEW} SELECT s.process_id, s.name, coalesce(s.places, n.places) AS places, s.state, {_KEEP.format('s', 'n')},
         (s.places IS NULL AND n.places IS NOT NULL) OR (s.closes IS NULL AND n.closes IS NOT NULL) AS filled FROM snap s LEFT JOIN newer n ON n.process_id = s.process_id"""),
@@ -106,7 +107,7 @@ SQL = {
     "fan_out_stage": sql("readings", f"""{EDGES}
         , n AS (SELECT DISTINCT k AS ad_id, CASE WHEN k % 4 <> 0 THEN concat(k, '/24') END AS number, stage, opens AS published, {_STAGEKEY} AS sk, {CLEAN.format(sub(squeeze('stage'), T.STAGE_NOISE, ''))} AS clean FROM readings)
         , told AS (SELECT DISTINCT pool_id, k AS ad_id, {_STAGEKEY} AS sk FROM readings WHERE k % 5 = 2)
-        , r AS (SELECT DISTINCT ad_id, pool_id FROM eo WHERE pool_id < 40)
+        , r AS (SELECT DISTINCT ad_id, pool_id FROM eo WHERE pool_id IS NOT NULL)
         , j AS (SELECT r.pool_id, n.*, concat('ADC:', n.ad_id, ':', left(sha256(sk), 16), ':B', r.pool_id) AS ref FROM n JOIN r USING (ad_id) WHERE sk <> '' AND NOT EXISTS (SELECT 1 FROM told t WHERE t.pool_id = r.pool_id AND t.ad_id = n.ad_id AND t.sk = n.sk))
         , k AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY published NULLS LAST, stage) AS rn FROM j)
         SELECT pool_id, ad_id, ref, concat('ADC ', coalesce(number, CAST(ad_id AS VARCHAR)), ': ', coalesce(clean, 'novedad relacionada')) AS title, CAST(published AS VARCHAR) AS published FROM k WHERE rn = 1"""),
@@ -142,5 +143,5 @@ SQL = {
     "merge_by_key": sql("notices", """
         , n AS (SELECT process_id, CAST(source_id AS VARCHAR) AS doc, min(n) AS pos, max(title) AS title FROM notices GROUP BY 1, 2)
         , u AS (SELECT process_id, doc, 0 AS side, pos, title FROM n WHERE pos % 3 <> 0 UNION ALL SELECT process_id, doc, 1, pos, CASE WHEN pos % 4 = 0 THEN 'N ' || title END FROM n WHERE pos % 2 = 0)
-        SELECT process_id, doc, CAST(min(side * 1000000000 + pos) AS INT) AS seen, list_extract(list(title ORDER BY side DESC, pos DESC), 1) AS title FROM u GROUP BY 1, 2"""),
+        SELECT process_id, doc, min({'side': side, 'pos': pos}).side AS side, min({'side': side, 'pos': pos}).pos AS pos, list_extract(list(title ORDER BY side DESC, pos DESC), 1) AS title FROM u GROUP BY 1, 2"""),
 }

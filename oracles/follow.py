@@ -18,9 +18,8 @@ _LISTED = "SELECT process_id FROM processes WHERE is_opportunity AND scope = 'SI
 
 SQL = {
     "my_feed": sql("notices changes processes subscriptions", f"""{SUBSTANTIVE.replace('news AS', 'every AS')}
-        , news AS (SELECT * FROM every WHERE detected BETWEEN DATE '1999-06-20' AND DATE '1999-06-30' AND process_id IN ({_LISTED}) AND process_id IN (SELECT process_id FROM subscriptions WHERE active)
-                   ORDER BY detected DESC NULLS LAST, news_id DESC LIMIT 200){DEDUP}
-        SELECT news_id, process_id, news_kind, field, clean AS summary, CAST(detected AS VARCHAR) AS detected FROM kept WHERE r = 1"""),
+        , news AS (SELECT * FROM every WHERE detected BETWEEN DATE '1999-06-20' AND DATE '1999-06-30' AND process_id IN ({_LISTED}) AND process_id IN (SELECT process_id FROM subscriptions WHERE active)){DEDUP}
+        SELECT news_id, process_id, news_kind, field, clean AS summary, CAST(detected AS VARCHAR) AS detected FROM (SELECT * FROM kept WHERE r = 1 ORDER BY detected DESC NULLS LAST, news_id DESC LIMIT 200)"""),
     "new_news": sql("notices changes processes subscriptions", f"""{SUBSTANTIVE}
         , p AS (SELECT process_id, {PRIVATE} AS private FROM processes WHERE is_opportunity AND scope = 'SI')
         SELECT user_id, process_id, count(*) AS n_news, CAST(max(detected) AS VARCHAR) AS newest FROM subscriptions JOIN p USING (process_id) JOIN news USING (process_id)

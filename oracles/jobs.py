@@ -49,9 +49,9 @@ def notices_import(stored: str, known: str) -> str:
 , g AS (SELECT *, {FOUNDING} AS base, {_EMPL} AS empl FROM f)
 , first AS (SELECT stable_id, arg_min(notice_id, {{'a': published, 'b': notice_id}}) AS fid, min({{'a': published, 'b': notice_id}}) AS fk FROM g WHERE base AND empl GROUP BY 1)
 , p AS (SELECT {known} AS stable_id, process_id, {POOL} AS pool FROM processes)
-, done AS (SELECT DISTINCT ref, source_id, url FROM notices WHERE {stored})
-, h AS (SELECT g.*, p.process_id, p.process_id IS NOT NULL AS ex, coalesce(fk < {{'a': g.published, 'b': g.notice_id}}, false) AS later, fid, rule IS NOT NULL AND (NOT coalesce(pool, false) OR closes_pools) AS closing, done.ref IS NOT NULL AS dup
-    FROM g LEFT JOIN p USING (stable_id) LEFT JOIN first USING (stable_id) LEFT JOIN done ON done.ref = g.ref AND done.source_id = g.source_id AND done.url = g.url)
+, done AS (SELECT DISTINCT ref, source_id, url, true AS d FROM notices WHERE {stored})
+, h AS (SELECT g.*, p.process_id, p.process_id IS NOT NULL AS ex, coalesce(fk < {{'a': g.published, 'b': g.notice_id}}, false) AS later, fid, rule IS NOT NULL AND (NOT coalesce(pool, false) OR closes_pools) AS closing, coalesce(done.d, false) AS dup
+    FROM g LEFT JOIN p USING (stable_id) LEFT JOIN first USING (stable_id) LEFT JOIN done ON done.ref IS NOT DISTINCT FROM g.ref AND done.source_id IS NOT DISTINCT FROM g.source_id AND done.url IS NOT DISTINCT FROM g.url)
 , im AS (SELECT *, CASE WHEN NOT empl THEN 'IGNORE' WHEN base AND ex THEN 'REFRESH' WHEN base AND fid = notice_id THEN 'CREATE' WHEN base THEN 'REFRESH' WHEN (ex OR later) AND closing THEN 'CLOSE' WHEN ex OR later THEN 'LINK' ELSE 'ORPHAN' END AS action FROM h)
 """
 
@@ -89,6 +89,7 @@ SQL = {
         SELECT call_id, document_id, decision, CASE decision WHEN 'EVENTO_DOCUMENTAL_IDENTIFICADO' THEN ev WHEN 'EXISTENTE_BOE' THEN known WHEN 'VINCULADA_BOP' THEN base END AS process_id, agency_id FROM dc"""),
     "import_notices": sql("notices processes", f"""{notices_import("published < DATE '1998-01-01'", "concat('D:', process_id)")}
         SELECT notice_id, stable_id, process_id, action, action NOT IN ('IGNORE', 'ORPHAN') AND NOT dup AS publish, CASE WHEN base THEN 'CONVOCATORIA' ELSE 'BOP' END AS kind FROM im"""),
+    "import_twice": "SELECT CAST(NULL AS VARCHAR) AS notice_id, CAST(NULL AS VARCHAR) AS action WHERE false",
     "group_pipeline": sql("processes agencies bodies", f"""{GROUPS}
         SELECT p.process_id, left(coalesce(s2, s3, s4), 1) AS grp, coalesce(s2, s3, s4) AS subgroup, {_SRC} AS origin, CASE WHEN s2 IS NULL THEN p3 END AS places
         FROM processes p LEFT JOIN c2 USING (process_id) LEFT JOIN c3 USING (process_id) LEFT JOIN c4 USING (process_id) WHERE p.process_id % 7 <> 0"""),

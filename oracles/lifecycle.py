@@ -37,7 +37,7 @@ POOL = f"regexp_matches({key('process_type')}, 'bolsa|borsa')"
 ACTIONS = f"""{EVENTS}
 , candidates AS (
     SELECT process_id, state, {POOL} AS is_pool, {TERMINAL} AS closed FROM processes
-    WHERE NOT {TERMINAL} OR coalesce(closure_origin = 'RECONCILIACION', false))
+    WHERE is_opportunity AND (NOT {TERMINAL} OR coalesce(closure_origin = 'RECONCILIACION', false)))
 , best AS (
     SELECT c.process_id, e.closing_state, e.rule, e.notice_id, e.title, e.published,
            row_number() OVER (PARTITION BY c.process_id ORDER BY {_ORDER}) AS r
@@ -61,7 +61,8 @@ SQL = {
     "reconcile_twice": sql("processes", " SELECT CAST(0 AS BIGINT) AS n"),
     "apply_closures": sql("processes notices", f"""{ACTIONS}
         SELECT p.process_id, coalesce(a.new_state, p.state) AS state,
-               CASE a.action WHEN 'CLOSE' THEN 'RECONCILIACION' WHEN 'REOPEN' THEN NULL ELSE p.closure_origin END AS closure_origin
+               CASE a.action WHEN 'CLOSE' THEN 'RECONCILIACION' WHEN 'REOPEN' THEN NULL ELSE p.closure_origin END AS closure_origin,
+               a.rule AS closure_rule, a.notice_id AS closure_notice_id, a.title AS closure_title, CAST(a.published AS VARCHAR) AS closure_published
         FROM processes p LEFT JOIN actions a USING (process_id)"""),
     "closure_changes": sql("processes notices", f"""{ACTIONS}
         SELECT process_id, notice_id, 'ACTUALIZACION' AS kind, 'estado' AS field, old_state AS old, new_state AS new,

@@ -31,11 +31,15 @@ def clean_title() -> str:
     return f"trim({sub(job, r'\s+', ' ')}, ' ,')"
 
 
+# The entities that occur in the given pages.
+ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+
+
 def html() -> str:
     t = sub("html", r"(?is)<script\b[^>]*>.*?</script>", " ")
     t = sub(t, r"(?is)<style\b[^>]*>.*?</style>", " ")
     t = sub(t, "<[^>]+>", " ")
-    for name, ch in T.ENTITIES:
+    for name, ch in ENTITIES:
         t = f"replace({t}, {q(name)}, {q(ch)})"
     return squeeze(t)
 

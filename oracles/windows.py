@@ -35,7 +35,7 @@ SQL = {
     "rank_sources": sql("notices", f"""
         , s AS (SELECT *, CAST({SCORE} AS INT) AS score FROM notices WHERE trim(coalesce(url, '')) <> '')
         , r AS (SELECT *, CAST(row_number() OVER (PARTITION BY process_id ORDER BY score DESC, published DESC NULLS LAST, notice_id DESC) AS INT) AS rank FROM s)
-        SELECT process_id, notice_id, score, rank FROM r WHERE rank <= 3"""),
+        SELECT process_id, notice_id, score, rank FROM r"""),
     "first_non_null": sql("notices", """
         SELECT process_id, first(url ORDER BY published, notice_id) FILTER (WHERE url IS NOT NULL) AS url, first(n ORDER BY published, notice_id) FILTER (WHERE n % 3 = 0) AS code
         FROM notices GROUP BY 1"""),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import tempfile
 
 import pytest
@@ -9,8 +10,7 @@ from edictal.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
+    os.environ.setdefault("SPARK_CHECKPOINT_DIR", tempfile.mkdtemp(prefix="edictal-tests-"))
     session = local_session(4, partitions=4, memory="6g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="edictal-tests-"))
     yield session
     session.stop()

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from edictal.operators.windows import previous
 from edictal.streaming import stream as S
 
@@ -37,8 +39,7 @@ def test_debounce_over_batches_equals_one_pass(spark, tmp_path):
     assert got == {r.reading_id for r in whole.collect() if r.off and r.b}
 
 
-def test_news_once_with_compaction(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(S, "COMPACT_EVERY", 2)
+def test_news_once_over_batches(spark, tmp_path):
     schema, folder = "k long", str(tmp_path / "in")
     out, check = str(tmp_path / "o"), str(tmp_path / "c")
     for part in ([1, 2], [2, 3], [1, 4], [4, 5], [5, 1]):
@@ -48,6 +49,21 @@ def test_news_once_with_compaction(spark, tmp_path, monkeypatch):
     assert sorted(got) == [1, 2, 3, 4, 5]
 
 
+def test_tables_are_streamed_as_files_and_as_folders(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = events.count()
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    events.repartition(3).write.parquet(str(folder / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    single.mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(single / "events.parquet")
+    for k, path in enumerate((folder, single)):
+        S.run_to_table(S.read_stream(spark, str(path), files_per_batch=1), str(tmp_path / f"o{k}"), str(tmp_path / f"c{k}"))
+        assert spark.read.parquet(str(tmp_path / f"o{k}")).count() == rows
+    with pytest.raises(FileNotFoundError):
+        S.read_stream(spark, str(tmp_path / "none"))
+
+
 def test_reread_rows_come_out_once(spark, tmp_path):
     schema, folder = "id long, ts timestamp", str(tmp_path / "in")
     write(spark, [(1, dt.datetime(2026, 1, 1)), (2, dt.datetime(2026, 1, 2))], schema, folder)

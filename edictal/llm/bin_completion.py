@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edictal.llm.word_table import WordEncoder, encoder, text_steps
 from edictal.session import stage
@@ -250,8 +251,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [n for n in batch.schema.names if n not in ("part", "nth")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name not in ("part", "nth"))
-    return ranked.mapInArrow(run, f"{kept}, sequence_id long, offset long")
+    kept = [f for f in ranked.schema if f.name not in ("part", "nth")]
+    return ranked.mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack(docs: DataFrame, path: str, **options) -> DataFrame:

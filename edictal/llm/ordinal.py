@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edictal.llm.common import fill, flat, in_one_task, span_hashes, steps, word_spans, words_per_value
 
@@ -184,5 +185,5 @@ def grade(docs: DataFrame, model: Ordinal, columns: list[Column], text_col: str
             kept, chosen = batch.schema.names[:-1], tails[:, tail - 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(tails.sum(axis=1)), pa.array(chosen), pa.array(chosen >= cut)], names=[*kept, "expected_grade", "tail_probability", "selected"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kept}, expected_grade double, tail_probability double, selected boolean")
+    added = [T.StructField(n, t) for n, t in (("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()), ("selected", T.BooleanType()))]
+    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *added]))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edictal.llm.common import LOWER, fill, flat, in_one_task, span_hashes, steps, words_per_value
 from edictal.llm.text_model import F32, Adam, Network, sigmoid
@@ -334,5 +335,5 @@ def score(docs: DataFrame, model: Model | Constant, columns: list[Column], text_
             kept = batch.schema.names[:-1]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{kept}, score double, predicted int")
+    schema = T.StructType([*rows.schema[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema)

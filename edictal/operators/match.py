@@ -312,7 +312,8 @@ def match_document_event(events: DataFrame, resolutions: DataFrame) -> DataFrame
     """Process a correction or annulment refers to, by the resolution it cites.
 
     ``events``: document_id, entity, province, cited; ``resolutions``: process_id, agency_name, province,
-    resolved — one row per gazette notice of a process.
+    resolved — one row per gazette notice of a process.  Entities of one document are decided apart: one that has a
+    process says nothing of another.
     """
     build = resolutions.filter(F.col("resolved").isNotNull()).select(
         F.col("resolved").alias("_day"), T.fold("province").alias("_province"), F.array(T.fold("agency_name")).alias("_alias"), "process_id"
@@ -320,7 +321,8 @@ def match_document_event(events: DataFrame, resolutions: DataFrame) -> DataFrame
     probe = events.withColumn("_day", F.col("cited")).withColumn("_province", T.fold("province")).withColumn(
         "_alias", T.entity_variants("entity")
     )
-    return unique_match_any(probe, build, ["_day", "_province"], "_alias", "document_id", "process_id").drop("_day", "_province", "_alias")
+    probe = probe.withColumn("_probe", F.struct("document_id", "entity", "province", "cited"))
+    return unique_match_any(probe, build, ["_day", "_province"], "_alias", "_probe", "process_id").drop("_day", "_province", "_alias", "_probe")
 
 
 def _kind(tokens: str, kinds: tuple[str, ...]) -> Column:

@@ -43,7 +43,8 @@ def import_calls(
     df = stage(df)
     act = F.coalesce(F.col("document_type").isin("RECTIFICACION", "ANULACION"), F.lit(False))
     events = M.match_document_event(df.filter(act).select("document_id", "entity", "province", "cited").distinct(), resolutions)
-    df = df.join(events.select("document_id", F.col("match_id").alias("_event")).dropDuplicates(["document_id"]), "document_id", "left")
+    asked = F.struct("document_id", "entity", "province", "cited")
+    df = df.withColumn("_probe", asked).join(events.select(asked.alias("_probe"), F.col("match_id").alias("_event")), "_probe", "left").drop("_probe")
 
     owners = M.unique_match_any(
         df.select("entity", "province").distinct().withColumns(
@@ -65,7 +66,7 @@ def import_calls(
     flag = lambda rows, key, name: rows.select(key).distinct().withColumn(name, F.lit(True))
     df = df.join(flag(stored, "document_id", "_stored"), "document_id", "left")
     df = df.join(flag(absorbed, "document_id", "_absorbed"), "document_id", "left")
-    known = processes.select(F.col("stable_id").alias("_stable"), F.col("process_id").alias("_known")).dropDuplicates(["_stable"])
+    known = processes.select(F.col("stable_id").alias("_stable"), "process_id").groupBy("_stable").agg(F.min("process_id").alias("_known"))
     df = df.join(known, F.concat(F.lit("BOELOCAL:"), "call_id") == F.col("_stable"), "left")
 
     yes = lambda c: F.coalesce(c, F.lit(False))

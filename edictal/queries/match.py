@@ -106,6 +106,16 @@ def match_document_event(spark, path):
     return M.match_document_event(events, r).select("document_id", "match_id", "status")
 
 
+def match_two_entities(spark, path):
+    """Documents that name two entities, of which one may have a process of that day and the other not."""
+    r = view(spark, path, "notices").filter(F.col("source_id") % 3 == 1).join(owned(spark, path).select("process_id", "town", "province"), "process_id").select(
+        "process_id", F.concat(F.lit("Ayuntamiento de "), F.split_part("town", F.lit("/"), F.lit(2))).alias("agency_name"), "province", F.col("published").alias("resolved")
+    )
+    one = owned(spark, path).select(F.col("process_id").alias("document_id"), F.concat(F.lit("Ayuntamiento de "), "town").alias("entity"), "province", F.date_add("call_date", 60).alias("cited"))
+    two = one.withColumn("entity", F.concat("entity", F.lit(" de Abajo")))
+    return M.match_document_event(one.unionByName(two), r).select("document_id", "entity", "match_id", "status")
+
+
 def match_identity(spark, path):
     p = view(spark, path, "processes").select("process_id", F.concat_ws(" ", "name", F.lit("convocatoria"), F.concat("places", F.lit("/1999"))).alias("name"))
     return M.match_identity(p, view(spark, path, "notices"))
@@ -187,6 +197,6 @@ def canonical_id(spark, path):
 
 QUERIES = {f.__name__: f for f in (
     enrich, unique_match, resolve_source, resolve_agency, match_call_to_base, recover_calls, match_follow_up, match_by_content, best_notice,
-    match_document_event, match_identity, match_signature, resolve_pool_refs, match_any_id, keep_in, keep_not_in, with_activity, news_counts,
+    match_document_event, match_two_entities, match_identity, match_signature, resolve_pool_refs, match_any_id, keep_in, keep_not_in, with_activity, news_counts,
     fan_out_events, fan_out_recipients, split_collisions, nearest_date, canonical_id,
 )}

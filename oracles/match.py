@@ -123,6 +123,11 @@ SQL = {
         , r AS (SELECT DISTINCT process_id, {fold(_HALF.format(2))} AS e, lower(province) AS province, published AS d FROM notices n JOIN (SELECT process_id, town, province FROM owned) o USING (process_id) WHERE n.source_id % 3 = 1)
         , v AS (SELECT process_id AS document_id, lower(province) AS province, call_date + 60 AS d, unnest(list_distinct([{fold('town')}, {fold(_HALF.format(1))}, {fold(_HALF.format(2))}])) AS e FROM owned)
         SELECT document_id, {ONE.format('r.process_id')} FROM v LEFT JOIN r ON r.e = v.e AND r.province = v.province AND r.d = v.d GROUP BY 1"""),
+    "match_two_entities": sql("notices processes agencies", f"""{OWNED}
+        , r AS (SELECT DISTINCT process_id, {fold(_HALF.format(2))} AS e, lower(province) AS province, published AS d FROM notices n JOIN (SELECT process_id, town, province FROM owned) o USING (process_id) WHERE n.source_id % 3 = 1)
+        , o AS (SELECT process_id AS document_id, concat('Ayuntamiento de ', town) AS entity, lower(province) AS province, call_date + 60 AS d, unnest(list_distinct([{fold('town')}, {fold(_HALF.format(1))}, {fold(_HALF.format(2))}])) AS e FROM owned)
+        SELECT document_id, entity, {ONE.format('r.process_id')} FROM o LEFT JOIN r ON r.e = o.e AND r.province = o.province AND r.d = o.d GROUP BY 1, 2
+        UNION ALL SELECT process_id, concat('Ayuntamiento de ', town, ' de Abajo'), NULL, 'NONE' FROM owned"""),
     "match_identity": sql("notices processes", f"""
         , p AS (SELECT process_id, {identity("concat_ws(' ', name, 'convocatoria', concat(places, CASE WHEN places IS NOT NULL THEN '/1999' END))")} AS t FROM processes)
         , d AS (SELECT {identity('title')} AS t, count(*) AS n, min(notice_id) AS lo, max(notice_id) AS hi FROM notices GROUP BY 1)

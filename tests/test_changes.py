@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edictal.operators import cdc as U
+from edictal.operators.windows import page
 from edictal.operators import windows as W
 from edictal.sources import sinks, tables
 
@@ -80,3 +81,20 @@ def test_small_catalogue_is_rejected(spark, tmp_path):
     assert [(r.ine, r.province, r.aliases) for r in got] == [("03001", "Alicante", ["alfa"])]
     with pytest.raises(Exception):
         sinks.write_report(rows, str(tmp_path / "towns"))
+
+
+def test_a_missing_key_part_is_stored_once(spark):
+    """What was inserted with a null in its key is found again on a second run."""
+    keys = ["ref", "url"]
+    batch = spark.createDataFrame([("a", None, 1), ("a", None, 2), (None, "u", 3), (None, None, 4)], "ref string, url string, n int")
+    first = U.insert_absent(batch.limit(0), batch, keys, [F.col("n")])
+    assert sorted(r.n for r in first.collect()) == [1, 3, 4]
+    for stored in (first, first.select(*keys)):
+        assert U.insert_absent(stored, batch, keys, [F.col("n")]).count() == 0
+    assert U.unseen(batch, first, keys).count() == U.snapshot_diff(first, batch, keys).count() == 0
+    assert {r.delta for r in U.baseline_delta(first, batch.filter("n = 3"), keys).collect()} == {"REMOVE"}
+
+
+def test_pages_are_not_clamped():
+    with pytest.raises(ValueError, match="1 to 200"):
+        page(1000)

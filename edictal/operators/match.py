@@ -262,7 +262,8 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
     ``processes``: process_id, name, town, base_date; ``notices``: notice_id, title, published.  A notice
     belongs to the entity if its issuer is the town or its title has all the words of the town.  New calls
     are preferred; then the more common and the fewer extra words.  Both sides are reduced to distinct
-    texts per date before they meet on a word of the town.
+    texts per date before they meet: on the issuer, or on the word of the town that the fewest towns have,
+    which a title with all its words must have too.
     """
     p = (
         processes.filter(F.col("base_date").isNotNull() & F.col("town").isNotNull())
@@ -272,9 +273,11 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
         .drop("_p")
     )
     p = stage(p)
-    asked = p.select(F.col("base_date").alias("_day"), "_entity", "_ewords", "_pwords").distinct().withColumn(
-        "_w", F.coalesce(F.array_min("_ewords"), F.lit(""))
-    )
+    # Counted over the towns, not over the facts.
+    towns = p.select("_entity", "_ewords").distinct().withColumn("_w", F.explode("_ewords"))
+    common = towns.groupBy("_w").agg(F.count("*").alias("_towns"))
+    rarest = towns.join(common, "_w").groupBy("_entity").agg(F.min(F.struct("_towns", "_w")).alias("_r")).select("_entity", F.col("_r._w").alias("_w"))
+    asked = p.select(F.col("base_date").alias("_day"), "_entity", "_ewords", "_pwords").distinct().join(rarest, "_entity", "left")
     n = (
         notices.withColumn("_n", T.fold("title"))
         .select(
@@ -286,16 +289,15 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
         .groupBy("_day", "_town", "_new", "_twords", "_nwords")
         .agg(F.min("notice_id").alias("_l"), F.max("notice_id").alias("_h"))
     )
-    words = n.withColumn("_w", F.explode(F.array_union("_twords", F.array(F.lit("")))))
-    entity = (F.coalesce(F.col("_town") == F.col("_entity"), F.lit(False))) | (
-        (F.size("_ewords") > 0) & (F.size(F.array_except("_ewords", "_twords")) == 0)
-    )
+    named = (F.size("_ewords") > 0) & (F.size(F.array_except("_ewords", "_twords")) == 0)
     score = F.struct(
         F.size(F.array_intersect("_pwords", "_nwords")).alias("common"),
         (-F.size(F.array_except("_nwords", "_pwords"))).alias("extra"),
     )
     keys = ["_day", "_entity", "_ewords", "_pwords"]
-    pairs = asked.join(words, ["_day", "_w"]).filter(entity).withColumn("_score", score)
+    by_word = asked.join(n.withColumn("_w", F.explode("_twords")), ["_day", "_w"]).filter(named)
+    by_issuer = asked.join(n.withColumn("_entity", F.col("_town")), ["_day", "_entity"]).filter(~named)
+    pairs = by_word.unionByName(by_issuer).withColumn("_score", score)
     ranked = pairs.groupBy(*keys, "_new", "_score").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
     kinds = ranked.groupBy(*keys, "_new").agg(
         F.min("_l").alias("_low"), F.max("_h").alias("_high"), F.max_by(F.struct("_l", "_h", "_score"), "_score").alias("_best")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -53,6 +56,21 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(likely(rows, dropped, "filter_hash").join(dropped.select(key), key, "left_anti").select(rows.columns)).drop("filter_hash")
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker gives freed memory back to the system: it lives on, beside the JVM, for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
     """What ``make`` makes of all of a bounded sample, made on an executor: its working memory stays off the driver."""
 
@@ -62,7 +80,7 @@ def in_one_task(rows: DataFrame, make: Callable[[pa.Table], object]):
             made = pickle.dumps(make(pa.Table.from_batches(held)))
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["made"])
 
-    got = rows.coalesce(1).mapInArrow(run, "made binary").collect()
+    got = rows.coalesce(1).mapInArrow(trimmed(run), "made binary").collect()
     return pickle.loads(got[0]["made"]) if got else make(pa.table({n: pa.array([], pa.string()) for n in rows.columns}))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictal.llm.common import LOWER, flat, likely, steps
+from edictal.llm.common import LOWER, flat, likely, steps, trimmed
 from edictal.session import stage
 
 CHUNK_BYTES = 1 << 20
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select((F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("probe"), text.cast("binary").alias("body")).withColumn("n_bytes", F.octet_length("body").cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = source.select("row", "id", "probe", "n_bytes", _chunks(F.col("body"), F.col("n_bytes"), chunk_bytes))
-    hashed = chunks.mapInArrow(_hash_chunks(primes, chunk_bytes), f"row long, id {kind}, probe long, n_bytes long, f1 long, f2 long, sha string")
+    hashed = chunks.mapInArrow(trimmed(_hash_chunks(primes, chunk_bytes)), f"row long, id {kind}, probe long, n_bytes long, f1 long, f2 long, sha string")
     sums = [F.pmod(F.sum(f"f{k + 1}"), F.lit(p)).alias(f"f{k + 1}") for k, p in enumerate(primes)]
     return hashed.groupBy("row").agg(F.first("id").alias("id"), F.first("probe").alias("probe"), F.first("n_bytes").alias("n_bytes"), *sums, F.max("sha").alias("sha"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictal.llm.common import LOWER, fill, flat, likely, mix, runs, span_hashes, steps, word_spans, words_per_value
+from edictal.llm.common import LOWER, fill, flat, likely, mix, runs, span_hashes, steps, trimmed, word_spans, words_per_value
 from edictal.llm.components import components
 from edictal.session import stage
 
@@ -216,7 +216,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> D
     text, probe = _text(text_col)
     found = likely(docs.select(text.alias("text"), probe.alias("probe")), wanted.select("probe"), "probe")
     one = found.groupBy("probe").agg(F.first("text").alias("text")).join(wanted.select("probe").distinct(), "probe", "left_semi")
-    return one.select("text").mapInArrow(run, "s1 long, s2 long, shingles binary")
+    return one.select("text").mapInArrow(trimmed(run), "s1 long, s2 long, shingles binary")
 
 
 def _text(text_col: str) -> tuple[Column, Column]:
@@ -240,7 +240,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     text, probe = _text(text_col)
     most = most_differing(percent / 100 - LEEWAY)
     source = docs.select((F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"), F.col(id_col).alias("id"), probe.alias("probe"), text.alias("text"))
-    read = stage(source.mapInArrow(_read(words, band_rows(percent)), f"row long, id {kind}, probe long, n long, s1 long, s2 long, keys array<long>, sketch binary"))
+    read = stage(source.mapInArrow(trimmed(_read(words, band_rows(percent))), f"row long, id {kind}, probe long, n long, s1 long, s2 long, keys array<long>, sketch binary"))
     # A class for every set: the row with the smallest number stands for it.
     first = stage(read.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("cid")))
     classes = stage(read.join(first.select(F.col("cid").alias("row")), "row", "left_semi").select(F.col("row").alias("cid"), "probe", "n", "s1", "s2", "keys", "sketch"))
@@ -249,7 +249,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     shared = stage(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cid").alias("hub")).filter("size > 1"))
     met = stage(banded.join(shared, "bucket"))
     small = met.filter(F.col("size") <= BUCKET_ROWS).select("bucket", "cid").join(classes.select("cid", "sketch"), "cid")
-    maybe = _blocks(small, ["bucket"]).mapInArrow(_join_by_sketch(most), "a long, b long")
+    maybe = _blocks(small, ["bucket"]).mapInArrow(trimmed(_join_by_sketch(most)), "a long, b long")
     # A larger bucket is one family as it is; only confirmation decides.
     maybe = maybe.union(met.filter((F.col("size") > BUCKET_ROWS) & (F.col("cid") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("cid").alias("b")))
     families = stage(components(maybe).select(F.col("node").alias("cid"), F.col("label").alias("family")))
@@ -259,7 +259,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     sizes = stage(wanted.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("chunks")))
     members = stage(wanted.join(sets, ["s1", "s2"]).join(sizes, "family").select("family", "chunks", "cid", "n", "sketch", "shingles", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("x")))
     own = members.select("family", "x", F.lit(0).alias("y"), F.lit(0).alias("side"), "cid", F.col("cid").alias("label"), "n", "sketch", "shingles")
-    links = stage(_blocks(own, ["family", "x", "y"]).mapInArrow(_confirm(most, percent), "a long, b long"))
+    links = stage(_blocks(own, ["family", "x", "y"]).mapInArrow(trimmed(_confirm(most, percent)), "a long, b long"))
 
     # Families of several blocks: what is outside the largest component meets all blocks.
     wide = members.filter("chunks > 1").select("family", "chunks", "cid", "x")
@@ -272,7 +272,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         columns = ["cid", "label", "n", "sketch", "shingles"]
         outside = full.filter("label <> top").select("family", F.pmod(F.xxhash64(F.col("cid") + 1), F.col("outside")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("y"), F.lit(0).alias("side"), *columns)
         everyone = full.select("family", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("x"), F.col("x").alias("y"), F.lit(1).alias("side"), *columns)
-        more = _blocks(outside.unionByName(everyone), ["family", "x", "y"]).mapInArrow(_confirm(most, percent), "a long, b long")
+        more = _blocks(outside.unionByName(everyone), ["family", "x", "y"]).mapInArrow(trimmed(_confirm(most, percent)), "a long, b long")
         links = stage(links.union(more))
 
     component = components(links).select(F.col("node").alias("cid"), "label")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edictal.llm.common import fill, flat, in_one_task, span_hashes, steps, word_spans, words_per_value
+from edictal.llm.common import fill, flat, in_one_task, span_hashes, steps, trimmed, word_spans, words_per_value
 
 # Bounds of the training sample: rated rows, and bytes of a text that may be among them.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 17
@@ -186,4 +186,4 @@ def grade(docs: DataFrame, model: Ordinal, columns: list[Column], text_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(tails.sum(axis=1)), pa.array(chosen), pa.array(chosen >= cut)], names=[*kept, "expected_grade", "tail_probability", "selected"])
 
     added = [T.StructField(n, t) for n, t in (("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()), ("selected", T.BooleanType()))]
-    return rows.mapInArrow(run, T.StructType([*rows.schema[:-1], *added]))
+    return rows.mapInArrow(trimmed(run), T.StructType([*rows.schema[:-1], *added]))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edictal.llm.common import LOWER, fill, flat, in_one_task, span_hashes, steps, words_per_value
+from edictal.llm.common import LOWER, fill, flat, in_one_task, span_hashes, steps, trimmed, words_per_value
 from edictal.llm.text_model import F32, Adam, Network, sigmoid
 
 # Bounds of the training sample: labelled rows, and bytes of a text that may be among them.
@@ -336,4 +336,4 @@ def score(docs: DataFrame, model: Model | Constant, columns: list[Column], text_
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = T.StructType([*rows.schema[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)

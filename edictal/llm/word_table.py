@@ -27,7 +27,7 @@ from edictal.session import stage
 TABLE_WORDS = 1 << 18
 WORD_BYTES = 48
 # Rare words that a Python worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 # Fixed value: the characters that the vocabulary's white-space pattern matches (Unicode White_Space).
 WHITE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # Python's split() takes these for white space too; texts that hold them go through the library whole.
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     known, key = spark.sparkContext.broadcast(word_table(docs, path, text_col, table_words)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 4))
+        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED * 2 // 5))
         for batch in batches:
             for i, j, texts in text_steps(batch.column("text"), 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])

@@ -212,27 +212,78 @@ def quality(processes: DataFrame, notices: DataFrame, sources: DataFrame, agenci
     return out
 
 
-def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, history: bool = False) -> dict[str, DataFrame]:
+def with_columns_for(processes: DataFrame, *names: str) -> DataFrame:
+    """The table with the named text columns, empty where it has none of its own."""
+    return processes.withColumns({c: F.lit(None).cast("string") for c in names if c not in processes.columns})
+
+
+def apply_groups(processes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The snapshot after ``group_pipeline``: only processes without group and subgroup get them, with the origin (class_origin),
+    and places only where none are stored.  Of several texts of a process the most official one decides."""
+    rank = C.chain((F.col("origin") == "DECLARADO", 1), (F.col("origin") == "SUBESCALA_BOE", 2), (F.col("origin").startswith("DOCUMENTO"), 3), default=4)
+    found = groups.filter(F.col("subgroup").isNotNull()).groupBy("process_id").agg(
+        F.min(F.struct(rank.alias("rank"), "subgroup", "grp", "origin", "places")).alias("_g")
+    )
+    df = with_columns_for(processes, "grp", "subgroup", "class_origin")
+    go = F.col("_g").isNotNull() & U.blank("grp") & U.blank("subgroup")
+    lacking = go & (F.coalesce("places", F.lit(0)) == 0)
+    return df.join(found, "process_id", "left").withColumns({
+        "places": F.when(lacking, F.coalesce("_g.places", "places")).otherwise(F.col("places")), "class_origin": F.when(go, F.col("_g.origin")).otherwise(F.col("class_origin")),
+        "grp": F.when(go, F.col("_g.grp")).otherwise(F.col("grp")), "subgroup": F.when(go, F.col("_g.subgroup")).otherwise(F.col("subgroup")),
+    }).select(*df.columns)
+
+
+def apply_titles(processes: DataFrame, titles: DataFrame) -> DataFrame:
+    """The snapshot after ``clean_titles``: the readable name, the raw one as original_name, and places where none are stored."""
+    df = with_columns_for(processes, "original_name")
+    plan = titles.select("process_id", F.col("name").alias("_raw"), "new_name", "new_places")
+    # The guard of U4: a name that was changed meanwhile is kept.
+    go = F.col("new_name").isNotNull() & (F.col("name") == F.col("_raw"))
+    lacking = F.coalesce("places", F.lit(0)) == 0
+    return df.join(plan, "process_id", "left").withColumns({
+        "original_name": F.when(go, F.col("_raw")).otherwise(F.col("original_name")), "places": F.when(lacking, F.coalesce("new_places", "places")).otherwise(F.col("places")),
+        "name": F.when(go, F.col("new_name")).otherwise(F.col("name")),
+    }).select(*df.columns)
+
+
+def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, history: bool = False, since: Column | None = None) -> dict[str, DataFrame]:
     """Q17: one cycle after the imports: deadlines, groups, titles, closures last, then the difference of
     what is visible and whom it concerns.  ``history`` closes without any notification.
 
-    ``tables``: processes, agencies, notices, sources, texts, events.  Returns the actions of every step,
-    the next snapshot and the new events; the caller writes them.
+    ``tables``: processes, agencies, notices, sources, texts, events; processes may state the term of an ad (term_state).  With
+    recipients (user_id, entitled) there are outbox rows, one per event and audience, and the members of the audiences; with
+    subscriptions, entitled and changes there are follow-ups of the news after ``since``, the closures of this cycle among them.
+    Returns the actions of every step, the next snapshot and the new events; the caller writes them.
     """
     processes, notices = tables["processes"], tables["notices"]
+    if "subscriptions" in tables and since is None:
+        raise ValueError("follow-ups need the day of the last cycle")
     visible = lambda p: Q.catalogue(p, tables["agencies"], notices, tables["sources"], as_of)
     deadlines = D.deadline_plan(processes.filter(~C.is_terminal("state") & F.col("is_opportunity") & (F.col("scope") == "SI")), cal)
     fills = deadlines.filter(F.col("action") == "FILL").select("process_id", F.col("term_opens").alias("opens"), F.col("term_closes").alias("closes"))
-    dated = U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled")
-    groups = group_pipeline(dated.join(tables["agencies"].select("agency_id", "agency_name"), "agency_id").withColumns({"grp": F.lit(None).cast("string"), "subgroup": F.lit(None).cast("string")}), tables["texts"])
-    titles = clean_titles(dated)
-    closures = stage(L.reconcile(dated, notices, history))
-    after = stage(L.apply_closures(dated, closures))
-    fresh = Fo.new_opportunities(visible(processes), visible(after).withColumn("actionable", F.lit(False)), tables["events"])
-    return {
+    dated = with_columns_for(U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled"), "grp", "subgroup")
+    groups = stage(group_pipeline(dated.join(tables["agencies"].select("agency_id", "agency_name"), "agency_id", "left"), tables["texts"]))
+    graded = apply_groups(dated, groups)
+    titles = stage(clean_titles(graded))
+    named = stage(apply_titles(graded, titles))
+    closures = stage(L.reconcile(named, notices, history))
+    after = stage(L.apply_closures(named, closures))
+    answered = C.actionable("opens", "closes", "term_state", as_of)["actionable"]
+    fresh = Fo.new_opportunities(visible(processes), visible(with_columns_for(after, "term_state")).withColumn("actionable", answered), tables["events"])
+    out = {
         "deadlines": deadlines, "groups": groups, "titles": titles, "closures": closures, "snapshot": after,
         "events": fresh.limit(0) if history else fresh,
     }
+    if "recipients" in tables:
+        addressed, out["members"] = M.fan_out(out["events"], tables["recipients"])
+        out["outbox"] = addressed.select("process_id", "kind", "audience", F.lit("PENDIENTE").alias("state"), as_of.alias("created"))
+    if "subscriptions" in tables:
+        fields = ("change_id", "process_id", "field", "old", "new", "significant", "detected")
+        closed = L.closure_changes(closures).withColumns({"change_id": F.concat_ws("-", F.lit("CIERRE"), "process_id", as_of), "detected": as_of})
+        changes = tables["changes"].select(*fields).unionByName(closed.select(*fields))
+        follow_ups = Fo.new_news(notices, changes, after, tables["subscriptions"], tables["entitled"], since)
+        out["follow_ups"] = follow_ups.limit(0) if history else follow_ups
+    return out
 
 
 def cycle_summary(steps: dict[str, DataFrame]) -> DataFrame:
@@ -244,12 +295,25 @@ def cycle_summary(steps: dict[str, DataFrame]) -> DataFrame:
         A.counts(steps["closures"], "action").withColumn("step", F.lit("closures")),
         A.counts(steps["events"].withColumn("action", F.col("kind")), "action").withColumn("step", F.lit("events")),
     ]
+    if "outbox" in steps:
+        parts.append(A.counts(steps["outbox"].withColumn("action", F.col("audience")), "action").withColumn("step", F.lit("outbox")))
+    if "follow_ups" in steps:
+        parts.append(A.counts(steps["follow_ups"].withColumn("action", F.lit("TELL")), "action").withColumn("step", F.lit("follow_ups")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.select("step", "action", "n")
 
 
+def cycle_ledger(steps: dict[str, DataFrame], as_of: Column) -> DataFrame:
+    """Q17: a ledger row of every step of a cycle, also of those that found nothing to do."""
+    names = [n for n in ("deadlines", "groups", "titles", "closures", "events", "outbox", "follow_ups") if n in steps]
+    done = cycle_summary(steps).groupBy("step").agg(F.sum("n").alias("n"))
+    every = done.sparkSession.createDataFrame([(n,) for n in names], "step string")
+    n = F.coalesce("n", F.lit(0))
+    return every.join(done, "step", "left").select("step", F.when(n > 0, "OK").otherwise("SIN_NOVEDADES").alias("state"), n.alias("n"), as_of.alias("until"))
+
+
 def review_cycle(calls: DataFrame, notices: DataFrame, processes: DataFrame, agencies: DataFrame, resolutions: DataFrame, stored: DataFrame, provinces=PROVINCES) -> DataFrame:
     """Q18: extraordinary review in plan mode: bulletins first, then the state gazette, counted per decision."""
     bulletins = A.counts(import_notices(notices, processes, stored).withColumn("decision", F.col("action")), "decision").withColumn("source", F.lit("BOP"))

@@ -22,6 +22,8 @@ VERIFIED = {
 }
 # A calendar is broadcast, so its size is bounded: 200 years are 73,049 narrow rows.
 MOST_YEARS = 200
+# No year has fewer business days: 366 days less at most 106 of weekends and 13 holidays.
+FEWEST_BUSINESS_DAYS = 240
 
 
 def easter(year: Column) -> Column:
@@ -72,10 +74,34 @@ def calendar(spark: SparkSession, first: int, last: int, verified: dict = VERIFI
     )
 
 
+def calendar_for(spark: SparkSession, uses, least: tuple[int, int], verified: dict = VERIFIED) -> DataFrame:
+    """D1 over the years in use, at least those from ``least[0]`` to ``least[1]``: one aggregate finds the first and last date and the longest
+    term, which may start on the last date.
+
+    ``uses``: (table, its date columns, its longest term in days or None), one or several.
+    """
+    ends = None
+    for df, dates, days in uses:
+        all_dates = F.array(*[F.col(c).cast("date") for c in dates])
+        row = df.agg(F.min(F.array_min(all_dates)).alias("a"), F.max(F.array_max(all_dates)).alias("z"), F.max(F.lit(0) if days is None else days).cast("long").alias("n"))
+        ends = row if ends is None else ends.unionByName(row)
+    found = ends.agg(F.year(F.min("a")).alias("a"), F.year(F.max("z")).alias("z"), F.max("n").alias("n")).first()
+    first, last = least
+    if found.a is not None:
+        first, last = min(first, found.a), max(last, found.z + 1 + max(found.n or 0, 0) // FEWEST_BUSINESS_DAYS)
+    return calendar(spark, first, last, verified)
+
+
+def inside(found: Column, wanted: Column, value: Column) -> Column:
+    """``value``, or an error where a wanted day was not found: past the edge of the calendar nothing is guessed."""
+    return F.when(wanted & found.isNull(), F.raise_error(F.lit("a day is outside the calendar"))).otherwise(value)
+
+
 def is_business_day(df: DataFrame, cal: DataFrame, day: str, out: str = "business") -> DataFrame:
     """Business-day test by a broadcast of the bounded calendar."""
     days = cal.select(F.col("day").alias("_day"), F.col("business").alias(out))
-    return df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left").drop("_day")
+    joined = df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left")
+    return joined.withColumn(out, inside(F.col("_day"), F.col(day).isNotNull(), F.col(out))).drop("_day")
 
 
 def add_business_days(df: DataFrame, cal: DataFrame, start: str, n: str, out: str = "end") -> DataFrame:
@@ -86,13 +112,15 @@ def add_business_days(df: DataFrame, cal: DataFrame, start: str, n: str, out: st
         df.join(F.broadcast(from_), F.col(start) == F.col("_from"), "left")
         .withColumn("_goal", F.when(F.col(n) > 0, F.col("_at") + F.col(n)))
         .join(F.broadcast(to), F.col("_goal") == F.col("_to"), "left")
+        .withColumn(out, inside(F.col("_to"), F.col(start).isNotNull() & F.coalesce(F.col(n) > 0, F.lit(False)), F.col(out)))
         .drop("_from", "_at", "_goal", "_to")
     )
 
 
 def next_business_day(df: DataFrame, cal: DataFrame, day: str, out: str) -> DataFrame:
     days = cal.select(F.col("day").alias("_day"), F.col("next_business").alias(out))
-    return df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left").drop("_day")
+    joined = df.join(F.broadcast(days), F.col(day) == F.col("_day"), "left")
+    return joined.withColumn(out, inside(F.col(out), F.col(day).isNotNull(), F.col(out))).drop("_day")
 
 
 def is_verified(first: Column, last: Column, years=tuple(VERIFIED)) -> Column:
@@ -123,6 +151,12 @@ def with_term(df: DataFrame, literal: str = "deadline") -> DataFrame:
     ).drop("_n", "_d")
 
 
+def term_use(df: DataFrame, dates: list[str], literal: str = "deadline"):
+    """What ``calendar_for`` needs to know of a table with deadline sentences."""
+    stated = with_term(df.select(*dates, literal), literal)
+    return stated, dates, F.col("term_days")
+
+
 def deadline(df: DataFrame, cal: DataFrame, literal: str = "deadline", published: str = "gazette_date") -> DataFrame:
     """Opening and last day of a term; natural terms that end on a holiday roll forward."""
     stated = with_term(df, literal).withColumn("term_opens", F.when(F.col("term_days").isNotNull(), F.date_add(published, 1)))

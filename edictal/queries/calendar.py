@@ -6,6 +6,7 @@ from edictal.operators import calendar as D
 from edictal.queries.common import day, view
 from edictal.rules import AWAITS_STATE_GAZETTE
 
+# Years the calendar has at least; a table with other dates widens it.
 YEARS = (1994, 2003)
 AS_OF = "2000-06-30"
 
@@ -14,29 +15,34 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
-def cal(spark):
-    return D.calendar(spark, *YEARS)
+def cal(spark, path, *uses):
+    """The calendar of the years of notices and processes with their terms, or of what is given instead."""
+    return D.calendar_for(spark, uses or (
+        (view(spark, path, "notices"), ["published"], None), D.term_use(view(spark, path, "processes"), ["call_date", "gazette_date"]),
+        D.term_use(bulletins(spark, path), ["gazette_date"]),
+    ), YEARS)
 
 
 def calendar(spark, path):
     """D1 over the days on which notices were published: business flag, ordinal and next business day."""
     days = view(spark, path, "notices").select("published").distinct()
-    joined = days.join(F.broadcast(cal(spark)), F.col("published") == F.col("day"))
+    joined = days.join(F.broadcast(cal(spark, path, (days, ["published"], None))), F.col("published") == F.col("day"))
     return joined.select(day("published").alias("published"), "business", "ordinal", day("next_business").alias("next_business"))
 
 
 def is_business_day(spark, path):
-    out = D.is_business_day(view(spark, path, "notices").select("notice_id", "published"), cal(spark), "published")
+    n = view(spark, path, "notices").select("notice_id", "published")
+    out = D.is_business_day(n, cal(spark, path, (n, ["published"], None)), "published")
     return out.select("notice_id", "business")
 
 
 def add_business_days(spark, path):
     n = view(spark, path, "notices").select("notice_id", "published", "n")
-    return D.add_business_days(n, cal(spark), "published", "n").select("notice_id", day("end").alias("end"))
+    return D.add_business_days(n, cal(spark, path, (n, ["published"], F.col("n"))), "published", "n").select("notice_id", day("end").alias("end"))
 
 
 def deadline(spark, path):
-    out = D.deadline(view(spark, path, "processes"), cal(spark))
+    out = D.deadline(view(spark, path, "processes"), cal(spark, path))
     return out.select("process_id", "term_days", "term_kind", day("term_opens").alias("term_opens"), day("term_closes").alias("term_closes"), "term_verified")
 
 
@@ -56,14 +62,14 @@ def bulletins(spark, path):
 
 
 def enrolment_rollup(spark, path):
-    return D.enrolment_rollup(D.term_state(bulletins(spark, path), cal(spark), as_of()))
+    return D.enrolment_rollup(D.term_state(bulletins(spark, path), cal(spark, path), as_of()))
 
 
 def enrolled(spark, path, with_bulletins=True):
     p = view(spark, path, "processes")
     sources = view(spark, path, "sources").select("source_id", "source_kind")
     base = p.join(sources, "source_id", "left").withColumn("origin", F.when(F.col("process_id") % 8 == 0, "BOP_ALICANTE"))
-    return D.enrolment_state(base, cal(spark), as_of(), AWAITS_STATE_GAZETTE, bulletins(spark, path) if with_bulletins else None)
+    return D.enrolment_state(base, cal(spark, path), as_of(), AWAITS_STATE_GAZETTE, bulletins(spark, path) if with_bulletins else None)
 
 
 def enrolment_state(spark, path):
@@ -71,7 +77,7 @@ def enrolment_state(spark, path):
 
 
 def deadline_plan(spark, path):
-    plan = D.deadline_plan(view(spark, path, "processes"), cal(spark))
+    plan = D.deadline_plan(view(spark, path, "processes"), cal(spark, path))
     return plan.select("process_id", "action", day("term_opens").alias("term_opens"), day("term_closes").alias("term_closes"), "term_days", "term_kind")
 
 

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from edictal.operators import calendar as D
 from edictal.plans import catalogue as Q
+from edictal.queries.calendar import cal
 from edictal.queries.common import day, view
 
 AS_OF = "2000-06-30"
@@ -17,10 +17,6 @@ def as_of():
     return F.lit(AS_OF).cast("date")
 
 
-def cal(spark):
-    return D.calendar(spark, 1994, 2003)
-
-
 def catalogue(spark, path):
     return Q.catalogue(*parts(spark, path), as_of()).select("process_id", "agency_name", day("last_notice").alias("last_notice"), "best_url")
 
@@ -34,20 +30,20 @@ def shown(df):
 
 
 def catalogue_list(spark, path):
-    return shown(Q.catalogue_list(*parts(spark, path), cal(spark), as_of(), n=200))
+    return shown(Q.catalogue_list(*parts(spark, path), cal(spark, path), as_of(), n=200))
 
 
 def catalogue_private(spark, path):
-    return shown(Q.catalogue_list(*parts(spark, path), cal(spark), as_of(), n=200, private=True))
+    return shown(Q.catalogue_list(*parts(spark, path), cal(spark, path), as_of(), n=200, private=True))
 
 
 def catalogue_open_now(spark, path):
-    return shown(Q.catalogue_list(*parts(spark, path), cal(spark), as_of(), n=200, private=True, open_now=True))
+    return shown(Q.catalogue_list(*parts(spark, path), cal(spark, path), as_of(), n=200, private=True, open_now=True))
 
 
 def detail(spark, path):
     wanted = view(spark, path, "subscriptions").filter("active").select("process_id").distinct()
-    return shown(Q.detail(*parts(spark, path), cal(spark), as_of(), wanted))
+    return shown(Q.detail(*parts(spark, path), cal(spark, path), as_of(), wanted))
 
 
 def my_subscriptions(spark, path):

@@ -115,7 +115,7 @@ def quality(spark, path):
 def cycle(spark, path, history=False):
     p, a, n, s = parts(spark, path)
     tables = {"processes": p, "agencies": a, "notices": n, "sources": s, "texts": texts(spark, path), "events": n.filter(F.col("kind") == "convocatoria").select("process_id")}
-    return J.run_cycle(tables, cal(spark), as_of(), history)
+    return J.run_cycle(tables, cal(spark, path), as_of(), history)
 
 
 def cycle_summary(spark, path):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from edictal.operators import aggregate as A
@@ -57,3 +58,24 @@ def test_read_windows(spark):
     )
     out = {r.source: (r.days, r.exceeded) for r in A.read_windows(runs, F.lit(date("2026-09-11"))).collect()}
     assert out == {"a": (11, False), "b": (7, False), "c": (7, False), "d": (30, True)}
+
+
+def test_calendar_covers_the_dates_in_use(spark):
+    df = spark.createDataFrame([(1, date("1950-03-01"), "20 días"), (2, date("2019-12-30"), "600 días"), (3, None, "20 días")], "i int, gazette_date date, deadline string")
+    cal = D.calendar_for(spark, [D.term_use(df, ["gazette_date"])], (1994, 2003))
+    assert [r.term_closes for r in D.deadline(df, cal).orderBy("i").collect()] == [date("1950-03-29"), date("2022-05-19"), None]
+    assert {r.term_state for r in D.term_state(df.filter("i < 3"), cal, F.lit(date("2020-01-15"))).collect()} == {"CERRADO", "ABIERTO"}
+    with pytest.raises(ValueError):
+        D.calendar_for(spark, [(df, ["gazette_date"], F.lit(99_999))], (1994, 2003))
+
+
+def test_a_day_past_the_edge_is_an_error(spark):
+    cal = D.calendar(spark, 1994, 2003)
+    df = spark.createDataFrame([(date("2003-12-30"), "20 días", 20)], "gazette_date date, deadline string, n int")
+    late = df.withColumn("gazette_date", F.lit(date("2004-01-05")))
+    for out in (
+        D.term_state(df, cal, F.lit(date("2000-01-01"))), D.add_business_days(df, cal, "gazette_date", "n"), D.is_business_day(late, cal, "gazette_date"),
+        D.next_business_day(late, cal, "gazette_date", "next"),
+    ):
+        with pytest.raises(Exception, match="outside the calendar"):
+            out.collect()

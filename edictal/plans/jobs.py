@@ -21,7 +21,7 @@ from edictal.operators import windows as W
 from edictal.plans import catalogue as Q
 from edictal.plans import follow as Fo
 from edictal.session import stage
-from edictal.sources.feeds import line_block
+from edictal.sources.feeds import code_block, line_block
 
 # Provinces whose notices are imported.
 PROVINCES = ("Valencia", "Alicante", "Castellón")
@@ -170,14 +170,21 @@ def clean_titles(processes: DataFrame) -> DataFrame:
     return plan.filter(F.col("new_name").isNotNull() | F.col("new_places").isNotNull())
 
 
+# The code of its call in the name of a process; lines of a syllabus state codes of this form only.
+NAMED_CALL = r"(?i)\bConvocatoria\s+(\d+\s*/\s*\d+)\b"
+
+
 def syllabus(documents: DataFrame, k: int | None = None) -> DataFrame:
-    """Q15: the syllabus of each process: the best-ranked readable document with a block, and its topics.
+    """Q15: the syllabus of each process: the best-ranked readable document with a block, and its topics.  In a document the block of the
+    process's own call comes before the general one.
 
-    ``documents``: process_id, notice_id, kind, title, url, published, text.  Unreadable documents take no
+    ``documents``: process_id, name (of the process), notice_id, kind, title, url, published, text.  Unreadable documents take no
     rank; ``k`` may limit the readable ones that are looked at.
     """
     ranked = W.rank_sources(documents.withColumn("_text", T.repair_glyphs("text")).filter(T.readable("_text")), k)
-    blocks = line_block(ranked, ["process_id", "notice_id", "rank"], "_text")
+    keys = ["process_id", "notice_id", "rank"]
+    coded = code_block(ranked.withColumn("_call", F.regexp_replace(X.found(F.col("name"), NAMED_CALL), r"\s+", "")), [*keys, "_text"], "_text", "_call")
+    blocks = line_block(coded.withColumnRenamed("block", "_own"), [*keys, "_own"], "_text").withColumn("block", F.coalesce("_own", "block"))
     usable = F.when(F.col("block").isNotNull(), F.col("rank"))
     best = blocks.groupBy("process_id").agg(F.min_by(F.struct("notice_id", "block"), usable).alias("b")).filter(F.col("b").isNotNull())
     return best.select("process_id", F.col("b.notice_id").alias("notice_id"), F.col("b.block").alias("block"))

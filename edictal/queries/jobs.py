@@ -94,7 +94,7 @@ def syllabus_blocks(spark, path):
     from edictal.queries.text import syllabus_text
 
     n = view(spark, path, "notices").dropDuplicates(["notice_id"])
-    b = view(spark, path, "bodies").select("process_id", "body")
+    b = view(spark, path, "bodies").select("process_id", "name", "body")
     docs = n.join(b, "process_id").withColumn("text", syllabus_text())
     return J.syllabus(docs)
 

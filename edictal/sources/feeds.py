@@ -77,11 +77,12 @@ def line_block(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return placed.withColumn("_e", end).select(*keys, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
 
 
-def code_block(df: DataFrame, key: str, text: str, code: str) -> DataFrame:
+def code_block(df: DataFrame, key: str | list[str], text: str, code: str) -> DataFrame:
     """The part of a shared syllabus under the line of one call, with its heading if close above."""
-    lines = df.select(key, code, F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n").alias("_l"))
+    keys = [key] if isinstance(key, str) else key
+    lines = df.select(*keys, F.col(code).alias("_code"), F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n").alias("_l"))
     stated = lambda x: F.concat_ws("/", F.regexp_extract(x, CALL_LINE, 1), F.regexp_extract(x, CALL_LINE, 2))
-    at = _first(F.transform("_l", lambda x: x.rlike(CALL_LINE) & (stated(x) == F.col(code))), F.lit(-1))
+    at = _first(F.transform("_l", lambda x: x.rlike(CALL_LINE) & (stated(x) == F.col("_code"))), F.lit(-1))
     placed = lines.withColumn("_at", at)
     heading = F.array_max(
         F.filter(
@@ -91,7 +92,7 @@ def code_block(df: DataFrame, key: str, text: str, code: str) -> DataFrame:
     )
     end = _first(F.transform("_l", lambda x: x.rlike(CALL_LINE)), F.col("_at"))
     ready = placed.withColumn("_s", F.when(F.col("_at").isNotNull(), F.coalesce(heading, "_at"))).withColumn("_e", end)
-    return ready.select(key, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
+    return ready.select(*keys, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
 
 
 # --- S4 -------------------------------------------------------------------------------------------------

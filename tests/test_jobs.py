@@ -73,3 +73,20 @@ def test_ads_are_news_while_they_can_be_answered(spark, tables, monkeypatch):
     assert [(r.user_id, r.process_id, r.n_news) for r in steps["follow_ups"].collect()] == [(8, 5, 1)]
     ledger = {r.step: (r.state, r.n) for r in J.cycle_ledger(steps, F.lit(DAY)).collect()}
     assert ledger["events"] == ("OK", 2) and ledger["outbox"] == ("OK", 3) and ledger["closures"] == ("SIN_NOVEDADES", 0) and ledger["follow_ups"] == ("OK", 1)
+
+
+def test_syllabus_of_the_own_call(spark):
+    part = lambda code, topic: f"Convocatoria {code} administrativo\nTema 1. {topic}\nTema 2. El acto administrativo y sus recursos en la jurisdicción contenciosa\n"
+    text = "ANEXO\nTEMARIO\n" + part("1/24", "La Constitución") + part("2/24", "La Unión Europea") + "BASES\nfin"
+    names = {1: "Administrativo, Convocatoria 1 / 24", 2: "Administrativo, convocatoria 2/24", 3: "Administrativo, Convocatoria 9/24", 4: "Administrativo", 5: None}
+    # A worse document has the block of the own call alone; the best document with any block is taken.
+    rows = [(k, name, 10 * k, "BASES", "Bases", "https://bop.example/1", DAY, text) for k, name in names.items()]
+    rows.append((6, "Convocatoria 2/24", 60, "BASES", "Bases", "https://bop.example/2", DAY, "sin temario"))
+    rows.append((6, "Convocatoria 2/24", 61, "BOP", "Anuncio", "https://x.example/3", DAY, text))
+    docs = spark.createDataFrame(rows, "process_id long, name string, notice_id long, kind string, title string, url string, published date, text string")
+    out = {r.process_id: r for r in J.syllabus(docs).collect()}
+    assert "La Constitución" in out[1].block and "La Unión Europea" not in out[1].block and out[1].block.startswith("TEMARIO")
+    assert out[2].block.startswith("Convocatoria 2/24") or out[2].block.startswith("TEMARIO")
+    assert out[2].block.endswith("contenciosa\nBASES\nfin") and "La Unión Europea" in out[2].block
+    assert {out[k].block for k in (3, 4, 5)} == {text[text.index("TEMARIO"):text.index("\nBASES")]}
+    assert out[6].notice_id == 61 and "La Unión Europea" in out[6].block

@@ -25,8 +25,8 @@ from edictal.session import stage
 
 WORDS = 5
 SAMPLES, BITS = 128, 1024
-# A pair of similarity 0.85 has an estimate below 0.7 less than once in 100,000 times (its spread is 0.033).
-LEEWAY = 0.15
+# Sketches refuse a pair of similarity 0.85 five times in a hundred billion, one of 0.8 two times in a billion: far less often than bands miss it.
+LEEWAY = 0.25
 # Classes and bytes of sets of a block, classes of a bucket that are searched by sketch.
 BLOCK_ROWS, BLOCK_BYTES, BUCKET_ROWS = 1024, 8 << 20, 2048
 _RANDOM = np.random.default_rng(20240501)

@@ -143,3 +143,20 @@ def test_components(ready):
             label[a] = label[b] = min(label[a], label[b])
     assert dict(map(tuple, components(ready.createDataFrame(pairs, "a long, b long")).collect())) == label
     assert components(ready.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_sketches_refuse_fewer_than_bands_miss(percent):
+    """Exact over the samples that differ (binomial) and the bits that are odd after two throws for each of them."""
+    n, bits, p = near_dups.SAMPLES, near_dups.BITS, percent / 100
+    most = near_dups.most_differing(p - near_dups.LEEWAY)
+    differ, refused, at = np.zeros(bits + 1), 0.0, np.arange(bits + 1)
+    differ[0], weight = 1, p**n
+    for k in range(n + 1):
+        refused += weight * differ[most + 1 :].sum()
+        for _ in range(2):
+            up, down = differ[:-1] * (bits - at[:-1]) / bits, differ[1:] * at[1:] / bits
+            differ = np.concatenate([[0], up]) + np.concatenate([down, [0]])
+        weight *= (n - k) / (k + 1) * (1 - p) / p
+    rows = near_dups.band_rows(percent)
+    assert refused < (1 - p**rows) ** (n // rows)

@@ -2,9 +2,9 @@
 
 A sequence has a few thousand tokens, so however many pieces there are, they have only that many lengths.  The driver gets the count
 of every length and nothing else, and plans on counts: best-fit decreasing gives the first solution; bin completion then takes the
-largest length left, enumerates the undominated fillings of the room beside it and applies one as often as the counts allow, going
-back within a budget of nodes as long as fewer sequences are possible.  Branches that waste more than a better solution may are
-pruned.  The plan says which ranks within a length go to which sequences; Spark numbers the pieces and looks their places up.
+largest length left, takes a few undominated fillings of the room beside it and applies one as often as the counts allow, going
+back within a budget of nodes as long as fewer sequences are possible; with nodes left over, it applies them fewer times too.
+Branches that waste more than a better solution may are pruned.  The plan says which ranks within a length go to which sequences; Spark numbers the pieces and looks their places up.
 """
 
 from __future__ import annotations
@@ -132,50 +132,59 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     least = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(t for t, _ in best)
-    left = np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        left[n] = c
-    # Depth first: each step fills bins around the largest length; ``ways`` holds the fillings of a step not tried yet.
-    steps: list[tuple[int, Pattern]] = []
-    ways: list[list[tuple[int, Pattern]]] = []
-    wasted, used_bins, spent, descend = 0, 0, 0, True
-    while fewest > least and spent < nodes:
-        allowed = (fewest - 1) * capacity - total - wasted
-        if descend:
-            spent += 1
-            some = np.flatnonzero(left)
-            if not len(some):
-                best, fewest, descend = list(steps), used_bins, False
+    spent = 0
+    # A search that ends before its nodes do is repeated with fewer repeats of every filling allowed.
+    for fewer in (False, True):
+        left = np.zeros(capacity + 1, np.int64)
+        for n, c in counts.items():
+            left[n] = c
+        # Depth first: each step fills bins around the largest length; ``ways`` holds the fillings of a step not tried yet.
+        steps: list[tuple[int, Pattern]] = []
+        ways: list[list[tuple[int, Pattern, int]]] = []
+        wasted, used_bins, descend = 0, 0, True
+        while fewest > least and spent < nodes:
+            allowed = (fewest - 1) * capacity - total - wasted
+            if descend:
+                spent += 1
+                some = np.flatnonzero(left)
+                if not len(some):
+                    best, fewest, descend = list(steps), used_bins, False
+                    # A level without ways, so that the last step is taken back before its other fillings are tried.
+                    ways.append([])
+                    continue
+                largest = int(some[-1])
+                left[largest] -= 1
+                found = fillings(left, capacity - largest, allowed)
+                left[largest] += 1
+                ways.append([(w, {**f, largest: f.get(largest, 0) + 1}, total) for w, f in reversed(found)])
+            if ways and ways[-1]:
+                waste, filling, most = ways[-1].pop()
+                if waste > allowed:
+                    descend = False
+                    continue
+                times = min(most, *(int(left[n]) // k for n, k in filling.items()))
+                if waste:
+                    times = min(times, max(1, allowed // waste))
+                for n, k in filling.items():
+                    left[n] -= times * k
+                steps.append((times, filling))
+                wasted, used_bins, descend = wasted + times * waste, used_bins + times, True
                 continue
-            largest = int(some[-1])
-            left[largest] -= 1
-            found = fillings(left, capacity - largest, allowed)
-            left[largest] += 1
-            ways.append([(w, {**f, largest: f.get(largest, 0) + 1}) for w, f in reversed(found)])
-        if ways and ways[-1]:
-            waste, filling = ways[-1].pop()
-            if waste > allowed:
-                descend = False
-                continue
-            times = min(int(left[n]) // k for n, k in filling.items())
-            if waste:
-                times = min(times, max(1, allowed // waste))
+            if not ways:
+                break
+            ways.pop()
+            descend = False
+            if not steps:
+                break
+            times, filling = steps.pop()
             for n, k in filling.items():
-                left[n] -= times * k
-            steps.append((times, filling))
-            wasted, used_bins, descend = wasted + times * waste, used_bins + times, True
-            continue
-        if not ways:
-            break
-        ways.pop()
-        descend = False
-        if not steps:
-            break
-        times, filling = steps.pop()
-        for n, k in filling.items():
-            left[n] += times * k
-        wasted -= times * (capacity - sum(n * k for n, k in filling.items()))
-        used_bins -= times
+                left[n] += times * k
+            waste = capacity - sum(n * k for n, k in filling.items())
+            wasted -= times * waste
+            used_bins -= times
+            if fewer and times > 1:
+                # After the other fillings of the step.
+                ways[-1].insert(0, (waste, filling, times - 1))
     return whole + best
 
 

@@ -146,3 +146,14 @@ def test_packing(frame):
         assert at <= capacity
     assert sorted(places) == list(range(len(places))) and len(places) <= -(-total // capacity) + 1
     assert bin_completion.pack(frame([], DOCS), WORDS).collect() == []
+
+
+@pytest.mark.parametrize(("capacity", "counts", "fewest"), [(50, {12: 4, 28: 3, 31: 6, 9: 6, 19: 3}, 9), (20, {3: 7, 7: 5, 8: 5, 4: 2, 9: 4}, 7)])
+def test_fillings_are_also_applied_fewer_times(capacity, counts, fewest):
+    made = bin_completion.plan(counts, capacity, 400)
+    placed = Counter()
+    for times, content in made:
+        assert sum(n * k for n, k in content.items()) <= capacity
+        for n, k in content.items():
+            placed[n] += times * k
+    assert placed == counts and sum(times for times, _ in made) == fewest == -(-sum(n * k for n, k in counts.items()) // capacity)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, token_counts, toxicity, url_rules, word_table
+from edictal.llm import adaptive_rules, bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, token_counts, toxicity, url_rules, word_table
 from edictal.llm.common import table
 
 
@@ -92,6 +92,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")])
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judge(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -109,4 +113,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(prepared(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity, op13_quality_rules)}

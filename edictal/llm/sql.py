@@ -60,4 +60,54 @@ SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d
     """,
+    "op13_quality_rules": r"""
+        WITH cut AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), windows AS (
+            SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n
+            FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM cut WHERE len(w) > 2))
+        ), repeated AS (
+            SELECT r, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) AS k(k) WHERE n > 1 GROUP BY r
+        ), counted AS (
+            SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+            FROM cut LEFT JOIN repeated USING (r)
+        ), measured AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                   [CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN 10000 * n_symbols // word_chars ELSE 0 END,
+                    CASE WHEN n_lines > 0 THEN 10000 * n_dup_lines // n_lines ELSE 0 END, CASE WHEN n_words > 0 THEN 10000 * n_repeat_words // n_words ELSE 0 END] AS m
+            FROM counted
+        ), bits AS (
+            SELECT lang, source, rule, v, greatest(length(bin(v)) - 7, 0) AS s
+            FROM (SELECT lang, source, unnest(range(1, 5)) AS rule, unnest(m) AS v FROM measured WHERE NOT base_failed)
+        ), levels AS (
+            SELECT grouping(lang) + grouping(source) AS level, lang, source, rule, (v >> s) << s AS bucket, count(*) AS n
+            FROM bits GROUP BY GROUPING SETS ((lang, source, rule, (v >> s) << s), (lang, rule, (v >> s) << s), (rule, (v >> s) << s))
+        ), below AS (
+            SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM levels
+        ), quartiles AS (
+            SELECT level, lang, source, rule, max(total) AS total, min(bucket) FILTER (4 * below >= total) AS low, min(bucket) FILTER (4 * below >= 3 * total) AS high
+            FROM below GROUP BY level, lang, source, rule
+        ), limits AS (
+            SELECT level, lang, source, rule, total, CASE WHEN rule = 1 THEN low - 5 * greatest(high - low, 100) ELSE -1 END AS least,
+                   high + 5 * greatest(high - low, [100, 100, 1000, 1000][rule]) AS most
+            FROM quartiles
+        ), chosen AS (
+            SELECT o.lang, o.source, o.rule,
+                   CASE WHEN o.total >= 200 THEN o.least WHEN l.total >= 200 THEN l.least ELSE a.least END AS least,
+                   CASE WHEN o.total >= 200 THEN o.most WHEN l.total >= 200 THEN l.most ELSE a.most END AS most
+            FROM limits o JOIN limits l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.rule = o.rule JOIN limits a ON a.level = 2 AND a.rule = o.rule
+            WHERE o.level = 0
+        ), failing AS (
+            SELECT r, min(rule) AS rule FROM measured JOIN chosen c ON c.lang IS NOT DISTINCT FROM measured.lang AND c.source IS NOT DISTINCT FROM measured.source
+            WHERE NOT base_failed AND m[rule] NOT BETWEEN least AND most GROUP BY r
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule IS NULL AS kept,
+               CASE WHEN base_failed THEN 'base' ELSE ['mean_word', 'symbol_share', 'duplicate_share', 'repeat_share'][rule] END AS failed
+        FROM measured LEFT JOIN failing USING (r)
+    """,
 }

@@ -38,7 +38,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` of a value that is worked out once, however often it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -59,7 +59,7 @@ def repeated_words(array: Column) -> Column:
         )
         near = lambda low, s, x, j: F.coalesce(x.bitwiseXOR(F.get(s, j - 1)).between(0, low), F.lit(False)) | F.coalesce(x.bitwiseXOR(F.get(s, j + 1)).between(0, low), F.lit(False))
         places = lambda low, s: F.transform(F.filter(s, lambda x, j: near(low, s, x, j)), lambda x: x.bitwiseAND(low).cast("int"))
-        return _bound(mask(w), lambda low: _bound(F.sort_array(number(low)), lambda s: places(low, s)))
+        return bound(mask(w), lambda low: bound(F.sort_array(number(low)), lambda s: places(low, s)))
 
     def windows(w: Column, places: Column) -> Column:
         return F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))))
@@ -72,7 +72,7 @@ def repeated_words(array: Column) -> Column:
         new = F.transform(p, lambda i, j: F.when(j == 0, 3).otherwise(F.least(F.lit(3), i - F.get(p, j - 1))))
         return F.aggregate(new, F.lit(0).cast("long"), lambda n, x: n + x)
 
-    counted = _bound(array, lambda w: _bound(hashed(w), lambda places: _bound(windows(w, places), lambda s: _bound(starts(s), covered))))
+    counted = bound(array, lambda w: bound(hashed(w), lambda places: bound(windows(w, places), lambda s: bound(starts(s), covered))))
     return F.when(F.size(array) < 4, F.lit(0).cast("long")).otherwise(counted)
 
 

@@ -7,10 +7,11 @@ from pathlib import Path
 
 import edictal
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import adaptive_rules, bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, token_counts, toxicity, url_rules, word_table
+from edictal.llm import adaptive_rules, bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, periodic_runs, token_counts, toxicity, url_rules, word_table
+from edictal.llm.adaptive_rules import bound, words
 from edictal.llm.common import table
 
 
@@ -92,6 +93,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")])
 
 
+def with_period(text: Column, doc_id: Column) -> Column:
+    """The texts of the contract of op12: of a tenth of the rows, by a checksum of the id, the words from some place on repeat a block."""
+    checksum = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(checksum / 10)
+
+    def repeating(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, at(i))), " ")).otherwise(text)
+
+    return F.when(checksum % 10 == 0, bound(words(text), repeating)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs.withColumn("text", with_period(F.coalesce("text", F.lit("")), F.col("doc_id"))), [F.col("doc_id")])
+    # Runs are in the order of start and period, so the first of the greatest exponent is the one of the contract.
+    better = lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), better)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_rules.judge(table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
@@ -113,4 +143,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(prepared(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity, op13_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity, op12_periodic_runs, op13_quality_rules)}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edictal.llm import adaptive_rules, bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, periodic_runs, token_counts, toxicity, url_rules, word_table
+from edictal.llm import adaptive_rules, bin_completion, chat_pairs, exact_dups, kd_search, near_dups, ordinal, periodic_runs, token_counts, toxicity, url_rules, whitening, word_table
 from edictal.llm.adaptive_rules import bound, words
 from edictal.llm.common import table
 
@@ -93,6 +93,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [F.col("doc_id"), toxicity.held_out("doc_id").alias("held_out")])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_numbers(table(spark, sf_dir, "embeddings"), "embedding", [F.col("vec_id")])
+    out = whitening.whiten(rows, whitening.fit(rows))
+    # The contract's long; a larger sum, as of millions of far rows, is null.
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def with_period(text: Column, doc_id: Column) -> Column:
     """The texts of the contract of op12: of a tenth of the rows, by a checksum of the id, the words from some place on repeat a block."""
     checksum = F.crc32(doc_id.cast("string").cast("binary"))
@@ -143,4 +150,4 @@ def _ready(query: Query) -> Query:
     return lambda spark, sf_dir: query(prepared(spark), sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity, op12_periodic_runs, op13_quality_rules)}
+QUERIES: dict[str, Query] = {q.__name__: _ready(q) for q in (op1_url_filter, op2_quality, op3_top_k, op4_bpe_round_trip, op5_token_counts, op6_preference_format, op7_near_dedup, op8_exact_dedup, op9_best_fit_packing, op10_toxicity, op11_whitening, op12_periodic_runs, op13_quality_rules)}

@@ -11,7 +11,7 @@ import unicodedata
 from functools import lru_cache
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character a Unicode-aware "\s" accepts; Java and RE2 only know the ASCII ones by default.
@@ -25,6 +25,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def unfold(df: DataFrame, name: str, array: Column | str) -> DataFrame:
+    """A row for every element of an array that is not null.
+
+    Under a plain explode Spark first filters on the size of the array, below the projections and shuffles that make it, so the rules
+    that make it run once more, and over rows that lie as they were read; an outer one is not given that filter.
+    """
+    return df.withColumn(name, F.explode_outer(col(array))).filter(F.col(name).isNotNull())
+
+
 def found(c: Column | str, pattern: str, group: int = 1) -> Column:
     """The captured group, or null when the pattern does not match."""
     return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))
@@ -286,7 +295,12 @@ def norm_lines(c: Column | str) -> Column:
 
 def tokens(c: Column | str, min_len: int = 1, stop=(), alias: dict[str, str] | None = None) -> Column:
     """Distinct canonical words of at least ``min_len`` characters that are not stopwords."""
-    words = F.regexp_extract_all(fold(c), F.lit(f"[a-z0-9]{{{min_len},}}"), F.lit(0))
+    return canonical(F.regexp_extract_all(fold(c), F.lit(f"[a-z0-9]{{{min_len},}}"), F.lit(0)), stop, alias)
+
+
+def canonical(words: Column | str, stop=(), alias: dict[str, str] | None = None) -> Column:
+    """The distinct words by their common name, without stopwords."""
+    words = col(words)
     if alias:
         by_target: dict[str, list[str]] = {}
         for word, target in alias.items():

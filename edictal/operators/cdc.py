@@ -149,7 +149,7 @@ def diff_fields(
         )
         return F.when(differs, row)
 
-    return joined.select(key, F.explode(F.array_compact(F.array(*[entry(c) for c in cols]))).alias("_e")).select(key, "_e.*")
+    return T.unfold(joined, "_e", F.array(*[entry(c) for c in cols])).select(key, "_e.*")
 
 
 def silence_technical(changes: DataFrame, bulletin: bool = False) -> DataFrame:

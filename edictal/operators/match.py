@@ -44,10 +44,10 @@ def unique_match(probe: DataFrame, build: DataFrame, keys: list[str], build_id:
 def unique_match_any(probe: DataFrame, build: DataFrame, keys: list[str], alias: str, probe_id: str, build_id: str) -> DataFrame:
     """J2 where both sides carry an array ``alias`` of alternative keys, all of them tried."""
     blocks = (
-        build.select(*keys, F.explode(alias).alias("_alias"), build_id)
+        T.unfold(build, "_alias", alias).select(*keys, "_alias", build_id)
         .groupBy(*keys, "_alias").agg(F.min(build_id).alias("_l"), F.max(build_id).alias("_h"))
     )
-    exploded = probe.select(probe_id, *keys, F.explode(alias).alias("_alias"))
+    exploded = T.unfold(probe, "_alias", alias).select(probe_id, *keys, "_alias")
     hits = exploded.join(blocks, [*keys, "_alias"]).groupBy(probe_id).agg(F.min("_l").alias("_low"), F.max("_h").alias("_high"))
     return _settle(probe.join(hits, probe_id, "left"))
 
@@ -76,7 +76,7 @@ def resolve_agency(refs: DataFrame, agencies: DataFrame, towns: DataFrame, ref_i
     def keyed(df: DataFrame, key: str) -> DataFrame:
         base = df.select(key, F.upper("agency_kind").alias("_kind"), identity("province").alias("_province"), "province", "town")
         direct = base.select(key, "_kind", "_province", F.concat(F.lit("T:"), identity("town")).alias("_alias"))
-        spelled = base.filter(F.col("_kind") == "AYUNTAMIENTO").withColumn("_key", F.explode(T.name_keys("town")))
+        spelled = T.unfold(base.filter(F.col("_kind") == "AYUNTAMIENTO"), "_key", T.name_keys("town"))
         official = spelled.join(alias, ["province", "_key"]).select(
             key, "_kind", "_province", F.concat(F.lit("I:"), "ine").alias("_alias")
         )
@@ -113,8 +113,7 @@ def recover_calls(processes: DataFrame, calls: DataFrame, as_of: Column, max_day
     since = F.greatest(F.col("base_date"), F.date_sub(as_of, max_days - 1))
     keys = ["province", "base_date", "_entity", "family"]
     documents = (
-        calls.filter(F.col("family").isNotNull() & F.col("published").between(since, as_of))
-        .withColumn("_entity", F.explode(T.entity_variants("entity")))
+        T.unfold(calls.filter(F.col("family").isNotNull() & F.col("published").between(since, as_of)), "_entity", T.entity_variants("entity"))
         .groupBy(*keys, "document_id")
         .agg(F.sum("places").alias("places"))
     )
@@ -142,15 +141,10 @@ def match_follow_up(notices: DataFrame, processes: DataFrame) -> DataFrame:
     probe = notices.withColumn("_n", T.fold("title")).withColumn("_family", C.family("_n", R.FAMILIES_TITLE)).withColumn(
         "_code", X.file_code("_n")
     ).withColumn("_clear", C.is_continuity("_n")).withColumn("_town", F.trim(T.fold("town"))).drop("_n")
-    build = (
-        processes.filter((F.col("state") == R.RUNNING) & F.col("call_date").isNotNull())
-        .withColumn("_n", T.fold("name"))
-        .select(
-            "process_id", "call_date", C.family("_n", R.FAMILIES_TITLE).alias("_family"), X.file_code("_n").alias("_code"),
-            F.explode(T.alias_set("town")).alias("_town"),
-        )
-        .filter(F.col("_family").isNotNull())
+    running = processes.filter((F.col("state") == R.RUNNING) & F.col("call_date").isNotNull()).withColumn("_n", T.fold("name")).select(
+        "process_id", "call_date", C.family("_n", R.FAMILIES_TITLE).alias("_family"), X.file_code("_n").alias("_code"), "town"
     )
+    build = T.unfold(running, "_town", T.alias_set("town")).filter(F.col("_family").isNotNull())
     order = [F.col("call_date"), F.col("process_id")]
 
     def earliest(keys: list[str], rows: DataFrame, name: str) -> DataFrame:
@@ -193,12 +187,75 @@ def _word_set(n: str, stop, alias=None) -> Column:
     return F.array_sort(T.tokens(n, 4, stop, alias))
 
 
+# Postings of a block's word that one task is meant to hold; a word with more is dealt over several.
+POSTINGS = 4096
+
+
+def best_overlap(asked: DataFrame, offered: DataFrame, block: list[str], extra: bool) -> DataFrame:
+    """For every word set asked of a block, the offered sets that share most words with it, by a prefix-filtered inverted index.
+
+    ``asked``: the block and _words, distinct; ``offered``: the block, _set, and the extremes _l and _h of the rows that have the set.
+    Of sets that share equally many, with ``extra`` those with the fewest other words are better.  The result has the block, _words,
+    _score (common, extra; common is 1 at least) and the extremes _l and _h of the best; no row where nothing is shared.
+
+    Words of a set are taken rarest first, by their count in the block.  A set that shares c of s words has one of the first s - c + 1: so
+    the rarest word alone finds all sets that share all, and what it finds bounds how many words more have to be looked up.  A set of one
+    word needs no pairs, only the head of the word's list.  Without ``extra``, a word that all sets of a block have tells none of
+    them apart and is left out: who shares nothing else ties with all.
+    """
+    postings = offered.withColumn("_w", F.explode("_set"))
+    score = lambda common, size: F.struct(common.alias("common"), (common - size if extra else F.lit(0)).alias("extra"))
+    heads = postings.groupBy(*block, "_w", score(F.lit(1), F.size("_set")).alias("_score")).agg(F.count("*").alias("_n"), F.min("_l").alias("_l"), F.max("_h").alias("_h"))
+    words = heads.groupBy(*block, "_w").agg(F.sum("_n").alias("_df"), F.max(F.struct("_score", "_l", "_h")).alias("_head"))
+    if not extra:
+        words = words.join(offered.groupBy(*block).agg(F.count("*").alias("_sets")), block).filter(F.col("_df") < F.col("_sets")).drop("_sets")
+    words = stage(words)
+    parts = lambda df: F.greatest(F.ceil(F.col(df) / POSTINGS), F.lit(1)).cast("int")
+    hot = words.filter(F.col("_df") > POSTINGS).select(*block, "_w", parts("_df").alias("_parts"))
+    dealt = postings.join(hot, [*block, "_w"], "left").withColumn("_part", F.pmod(F.xxhash64("_set"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+
+    known = F.sort_array(F.collect_list(F.struct("_df", "_w", "_head")))
+    seen = stage(asked.withColumn("_w", F.explode("_words")).join(words, [*block, "_w"]).groupBy(*block, "_words").agg(known.alias("_seen")))
+    key = [*block, "_words"]
+    one = seen.filter(F.size("_seen") == 1).select(*key, F.col("_seen")[0]["_head"].alias("_b"))
+
+    def found(probe: DataFrame) -> DataFrame:
+        """The best of what shares one of ``_looked`` words."""
+        looked = probe.withColumn("_x", F.explode("_looked")).select(*key, "_x._w", parts("_x._df").alias("_parts")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        common = F.size(F.array_intersect("_words", "_set"))
+        pairs = looked.join(dealt, [*block, "_w", "_part"]).withColumn("_score", score(common, F.size("_set")))
+        level = pairs.groupBy(*key, "_score").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
+        return level.groupBy(*key).agg(F.max(F.struct("_score", "_l", "_h")).alias("_b"))
+
+    several = seen.filter(F.size("_seen") > 1)
+    first = stage(found(several.withColumn("_looked", F.slice("_seen", 1, 1))))
+    # With c shared so far, another c can hide behind the rarest word only in the s - c after it.
+    more = F.size("_seen") - F.coalesce(F.col("_b._score.common"), F.lit(1))
+    rest = several.join(first, key, "left").withColumn("_looked", F.slice("_seen", F.lit(2), more)).filter(F.size("_looked") > 0)
+    second = found(rest.select(*key, "_looked"))
+    return best_of(one.unionByName(first).unionByName(second), key)
+
+
+def best_of(found: DataFrame, key: list[str]) -> DataFrame:
+    """Of several findings (_b: score, extremes) of a key the best, with the extremes of all that are as good."""
+    level = found.select(*key, "_b.*").groupBy(*key, "_score").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
+    return level.groupBy(*key).agg(F.max(F.struct("_score", "_l", "_h")).alias("_b")).select(*key, "_b.*")
+
+
+def gazette_candidates(processes: DataFrame, province: str, origin: str = "BOELOCAL:") -> DataFrame:
+    """Processes a follow-up notice of a province may belong to: opportunities of administrative scope that came from the state
+    gazette, as their stable id says.
+
+    ``processes``: stable_id, is_opportunity, scope, province.
+    """
+    return processes.filter(F.col("stable_id").startswith(origin) & F.col("is_opportunity") & (F.col("scope") == "SI") & (F.coalesce("province", F.lit("")) == province))
+
+
 def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
     """Gazette process of the same town by shift, else the only one, else the best word overlap.
 
-    ``notices``: notice_id, title, town; ``processes``: process_id, name, town, agency_name, shift.  Rows
-    with the same town, shift and words are interchangeable, so words are compared once per distinct set and
-    only where at least one word is shared.
+    ``notices``: notice_id, title, town; ``processes``: process_id, name, town, agency_name, shift (``gazette_candidates`` of them).  Rows
+    with the same town, shift and words are interchangeable, so words are compared once per distinct set, in ``best_overlap``.
     """
     n = notices.withColumn("_n", T.fold("title")).withColumn("_town", F.trim(T.fold("town")))
     need = F.when(C.has("_n", C.RESERVE), "RESERVE").when(
@@ -210,28 +267,19 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
     gives = F.when(C.has("_s", C.RESERVE), "RESERVE").when(C.has("_s", ("libre", "lliure")), "OPEN").otherwise("OTHER")
     bare = F.replace(F.replace(T.fold("agency_name"), F.lit("ayuntamiento de "), F.lit("")), F.lit("ajuntament de "), F.lit(""))
     forms = F.array_distinct(F.array_compact(F.array(F.trim(T.fold("town")), F.trim(bare))))
-    sets = (
-        p.select(F.explode(forms).alias("_town"), gives.alias("_gives"), _word_set("_p", R.STOPWORDS_FOLLOW_UP).alias("_pwords"), "process_id")
-        .groupBy("_town", "_gives", "_pwords")
-        .agg(F.min("process_id").alias("_l"), F.max("process_id").alias("_h"))
+    # Which needs a candidate answers: any, and its own shift.
+    offers = stage(
+        T.unfold(p.select(forms.alias("_forms"), gives.alias("_gives"), _word_set("_p", R.STOPWORDS_FOLLOW_UP).alias("_set"), "process_id"), "_town", "_forms")
+        .withColumn("_need", F.explode(F.array(F.lit("ANY"), F.col("_gives"))))
+        .groupBy("_town", "_need", "_set").agg(F.min("process_id").alias("_l"), F.max("process_id").alias("_h"))
     )
-    sets = stage(sets)
-    # Which candidates a need admits: the same shift, or any.
-    offers = sets.withColumn("_need", F.explode(F.array(F.lit("ANY"), F.col("_gives"))))
-    pool = offers.groupBy("_town", "_need").agg(F.min("_l").alias("_low"), F.max("_h").alias("_high"))
+    pool = stage(offers.groupBy("_town", "_need").agg(F.min("_l").alias("_low"), F.max("_h").alias("_high")))
     any_pool = pool.filter(F.col("_need") == "ANY").select("_town", F.lit(True).alias("_known"))
 
-    asked = probe.select("_town", "_need", "_words").distinct()
-    shared = (
-        asked.withColumn("_w", F.explode("_words"))
-        .join(offers.withColumn("_w", F.explode("_pwords")), ["_town", "_need", "_w"])
-        .groupBy("_town", "_need", "_words", "_gives", "_pwords")
-        .agg(F.count("*").alias("_score"), F.first("_l").alias("_l"), F.first("_h").alias("_h"))
-    )
-    scores = shared.groupBy("_town", "_need", "_words", "_score").agg(F.min("_l").alias("_bl"), F.max("_h").alias("_bh"))
-    best = scores.groupBy("_town", "_need", "_words").agg(
-        F.max_by("_bl", "_score").alias("_bl"), F.max_by("_bh", "_score").alias("_bh")
-    )
+    # Words decide only where several candidates are left.
+    open_ = pool.filter(F.col("_low") != F.col("_high")).select("_town", "_need")
+    asked = probe.select("_town", "_need", "_words").distinct().join(open_, ["_town", "_need"])
+    best = best_overlap(asked, offers.join(open_, ["_town", "_need"]), ["_town", "_need"], extra=False)
     joined = (
         probe.join(any_pool, "_town", "left").join(pool, ["_town", "_need"], "left").join(best, ["_town", "_need", "_words"], "left")
     )
@@ -242,12 +290,12 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
         (stated & F.col("_low").isNull(), "TURNO_INCOMPATIBLE"),
         (stated & one, "MUNICIPIO_TURNO"),
         (one, "MUNICIPIO_UNICO"),
-        (F.coalesce(F.col("_bl") == F.col("_bh"), F.lit(False)), "MUNICIPIO_DENOMINACION"),
+        (F.coalesce(F.col("_l") == F.col("_h"), F.lit(False)), "MUNICIPIO_DENOMINACION"),
         default="AMBIGUO",
     )
     out = joined.withColumn("reason", reason)
     linked = F.when(F.col("reason").isin("MUNICIPIO_TURNO", "MUNICIPIO_UNICO"), F.col("_low")).when(
-        F.col("reason") == "MUNICIPIO_DENOMINACION", F.col("_bl")
+        F.col("reason") == "MUNICIPIO_DENOMINACION", F.col("_l")
     )
     return out.withColumn("match_id", linked).select(*notices.columns, "reason", "match_id")
 
@@ -261,53 +309,56 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
 
     ``processes``: process_id, name, town, base_date; ``notices``: notice_id, title, published.  A notice
     belongs to the entity if its issuer is the town or its title has all the words of the town.  New calls
-    are preferred; then the more common and the fewer extra words.  Both sides are reduced to distinct
-    texts per date before they meet: on the issuer, or on the word of the town that the fewest towns have,
-    which a title with all its words must have too.
+    are preferred; then the more common and the fewer extra words.
+
+    A notice is listed under keys: its issuer, and every town whose words it has, found by the one that the fewest towns have.  Whether
+    a process has none, one or several is told by the extremes of its two keys and its day, which never meet its name; only where several
+    are left are names compared, in ``best_overlap``.
     """
+    entity = F.trim(T.fold("town"))
     p = (
         processes.filter(F.col("base_date").isNotNull() & F.col("town").isNotNull())
-        .withColumn("_entity", F.trim(T.fold("town"))).withColumn("_p", T.fold("name"))
-        .withColumn("_ewords", T.tokens("_entity", 3, ENTITY_WORDS, R.TOKEN_ALIAS))
-        .withColumn("_pwords", _word_set("_p", R.STOPWORDS_BASES, R.TOKEN_ALIAS))
-        .drop("_p")
-    )
-    p = stage(p)
-    # Counted over the towns, not over the facts.
-    towns = p.select("_entity", "_ewords").distinct().withColumn("_w", F.explode("_ewords"))
-    common = towns.groupBy("_w").agg(F.count("*").alias("_towns"))
-    rarest = towns.join(common, "_w").groupBy("_entity").agg(F.min(F.struct("_towns", "_w")).alias("_r")).select("_entity", F.col("_r._w").alias("_w"))
-    asked = p.select(F.col("base_date").alias("_day"), "_entity", "_ewords", "_pwords").distinct().join(rarest, "_entity", "left")
-    n = (
-        notices.withColumn("_n", T.fold("title"))
         .select(
-            F.col("published").alias("_day"), T.issuer_town("title").alias("_town"),
-            (C.notice_class("_n") == "NUEVA_CONVOCATORIA").alias("_new"),
-            T.tokens("_n", 3, (), R.TOKEN_ALIAS).alias("_twords"),
-            _word_set("_n", R.STOPWORDS_BASES, R.TOKEN_ALIAS).alias("_nwords"), "notice_id",
+            "process_id", F.col("base_date").alias("_day"), entity.alias("_entity"), F.coalesce(_word_set(T.fold("name"), R.STOPWORDS_BASES, R.TOKEN_ALIAS), F.array().cast("array<string>")).alias("_words"),
         )
-        .groupBy("_day", "_town", "_new", "_twords", "_nwords")
-        .agg(F.min("notice_id").alias("_l"), F.max("notice_id").alias("_h"))
     )
-    named = (F.size("_ewords") > 0) & (F.size(F.array_except("_ewords", "_twords")) == 0)
-    score = F.struct(
-        F.size(F.array_intersect("_pwords", "_nwords")).alias("common"),
-        (-F.size(F.array_except("_nwords", "_pwords"))).alias("extra"),
-    )
-    keys = ["_day", "_entity", "_ewords", "_pwords"]
-    by_word = asked.join(n.withColumn("_w", F.explode("_twords")), ["_day", "_w"]).filter(named)
-    by_issuer = asked.join(n.withColumn("_entity", F.col("_town")), ["_day", "_entity"]).filter(~named)
-    pairs = by_word.unionByName(by_issuer).withColumn("_score", score)
-    ranked = pairs.groupBy(*keys, "_new", "_score").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
-    kinds = ranked.groupBy(*keys, "_new").agg(
-        F.min("_l").alias("_low"), F.max("_h").alias("_high"), F.max_by(F.struct("_l", "_h", "_score"), "_score").alias("_best")
-    )
-    chosen = kinds.groupBy(*keys).agg(F.max_by(F.struct("_low", "_high", "_best"), "_new").alias("_c"))
-    c = F.col("_c")
-    tie_free = (c["_best"]["_l"] == c["_best"]["_h"]) & (c["_best"]["_score"]["common"] > 0)
-    found = F.when(c["_low"] == c["_high"], c["_low"]).when(tie_free, c["_best"]["_l"])
-    out = p.withColumnRenamed("base_date", "_day").join(chosen, keys, "left")
-    return out.select("process_id", F.when(c.isNull(), "NONE").when(found.isNull(), "AMBIGUOUS").otherwise("UNIQUE").alias("status"), found.alias("match_id"))
+    p = stage(p)
+    towns = p.select("_entity").distinct().withColumn("_ewords", F.array_sort(T.tokens("_entity", 3, ENTITY_WORDS, R.TOKEN_ALIAS)))
+    worded = towns.withColumn("_key", F.concat(F.lit("W "), F.concat_ws(" ", "_ewords"))).filter(F.size("_ewords") > 0)
+    keys = stage(towns.select("_entity", F.concat(F.lit("I "), "_entity").alias("_key")).unionByName(worded.select("_entity", "_key")))
+    # Counted over the towns, not over the facts.
+    spread = worded.select("_key", "_ewords").distinct().withColumn("_w", F.explode("_ewords"))
+    rarest = spread.join(spread.groupBy("_w").agg(F.count("*").alias("_towns")), "_w").groupBy("_key", "_ewords").agg(F.min(F.struct("_towns", "_w")).alias("_r"))
+    # Written, so that its size is known before the notices are dealt: few towns are broadcast, many are not.
+    probes = stage(rarest.select(F.concat(F.lit("W "), "_r._w").alias("_probe"), "_key", "_ewords").unionByName(
+        towns.select(F.concat(F.lit("I "), "_entity").alias("_probe"), F.concat(F.lit("I "), "_entity").alias("_key"), F.array().cast("array<string>").alias("_ewords"))
+    ))
+    # Words are cut once; rules that read whole titles run only on days that are asked for and on notices that are listed.
+    words = notices.select("notice_id", "title", F.col("published").alias("_day")).join(p.select("_day").distinct(), "_day", "left_semi").withColumn("_n", T.fold("title"))
+    words = words.withColumn("_raw", F.regexp_extract_all("_n", F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    n = words.select("_day", "notice_id", "_n", "_raw", F.concat(F.lit("I "), T.issuer_town("title")).alias("_town"), T.canonical("_raw", (), R.TOKEN_ALIAS).alias("_twords"))
+    listed = F.array_compact(F.array_append(F.transform("_twords", lambda w: F.concat(F.lit("W "), w)), F.col("_town")))
+    held = T.unfold(n, "_probe", listed).join(probes, "_probe").filter(F.size(F.array_except("_ewords", "_twords")) == 0).select("_day", "_key", "notice_id", "_n", "_raw")
+    longer = F.filter("_raw", lambda w: F.length(w) >= 4)
+    judged = held.select("_day", "_key", "notice_id", (C.notice_class("_n") == "NUEVA_CONVOCATORIA").alias("_new"), F.array_sort(T.canonical(longer, R.STOPWORDS_BASES, R.TOKEN_ALIAS)).alias("_set"))
+    offered = stage(judged.groupBy("_day", "_key", "_new", "_set").agg(F.min("notice_id").alias("_l"), F.max("notice_id").alias("_h")))
+
+    limits = offered.groupBy("_day", "_key", "_new").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
+    where = p.select("_day", "_entity").distinct().join(keys, "_entity")
+    kinds = where.join(limits, ["_day", "_key"]).groupBy("_day", "_entity", "_new").agg(F.min("_l").alias("_low"), F.max("_h").alias("_high"))
+    chosen = stage(kinds.groupBy("_day", "_entity").agg(F.max(F.struct("_new", "_low", "_high")).alias("_c")).select("_day", "_entity", "_c.*"))
+
+    block = ["_day", "_key", "_new"]
+    several = chosen.filter(F.col("_low") != F.col("_high")).select("_day", "_entity", "_new")
+    asked = stage(p.select("_day", "_entity", "_words").distinct().join(several, ["_day", "_entity"]).join(keys, "_entity"))
+    compared = offered.join(several.join(keys, "_entity").select(*block).distinct(), block)
+    best = best_overlap(asked.select(*block, "_words").distinct(), compared, block, extra=True)
+    found = asked.join(best, [*block, "_words"]).select("_day", "_entity", "_words", F.struct("_score", "_l", "_h").alias("_b"))
+    best = best_of(found, ["_day", "_entity", "_words"])
+
+    out = p.join(chosen, ["_day", "_entity"], "left").join(best, ["_day", "_entity", "_words"], "left")
+    match = F.when(F.col("_low") == F.col("_high"), F.col("_low")).when(F.col("_l") == F.col("_h"), F.col("_l"))
+    return out.select("process_id", F.when(F.col("_low").isNull(), "NONE").when(match.isNull(), "AMBIGUOUS").otherwise("UNIQUE").alias("status"), match.alias("match_id"))
 
 
 def match_document_event(events: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -331,25 +382,55 @@ def _kind(tokens: str, kinds: tuple[str, ...]) -> Column:
     return F.filter(F.col(tokens), lambda t: F.split_part(t, F.lit(":"), F.lit(1)).isin(*kinds))
 
 
+# Identifiers of a kind in one name that are counted by inclusion and exclusion: so many make 2 ** n - 1 terms.
+TERMS = 2
+SPECIFIC, CODES = ("CONVOCATORIA", "ORDEN", "BOLSA"), ("CODIGO",)
+
+
+def _subsets(tokens: Column) -> Column:
+    """One token, or two in their order, of a sorted array."""
+    pairs = F.flatten(F.transform(tokens, lambda x, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda y: F.array(x, y))))
+    return F.concat(F.transform(tokens, lambda x: F.array(x)), pairs)
+
+
+def _terms(specific: Column, codes: Column) -> Column:
+    """Every combination of tokens as one key with the sign it is counted with."""
+    sign = lambda s: F.when(F.size(s) == 2, -1).otherwise(1)
+    term = lambda k, c: F.struct(F.concat(F.array_join(k, " "), F.lit(" / "), F.array_join(c, " ")).alias("key"), (sign(k) * sign(c)).alias("sign"))
+    return F.flatten(F.transform(specific, lambda k: F.transform(codes, lambda c: term(k, c))))
+
+
 def match_identity(processes: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents of each process by shared identity: a specific token, and a body code when the
-    process has any.  Token sets are compared once per distinct set; the result is one row per process
-    with the number of documents and the first and last of them."""
-    specific = ("CONVOCATORIA", "ORDEN", "BOLSA")
+    process has any; the result is one row per process with the number of documents and the first and last of them.
+
+    Documents are counted by every combination of a token or two and of none, one or two codes; the documents of a process are then a
+    signed sum over its own combinations (inclusion and exclusion), so a token that a third of all documents state meets a
+    process as one row.  Only a name with more than ``TERMS`` tokens of a kind is compared with the documents' token sets.
+    """
+    none = F.array(F.array().cast("array<string>"))
     p = processes.withColumn("_t", T.identity_tokens("name"))
-    d = documents.withColumn("_t", T.identity_tokens("title"))
-    psets = p.select("_t").distinct().withColumn("_codes", _kind("_t", ("CODIGO",)))
-    dsets = d.groupBy(F.col("_t").alias("_dt")).agg(
+    # Filters stand behind the written tables: pushed below, they would read every name once more.
+    asked = stage(p.select("_t").distinct()).withColumns({"_s": _kind("_t", SPECIFIC), "_codes": _kind("_t", CODES)}).filter(F.size("_s") > 0)
+    wanted = stage(asked.select(F.explode("_t").alias("_k")).distinct())
+    # Distinct token sets of the documents, then without the tokens that no process states.
+    d = documents.withColumn("_dt", T.identity_tokens("title")).groupBy("_dt").agg(
         F.count("*").alias("n"), F.min("notice_id").alias("first_id"), F.max("notice_id").alias("last_id")
     )
-    pairs = (
-        psets.withColumn("_k", F.explode(_kind("_t", specific)))
-        .join(dsets.withColumn("_k", F.explode(_kind("_dt", specific))), "_k")
-        .filter((F.size("_codes") == 0) | F.arrays_overlap("_codes", "_dt"))
-        .select("_t", "_dt", "n", "first_id", "last_id").distinct()
-    )
-    totals = pairs.groupBy("_t").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-    return p.select("process_id", "_t").join(totals, "_t", "left").select(
+    kept = T.unfold(d, "_k", "_dt").join(wanted, "_k").groupBy("_dt").agg(F.sort_array(F.collect_set("_k")).alias("_d"), F.first("n").alias("n"), F.first("first_id").alias("first_id"), F.first("last_id").alias("last_id"))
+    totals = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+    sets = stage(totals(kept, "_d")).withColumns({"_ds": _kind("_d", SPECIFIC), "_dc": _kind("_d", CODES)}).filter(F.size("_ds") > 0)
+
+    few = (F.size("_s") <= TERMS) & (F.size("_codes") <= TERMS)
+    listed = T.unfold(sets, "_x", _terms(_subsets(F.col("_ds")), F.concat(none, _subsets(F.col("_dc")))))
+    counted = totals(listed.withColumn("key", F.col("_x.key")), "key")
+    signed = T.unfold(asked.filter(few), "_x", _terms(_subsets(F.col("_s")), F.when(F.size("_codes") == 0, none).otherwise(_subsets(F.col("_codes")))))
+    by_terms = totals(signed.select("_t", "_x.*").join(counted, "key").withColumn("n", F.col("n") * F.col("sign")), "_t")
+
+    many = T.unfold(asked.filter(~few), "_k", "_s").join(T.unfold(sets, "_k", "_ds"), "_k").filter((F.size("_codes") == 0) | F.arrays_overlap("_codes", "_dc"))
+    by_sets = totals(many.select("_t", "_d", "n", "first_id", "last_id").distinct(), "_t")
+
+    return p.select("process_id", "_t").join(by_terms.unionByName(by_sets), "_t", "left").select(
         "process_id", F.coalesce("n", F.lit(0)).alias("n"), "first_id", "last_id"
     )
 
@@ -362,7 +443,7 @@ def match_signature(records: DataFrame, pages: DataFrame, unread: Column | None
         F.regexp_extract_all(F.col("html"), F.lit(r"\d{4}_\d+"), F.lit(0)),
         lambda s: F.transform(F.sequence(F.lit(6), F.length(s)), lambda k: F.left(s, k)),
     )
-    listed = pages.select("page_id", F.explode(F.array_distinct(F.flatten(digits))).alias("signature"))
+    listed = T.unfold(pages, "signature", F.array_distinct(F.flatten(digits))).select("page_id", "signature")
     found = unique_match(records, listed, ["signature"], "page_id")
     return found if unread is None else found.withColumn("match_id", F.when(~unread, F.col("match_id")))
 
@@ -379,7 +460,7 @@ def resolve_pool_refs(refs: DataFrame, pools: DataFrame) -> DataFrame:
     full = F.transform(F.regexp_extract_all("title", F.lit(POOL_IN_TITLE), F.lit(1)), F.upper)
     numbers = F.transform(full, lambda r: F.split_part(r, F.lit("-"), F.lit(1)))
     years = F.regexp_extract_all("title", F.lit(YEAR_POOL_IN_TITLE), F.lit(1))
-    stated = pools.select("pool_id", F.explode(F.array_distinct(F.flatten(F.array(full, numbers, years)))).alias("_key"))
+    stated = T.unfold(pools, "_key", F.array_distinct(F.flatten(F.array(full, numbers, years)))).select("pool_id", "_key")
     ref = F.trim(F.replace(F.upper("ref"), F.lit(" "), F.lit("")))
     key = F.when(F.contains(ref, F.lit("/")), ref).when(
         ref.rlike(r"^\d{2,4}(?:-?[BL])?$"), F.regexp_replace(ref, r"^(\d+)-?([BL])$", "$1-$2")

@@ -192,7 +192,8 @@ def syllabus(documents: DataFrame, k: int | None = None) -> DataFrame:
 
 def topics(blocks: DataFrame) -> DataFrame:
     """Q15: the lines of a syllabus after its heading, in order."""
-    lines = blocks.select("process_id", F.posexplode(F.split(T.norm_lines("block"), "\n")).alias("position", "text"))
+    numbered = F.transform(F.split(T.norm_lines("block"), "\n"), lambda x, i: F.struct(i.alias("position"), x.alias("text")))
+    lines = T.unfold(blocks, "_l", numbered).select("process_id", "_l.*")
     return lines.filter(F.col("position") > 0)
 
 

@@ -21,7 +21,7 @@ def scope_document(spark, path):
     """Best scope over the sentences of each text that state places."""
     from edictal.functions.extract import STATES_PLACES
 
-    s = view(spark, path, "bodies").select("process_id", F.explode(T.sentences("body")).alias("s")).filter(C.matches("s", STATES_PLACES))
+    s = T.unfold(view(spark, path, "bodies"), "s", T.sentences("body")).select("process_id", "s").filter(C.matches("s", STATES_PLACES))
     scoped = s.withColumn("_n", T.fold("s")).withColumn("scope", C.scope("_n", "_n"))
     rank = C.chain((F.col("scope") == "SI", 2), (F.col("scope") == "REVISION", 1), default=0)
     best = scoped.groupBy("process_id").agg(F.max(rank).alias("best"))

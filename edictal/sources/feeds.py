@@ -35,10 +35,11 @@ def segment_records(df: DataFrame, page: str, text: str) -> DataFrame:
     numbers = F.regexp_extract_all(F.col(text), F.lit(RECORD_MARK), F.lit(1))
     blocks = F.split(F.col(text), RECORD_MARK)
     cut = df.select(page, numbers.alias("_n"), blocks.alias("_b"))
-    rows = cut.select(page, "_b", F.posexplode("_n").alias("pos", "record"))
-    before, after = F.get("_b", F.col("pos")), F.get("_b", F.col("pos") + 1)
+    # A record carries its two neighbours, not the page.
+    zipped = F.transform("_n", lambda x, i: F.struct(i.alias("pos"), x.alias("record"), F.get("_b", i).alias("before"), F.get("_b", i + 1).alias("after")))
+    rows = X.unfold(cut.select(page, zipped.alias("_z")), "_r", "_z").select(page, "_r.*")
     read = rows.select(
-        page, "record", "pos", X.found(X.squeeze(before), LAST_NOTICE).alias("_t1"), X.found(X.squeeze(after), FIRST_NOTICE).alias("_t2")
+        page, "record", "pos", X.found(X.squeeze("before"), LAST_NOTICE).alias("_t1"), X.found(X.squeeze("after"), FIRST_NOTICE).alias("_t2")
     )
     titled = read.select(page, "record", "pos", F.coalesce(record_title(F.col("_t1")), record_title(F.col("_t2"))).alias("title"))
     at = F.when(F.col("title").isNotNull(), F.col("pos"))
@@ -110,14 +111,14 @@ def flatten_summary(df: DataFrame, raw: str = "json", section: str = COMPETITION
     """Items of a daily summary: diary, section, department, heading, item, each one or many."""
     part = lambda c, name: F.get_json_object(c, f"$.{name}")
     keep = [c for c in df.columns if c != raw]
-    out = df.select(*keep, F.explode(_listed(part(F.col(raw), "data.sumario.diario"))).alias("_j"))
-    out = out.select(*keep, F.explode(_listed(part(F.col("_j"), "seccion"))).alias("_j"))
+    out = X.unfold(df, "_j", _listed(part(F.col(raw), "data.sumario.diario"))).select(*keep, "_j")
+    out = X.unfold(out, "_j", _listed(part(F.col("_j"), "seccion"))).select(*keep, "_j")
     out = out.filter(F.trim(part(F.col("_j"), "codigo")) == section)
-    out = out.select(*keep, F.explode(_listed(part(F.col("_j"), "departamento"))).alias("_j"))
+    out = X.unfold(out, "_j", _listed(part(F.col("_j"), "departamento"))).select(*keep, "_j")
     out = out.filter(F.trim(part(F.col("_j"), "codigo")) == department)
     body = F.coalesce(F.when(part(F.col("_j"), "texto").startswith("{"), part(F.col("_j"), "texto")), F.col("_j"))
-    out = out.select(*keep, F.explode(_listed(part(body, "epigrafe"))).alias("_j"))
-    out = out.select(*keep, part(F.col("_j"), "nombre").alias("heading"), F.explode(_listed(part(F.col("_j"), "item"))).alias("_j"))
+    out = X.unfold(out, "_j", _listed(part(body, "epigrafe"))).select(*keep, "_j")
+    out = X.unfold(out.withColumn("heading", part(F.col("_j"), "nombre")), "_j", _listed(part(F.col("_j"), "item"))).select(*keep, "heading", "_j")
     html = part(F.col("_j"), "url_html")
     return out.select(
         *keep, "heading", part(F.col("_j"), "identificador").alias("item_id"), part(F.col("_j"), "titulo").alias("title"),

@@ -102,3 +102,105 @@ def test_news_counts_without_pairs(spark):
     subs = spark.createDataFrame([("u", 1, True, d(2)), ("v", 1, True, d(1)), ("w", 1, False, d(1)), ("x", 2, True, d(9))], "user_id string, process_id int, active boolean, since date")
     got = {r.user_id: (r.n_news, r.newest) for r in M.news_counts(news, subs).collect()}
     assert got == {"u": (2, d(3)), "v": (3, d(3))}
+
+
+def best_of_pairs(asked, offered, extra):
+    """Every asked set against every offered one of its block."""
+    out = {}
+    for block, words in asked:
+        scored = [((len(set(words) & set(s)), len(set(words) & set(s)) - len(s) if extra else 0), low, high) for b, s, low, high in offered if b == block]
+        scored = [x for x in scored if x[0][0] > 0]
+        if scored:
+            best = max(x[0] for x in scored)
+            out[block, tuple(words)] = (best, min(x[1] for x in scored if x[0] == best), max(x[2] for x in scored if x[0] == best))
+    return out
+
+
+def test_best_overlap_against_all_pairs(spark, monkeypatch):
+    """Also where the lists of words are dealt over several parts."""
+    monkeypatch.setattr(M, "POSTINGS", 3)
+    rng = random.Random(8)
+    letters = "abcdefghij"
+    some = lambda most: sorted({rng.choice(letters) if rng.random() < 0.7 else "a" for _ in range(rng.randint(0, most))})
+    asked = {(rng.choice("xyz"), tuple(some(6))) for _ in range(120)}
+    sets = {(rng.choice("xy"), tuple(some(7))) for _ in range(60)}
+    offered = [(b, list(s), k % 17, k % 17 + rng.randint(0, 1)) for k, (b, s) in enumerate(sorted(sets))]
+    a = spark.createDataFrame([(b, list(w)) for b, w in asked], "b string, _words array<string>")
+    o = spark.createDataFrame(offered, "b string, _set array<string>, _l int, _h int")
+    got = {(r.b, tuple(r._words)): (tuple(r._score), r._l, r._h) for r in M.best_overlap(a, o, ["b"], extra=True).collect()}
+    assert got == best_of_pairs(asked, offered, True)
+    got = {(r.b, tuple(r._words)): (r._l, r._h) for r in M.best_overlap(a, o, ["b"], extra=False).collect()}
+    want = {k: v[1:] for k, v in best_of_pairs(asked, offered, False).items()}
+    # Who shares only words that all sets of a block have ties with all of them, and may be left out.
+    for key in want.keys() - got.keys():
+        mine = [o for o in offered if o[0] == key[0]]
+        assert want[key] == (min(o[2] for o in mine), max(o[3] for o in mine))
+        assert set(key[1]) & set.union(*(set(o[1]) for o in mine)) <= set.intersection(*(set(o[1]) for o in mine))
+    assert got == {k: want[k] for k in got}
+
+
+def test_best_notice_by_issuer_and_by_words(spark):
+    """Notices of the town's own hall, whose titles name another town or none, beside notices that name it."""
+    rng = random.Random(9)
+    day = lambda k: dt.date(2026, 3, 1 + k)
+    towns, jobs = ("Alfa", "Beta del Mar", "Gamma"), ("administrativo", "auxiliar administrativo", "técnico de gestión", "ingeniero industrial")
+    processes = [(i, rng.choice((*jobs, None)), rng.choice((*towns, "Delta", None)), rng.choice((day(0), day(1), None))) for i in range(60)]
+    heads = ("Bases de la convocatoria", "Aprobación de las bases de la convocatoria", "Resultado final")
+    notices = []
+    for i in range(40):
+        issuer = f"Anuncio del Ayuntamiento de {rng.choice(towns)} sobre " if rng.random() < 0.5 else ""
+        named = f" en {rng.choice(towns)}" if rng.random() < 0.6 else ""
+        notices.append((f"n{i:02}", f"{issuer}{rng.choice(heads)} de una plaza de {rng.choice(jobs)}{named}.", day(rng.randint(0, 2))))
+    p = spark.createDataFrame(processes, "process_id int, name string, town string, base_date date")
+    n = spark.createDataFrame(notices, "notice_id string, title string, published date")
+    told = n.withColumn("_n", T.fold("title")).select(
+        "notice_id", "published", T.issuer_town("title").alias("town"), (M.C.notice_class("_n") == "NUEVA_CONVOCATORIA").alias("new"),
+        T.tokens("_n", 3, (), M.R.TOKEN_ALIAS).alias("t"), M._word_set("_n", M.R.STOPWORDS_BASES, M.R.TOKEN_ALIAS).alias("w"),
+    ).collect()
+    asked = p.withColumn("e", F.trim(T.fold("town"))).select(
+        "process_id", "base_date", "e", T.tokens("e", 3, M.ENTITY_WORDS, M.R.TOKEN_ALIAS).alias("t"), M._word_set(T.fold("name"), M.R.STOPWORDS_BASES, M.R.TOKEN_ALIAS).alias("w")
+    ).collect()
+    got = {r.process_id: (r.status, r.match_id) for r in M.best_notice(p, n).collect()}
+    want = {}
+    for a in asked:
+        if a.base_date is None or a.e is None:
+            continue
+        mine = [x for x in told if x.published == a.base_date and (x.town == a.e or (a.t and set(a.t) <= set(x.t)))]
+        mine = [x for x in mine if x.new] or mine
+        score = lambda x: (len(set(a.w or ()) & set(x.w)), -len(set(x.w) - set(a.w or ())))  # noqa: E731, B023
+        best = [x for x in mine if score(x) == max(map(score, mine))]
+        if not mine:
+            want[a.process_id] = ("NONE", None)
+        elif len(mine) == 1:
+            want[a.process_id] = ("UNIQUE", mine[0].notice_id)
+        else:
+            want[a.process_id] = ("UNIQUE", best[0].notice_id) if len(best) == 1 and score(best[0])[0] > 0 else ("AMBIGUOUS", None)
+    assert got == want and len({s for s, _ in want.values()}) == 3
+
+
+def test_identity_against_all_pairs(spark):
+    """Names with up to five identifiers of a kind, of which those with more than two go by sets."""
+    rng = random.Random(10)
+
+    def title(most):
+        parts = [f"convocatoria {k}/2024" for k in range(1, 6)] + ["orden 3/2024", "bolsa 444B"]
+        codes = ["A1-01", "A2-02", "B1-03", "C1-01-02", "C2-05"]
+        return " ".join(rng.sample(parts, rng.randint(0, most)) + rng.sample(codes, rng.randint(0, most)))
+
+    processes, documents = [(i, title(rng.choice((1, 2, 2, 4)))) for i in range(80)], [(f"n{i:03}", title(5)) for i in range(150)]
+    p, d = spark.createDataFrame(processes, "process_id int, name string"), spark.createDataFrame(documents, "notice_id string, title string")
+    tokens = lambda df, key, c: {r[0]: set(r[1]) for r in df.select(key, T.identity_tokens(c)).collect()}
+    mine, theirs = tokens(p, "process_id", "name"), tokens(d, "notice_id", "title")
+    kind = lambda t, codes: {x for x in t if x.startswith("CODIGO") == codes}
+    want = {}
+    for i, t in mine.items():
+        hits = sorted(k for k, u in theirs.items() if kind(t, False) & u and (not kind(t, True) or kind(t, True) & u))
+        want[i] = (len(hits), hits[0] if hits else None, hits[-1] if hits else None)
+    got = {r.process_id: (r.n, r.first_id, r.last_id) for r in M.match_identity(p, d).collect()}
+    assert got == want and any(len(kind(t, False)) > 2 or len(kind(t, True)) > 2 for t in mine.values())
+
+
+def test_gazette_candidates(spark):
+    rows = [("BOELOCAL:1", True, "SI", "Valencia"), ("DOGV:2", True, "SI", "Valencia"), ("BOELOCAL:3", False, "SI", "Valencia"), ("BOELOCAL:4", True, "NO", "Valencia"), ("BOELOCAL:5", True, "SI", None), ("BOELOCAL:6", True, None, "Valencia"), (None, True, "SI", "Valencia")]
+    df = spark.createDataFrame(rows, "stable_id string, is_opportunity boolean, scope string, province string")
+    assert [r.stable_id for r in M.gazette_candidates(df, "Valencia").collect()] == ["BOELOCAL:1"]

@@ -22,6 +22,8 @@ RUNTIME = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.session.timeZone": "UTC",
+    # Keyed state of streams outgrows the heap; stateful processors need this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

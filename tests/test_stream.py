@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -32,13 +33,47 @@ def test_debounce_over_batches_equals_one_pass(spark, tmp_path):
     out, check = str(tmp_path / "o"), str(tmp_path / "c")
     rows = [(i % 3, dt.datetime(2026, 1, 1) + dt.timedelta(hours=7 * i), i, (i * i) % 5 < 3) for i in range(60)]
     for part in (rows[:20], rows[20:25], rows[25:]):
-        write(spark, part, schema, folder)
+        write(spark, random.Random(3).sample(part, len(part)), schema, folder)
         S.debounce_stream(source(spark, folder, schema), out, check).awaitTermination()
     got = {r.reading_id for r in spark.read.schema("reading_id long").parquet(out + "/out/batch=*").collect()}
     whole = previous(spark.createDataFrame(rows, schema), "pool_id", "read_at", "reading_id", "off", "b")
     assert got == {r.reading_id for r in whole.collect() if r.off and r.b}
 
 
+def test_seen_over_batches_and_a_new_version(spark, tmp_path):
+    """Three batches of one version, then a higher one: its first batch of an owner is silent, whatever was seen before."""
+    schema, folder = "pool_id long, signature string, read_on date", str(tmp_path / "in")
+    out, check = str(tmp_path / "o"), str(tmp_path / "c")
+    day = lambda k: dt.date(2026, 1, k)
+    batches = [
+        (1, [(1, "a", day(1)), (1, "a", day(1)), (2, "x", day(1)), (3, None, None)]),
+        (1, [(1, "a", day(4)), (2, "x", day(2)), (2, "y", day(2)), (3, "z", day(9))]),
+        (1, [(1, "b", day(3)), (1, "c", day(6)), (2, "z", day(5))]),
+        (2, [(1, "b", day(7)), (1, "n", day(7))]),
+        (2, [(1, "m", day(8)), (1, "b", day(8)), (2, "x", day(8))]),
+    ]
+    for version, rows in batches:
+        write(spark, rows, schema, folder)
+        S.track_seen(source(spark, folder, schema), out, check, read_on="read_on", version=version).awaitTermination()
+    rows = spark.read.schema("pool_id long, signature string, news boolean, version int, since date").parquet(out + "/out/batch=*").collect()
+    assert sorted((r.version, r.pool_id, r.signature or "", r.news, r.since) for r in rows) == [
+        (1, 1, "a", False, None), (1, 1, "b", True, day(4)), (1, 1, "c", True, day(4)), (1, 2, "x", False, None), (1, 2, "y", True, day(1)), (1, 2, "z", True, day(2)),
+        (1, 3, "", False, None), (1, 3, "z", True, None), (2, 1, "b", False, day(6)), (2, 1, "m", True, day(7)), (2, 1, "n", False, day(6)), (2, 2, "x", False, day(5)),
+    ]
+
+
+def test_late_rows_have_a_table_of_their_own(spark, tmp_path):
+    """The bound is the newest time of the batches before, less the delay; a restart between batches does not forget it."""
+    schema, folder = "id long, ts timestamp", str(tmp_path / "in")
+    out, check = str(tmp_path / "o"), str(tmp_path / "c")
+    at = lambda k: dt.datetime(2026, 1, k)
+    for rows in ([(1, at(20)), (2, at(1))], [(3, at(9)), (4, at(10)), (5, at(11)), (6, at(30)), (7, None)], [(8, at(19)), (9, at(21))]):
+        write(spark, rows, schema, folder)
+        S.late_rows(source(spark, folder, schema), out, check, delay="10 days").awaitTermination()
+    ids = lambda part: sorted(r.id for r in spark.read.schema(schema).parquet(f"{out}/{part}/batch=*").collect())
+    assert (ids("out"), ids("late")) == ([1, 2, 4, 5, 6, 7, 9], [3, 8])
+
+
 def test_news_once_over_batches(spark, tmp_path):
     schema, folder = "k long", str(tmp_path / "in")
     out, check = str(tmp_path / "o"), str(tmp_path / "c")

@@ -2,8 +2,8 @@
 
 The vocabulary drops white space, so no token reaches over it: a text is the sequence of its words, and each word has its ids whatever
 stands around it.  Spark splits all texts and counts the distinct words.  The most frequent ones, up to ``TABLE_WORDS``, are encoded
-once each and joined back by position as a broadcast of bounded size.  A word beyond them is rare: it is encoded where it stands and
-remembered by the task.  Decoding joins every id with its piece, over a vocabulary of fixed size.
+once each and looked up in a broadcast of bounded size.  A word beyond them is rare: it is encoded where it stands and remembered by the
+worker as long as it is used.  Decoding looks every id's piece up in a vocabulary of fixed size.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ from edictal.session import stage
 # Bounds of the broadcast table: so many words of so many bytes at most.
 TABLE_WORDS = 1 << 18
 WORD_BYTES = 48
-# Rare words that a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+# Words that a Python worker remembers in each of two generations; those that were not used during one are forgotten.
+REMEMBERED = 700_000
+# Words that the library cuts as one text.
+LEARNED = 4096
+# Words whose ids show whether that gives what the library gives for each alone.
+SAMPLES = ("Año.", "ciónes%%%", "it's", "ﬁn", "日本語", "e\u0301", "x\u00adz", "1,234.5", "🙂🙂!", "d'A-b_c", "\u200d", "ÇŞİ", "…", "a\u0300\u0301")
 # Fixed value: the characters that the vocabulary's white-space pattern matches (Unicode White_Space).
 WHITE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 # Python's split() takes these for white space too; texts that hold them go through the library whole.
@@ -53,14 +57,18 @@ class WordEncoder:
     """Ids of whole texts, word by word.  ``known`` gives the ids of frequent words as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, known: dict[str, bytes] | None = None, remembered: int = REMEMBERED):
-        self.tok, self.ids, self.remembered, self.rare = tokenizer(path), {} if known is None else known, remembered, []
+        self.tok, self.known, self.ids, self.old, self.remembered = tokenizer(path), known or {}, dict(known or {}), {}, remembered
         # A text that holds the beginning of a special token is left to the library.
         self.marks = tuple({t.content[:2] for t in self.tok.get_added_tokens_decoder().values() if t.content}) + SEPARATORS
 
         # A word of plain letters, whatever their case, is one pre-token, and so is a stop or comma after it: the model gets the lower-cased
         # letters alone.  Only where the library agrees on samples.
         self.ends = {c: self.whole(c) for c in ".,"}
+        self.cuts = False
         self.plain = all(self.letters(w[:-1].lower()) + self.ends[w[-1]] == self.whole(w) for w in ("Word,", "a.", "UNSEPARABLE,", "xqzjkv."))
+        # Words of any kind are normalised and cut apart from the model's part, only where the library agrees on samples.
+        if self.tok.normalizer is not None and self.tok.pre_tokenizer is not None and self.tok.post_processor is None:
+            self.cuts = self.apart(list(SAMPLES)) == [self.whole(w) for w in SAMPLES]
 
     def whole(self, text: str) -> bytes:
         return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
@@ -68,33 +76,60 @@ class WordEncoder:
     def letters(self, word: str) -> bytes:
         return pack_ids([t.id for t in self.tok.model.tokenize(word)])
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """Ids of every word.  The library normalises and cuts many words as one text; the model gets every distinct pre-token once."""
+        out, made = [], {}
+        for at in range(0, len(words), LEARNED):
+            text = self.tok.normalizer.normalize_str(" ".join(words[at : at + LEARNED]))
+            cut = [self.tok.pre_tokenizer.pre_tokenize_str(text)] if self.spaced(text, len(words[at : at + LEARNED])) else []
+            if not cut:
+                out += map(self.whole, words[at : at + LEARNED])
+                continue
+            ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+            parts: list[list[bytes]] = [[] for _ in ends]
+            k = 0
+            for piece, (begin, _) in cut[0]:
+                while begin >= ends[k]:
+                    k += 1
+                ids = made.get(piece)
+                if ids is None:
+                    ids = made[piece] = self.letters(piece)
+                parts[k].append(ids)
+            out += map(b"".join, parts)
+        return out
+
+    @staticmethod
+    def spaced(text: str, n: int) -> bool:
+        """Whether normalising kept the spaces between words, and made no new ones."""
+        return text.count(" ") == n - 1
+
     def learn(self, missing: list[str]) -> None:
-        ids, other = self.ids, []
+        """Ids of words that are not known: from the older generation, else from the library."""
+        ids, old, ends = self.ids, self.old, self.ends
+        other = []
         for word in missing:
-            base = word[:-1] if word[-1] in self.ends else word
+            found = old.get(word)
+            if found is not None:
+                ids[word] = found
+                continue
+            base = word[:-1] if word[-1] in ends else word
             if not (self.plain and base.isascii() and base.isalpha()):
                 other.append(word)
                 continue
             core = base.lower()
             found = ids.get(core)
             if found is None:
-                found = ids[core] = self.letters(core)
-                self.rare.append(core)
-            ids[word] = found if base is word else found + self.ends[word[-1]]
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            ids.update(zip(part, [pack_ids(got.ids) for got in self.tok.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        self.rare += missing
+                found = ids[core] = old.get(core) or self.letters(core)
+            ids[word] = found if base is word else found + ends[word[-1]]
+        ids.update(zip(other, self.apart(other) if self.cuts else map(self.whole, other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rare) > self.remembered:
-            for word in self.rare:
-                self.ids.pop(word, None)
-            self.rare = []
-        ids = self.ids
+        if len(self.ids) - len(self.known) > self.remembered:
+            # What was used since the last time is kept one more time.
+            self.old, self.ids = self.ids, dict(self.known)
         split: list[list[str] | None] = [None if any(m in t for m in self.marks) else t.split() for t in texts]
-        missing = list(set(chain.from_iterable(filter(None, split))).difference(ids))
-        self.learn(missing)
+        ids = self.ids
+        self.learn(list(set(chain.from_iterable(filter(None, split))).difference(ids)))
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
@@ -174,7 +209,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     known, key = spark.sparkContext.broadcast(word_table(docs, path, text_col, table_words)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED * 2 // 5))
+        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 6))
         for batch in batches:
             for i, j, texts in text_steps(batch.column("text"), 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])

@@ -127,12 +127,17 @@ def _join_by_sketch(most: int):
             left = np.arange(len(ids))
             while len(left) > 1:
                 waiting, left = [int(left[0])], left[1:]
+                chain = list(waiting)
                 while waiting and len(left):
                     at = waiting.pop()
                     near = np.bitwise_count(sketches[left] ^ sketches[at]).sum(axis=1) <= most
-                    for k in left[near].tolist():
-                        a.append(int(ids[at])), b.append(int(ids[k])), waiting.append(k)
+                    waiting += left[near].tolist()
+                    chain += left[near].tolist()
                     left = left[~near]
+                # A star about the smallest.
+                found = np.sort(ids[chain])
+                a += [int(found[0])] * (len(found) - 1)
+                b += found[1:].tolist()
             if len(a) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -196,6 +201,14 @@ def _confirm(most: int, percent: int):
                     if p != q and similar(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64), percent):
                         forest.union(p, q)
                         a.append(int(ids[i])), b.append(int(ids[j]))
+            if a and not across:
+                # Stars about the smallest of what is connected; rows of a block have labels of their own.
+                root = np.array([forest.find(k) for k in range(len(ids))])
+                order = np.lexsort((ids, root))
+                first = np.flatnonzero(np.diff(root[order], prepend=-1))
+                hub = np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
+                held = hub != ids[order]
+                a, b = hub[held].tolist(), ids[order][held].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run

@@ -60,12 +60,29 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def preferences(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and pairs for ``format_pairs`` of conversations without preferences.  Every conversation, as it is, is preferred to its own turns up to
+    its last reply with the last reply of the conversation of the next id in that place.  Where a conversation has no reply, the other's comes
+    after its last turn; where the next one is missing or has none, nothing takes the place.  Of replies with one turn number the largest is last.
+    """
+    said = turns.filter("conv_id is not null").select(
+        "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    reply = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text")))
+    ends = said.groupBy("conv_id").agg(F.max("turn").alias("last"), reply.alias("reply"))
+    other = ends.filter("reply is not null").select(F.try_subtract(F.col("conv_id"), F.lit(1)).alias("conv_id"), F.col("reply.text").alias("other"))
+    closing = ends.select("conv_id", F.coalesce("reply.turn", F.col("last") + 1).alias("cut")).join(other, "conv_id", "left")
+    before = said.join(closing.select("conv_id", "cut"), "conv_id").filter("turn < cut").drop("cut")
+    instead = closing.filter("other is not null").select("conv_id", F.col("cut").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    side = lambda k: F.struct("conv_id", F.lit(k).alias("side"))
+    rejected = before.unionByName(instead)
+    both = said.withColumn("conv_id", side(0)).unionByName(rejected.withColumn("conv_id", side(1)))
+    return both, ends.select(F.col("conv_id").alias("pair_id"), side(0).alias("chosen_id"), side(1).alias("rejected_id"))
+
+
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation takes part: an even one is preferred to the next odd one, with which it makes a pair."""
-    turns = table(spark, sf_dir, "conversations").filter("conv_id is not null")
-    pair = F.floor(F.col("conv_id") / 2)
-    pairs = turns.select(pair.alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
-    out = chat_pairs.format_pairs(turns, pairs)
+    """Every conversation makes a pair: ``preferences``."""
+    out = chat_pairs.format_pairs(*preferences(table(spark, sf_dir, "conversations")))
     written = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["length"], F.lit(":"), x["learned"].cast("int"))), " ")
     return out.withColumns({c: written(c) for c in ("chosen_mask", "rejected_mask")})
 

@@ -30,12 +30,18 @@ SQL = {
     """,
     "op6_preference_format": """
         WITH said AS (
-            SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(turn, -1) AS turn,
-                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS m
-            FROM conversations WHERE conv_id IS NOT NULL
+            SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), ends AS (
+            SELECT conv_id, max(turn) AS last, max({'turn': turn, 'text': text}) FILTER (role = 'assistant') AS reply FROM said GROUP BY conv_id
+        ), cuts AS (
+            SELECT conv_id, coalesce(reply.turn, last + 1) AS cut FROM ends
+        ), sides AS (
+            SELECT conv_id AS pair_id, 0 AS side, turn, {'role': role, 'text': text} AS m FROM said
+            UNION ALL SELECT conv_id, 1, turn, {'role': role, 'text': text} FROM said JOIN cuts USING (conv_id) WHERE turn < cut
+            UNION ALL SELECT c.conv_id, 1, cut, {'role': 'assistant', 'text': reply.text} FROM cuts c JOIN ends e ON e.conv_id = c.conv_id + 1 WHERE reply IS NOT NULL
         ), beside AS (
             SELECT pair_id, turn, list_sort(coalesce(list(m) FILTER (side = 0), [])) AS c, list_sort(coalesce(list(m) FILTER (side = 1), [])) AS r
-            FROM said GROUP BY ALL
+            FROM sides GROUP BY ALL
         ), forks AS (
             SELECT *, coalesce(turn < min(CASE WHEN c <> r THEN turn END) OVER (PARTITION BY pair_id), true) AS common FROM beside
         ), parts AS (

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from edictal.llm import chat_pairs, kd_search, url_rules
+from edictal.llm import chat_pairs, kd_search, queries, url_rules
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -136,3 +136,38 @@ def test_long_conversations_come_in_pieces(frame):
 
 def test_preference_pairs_of_nothing(frame):
     assert chat_pairs.format_pairs(frame([], TURNS), frame([(0, 0, 1)], "pair_id long, chosen_id long, rejected_id long")).collect() == []
+
+
+def preferred(turns):
+    """Chosen and rejected turns of every conversation, one conversation after the other."""
+    of = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            of.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+    last = {c: max(((t, text) for t, role, text in rows if role == "assistant"), default=None) for c, rows in of.items()}
+    out = []
+    for c, rows in of.items():
+        cut = last[c][0] if last[c] else max(rows)[0] + 1
+        other = last.get(c + 1)
+        out += [(c, 0, *x) for x in rows] + [(c, 1, *x) for x in rows if x[0] < cut] + ([(c, 1, cut, "assistant", other[1])] if other else [])
+    return out
+
+
+def test_preferences_replace_the_last_reply(frame):
+    turns = said(0, A, B, A, B) + said(1, A, ("assistant", "other"), A) + said(2, A) + said(3, A, B) + said(5) + said(7, A, B)
+    turns += [(8, None, None, None), (9, 0, "assistant", "x"), (9, 0, "assistant", "y"), (9, None, "system", "s"), (None, 0, "user", "u"), (10, 0, "assistant", None)]
+    wide = frame([(*r, "e") for r in turns], TURNS + ", extra string").withColumnRenamed("extra", "side")
+    both, pairs = queries.preferences(wide)
+    assert sorted((r.conv_id.conv_id, r.conv_id.side, r.turn, r.role, r.text) for r in both.collect()) == sorted(preferred(turns))
+    got = {r.pair_id: r for r in chat_pairs.format_pairs(both, pairs).collect()}
+    assert set(got) == {c for c, *_ in turns if c is not None}
+    assert (got[0].prompt, got[0].chosen, got[0].rejected, got[0].prefix_turns) == (written(A, B, A), written(B), written(("assistant", "other")), 3)
+    # The next one has no reply; no reply of its own; no next one.
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == (written(A), written(("assistant", "other"), A), "")
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == (written(A), "", written(B))
+    assert (got[3].prompt, got[3].chosen, got[3].rejected) == (written(A), written(B), "")
+    assert all(r.prefix_turns > 0 for c, r in got.items() if c in (0, 1, 2, 3, 7))
+
+
+def test_preferences_of_nothing(frame):
+    assert chat_pairs.format_pairs(*queries.preferences(frame([], TURNS))).collect() == []

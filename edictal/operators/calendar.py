@@ -152,9 +152,21 @@ def with_term(df: DataFrame, literal: str = "deadline") -> DataFrame:
 
 
 def term_use(df: DataFrame, dates: list[str], literal: str = "deadline"):
-    """What ``calendar_for`` needs to know of a table with deadline sentences."""
-    stated = with_term(df.select(*dates, literal), literal)
-    return stated, dates, F.col("term_days")
+    """What ``calendar_for`` needs to know of a table with deadline sentences: each distinct sentence is read once."""
+    all_dates = F.array(*[F.col(c).cast("date") for c in dates])
+    used = df.groupBy(literal).agg(F.min(F.array_min(all_dates)).alias("_first"), F.max(F.array_max(all_dates)).alias("_last"))
+    return with_term(used, literal), ["_first", "_last"], F.col("term_days")
+
+
+def own_term(processes: DataFrame, bulletins: DataFrame, literal: str = "deadline", published: str = "gazette_date") -> DataFrame:
+    """Processes with the sentence and date their term is computed from: their own, else those of their only aggregated bulletin.
+    Several bulletins (process_id, ``literal``, ``published``) of a process decide nothing, whatever they state: it has no sentence then."""
+    found = bulletins.groupBy("process_id").agg(F.count("*").alias("_n"), F.min(literal).alias("_literal"), F.min(published).alias("_published"))
+    several = F.coalesce(F.col("_n") > 1, F.lit(False))
+    stated = F.coalesce(F.nullif(F.col(literal), F.lit("")), F.col("_literal"))
+    return processes.join(found, "process_id", "left").withColumns({
+        literal: F.when(~several, stated), published: F.when(several, F.col(published)).otherwise(F.coalesce(published, "_published")),
+    }).select(*processes.columns)
 
 
 def deadline(df: DataFrame, cal: DataFrame, literal: str = "deadline", published: str = "gazette_date") -> DataFrame:
@@ -229,9 +241,9 @@ def enrolment_state(
     )
 
 
-def deadline_plan(processes: DataFrame, cal: DataFrame) -> DataFrame:
+def deadline_plan(processes: DataFrame, cal: DataFrame, bulletins: DataFrame | None = None) -> DataFrame:
     """FILL empty dates, report a DISCREPANCY, leave half-filled ones; stored dates are never replaced."""
-    plan = deadline(processes, cal).filter(F.col("term_closes").isNotNull())
+    plan = deadline(processes if bulletins is None else own_term(processes, bulletins), cal).filter(F.col("term_closes").isNotNull())
     none = F.col("opens").isNull() & F.col("closes").isNull()
     both = F.col("opens").isNotNull() & F.col("closes").isNotNull()
     same = (F.col("opens") == F.col("term_opens")) & (F.col("closes") == F.col("term_closes"))

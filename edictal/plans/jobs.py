@@ -35,7 +35,8 @@ def import_calls(
 
     ``calls``: call_id, document_id, document_type, entity, province, job, places, shift, base_date,
     cited, text; ``processes``: process_id, stable_id, agency_id, name, call_date, places, scope;
-    ``resolutions``: see ``match_document_event``; ``stored``: document_id of stored notices.
+    ``resolutions``: see ``match_document_event``; ``stored``: document_id and process_id of stored notices; a call that is stored
+    already keeps its process, the smallest one where a document was stored for several.
     """
     # Five lookups read the calls: they are written once with what the text rules say of them.
     df = calls.withColumns({"_nj": T.fold(F.coalesce("job", F.lit(""))), "_nt": T.fold(F.concat_ws(" ", "job", "text"))})
@@ -63,9 +64,11 @@ def import_calls(
     ).select("call_id", F.col("match_id").alias("_base"), F.col("status").alias("_overlap"))
     df = df.join(linked, "call_id", "left")
 
-    flag = lambda rows, key, name: rows.select(key).distinct().withColumn(name, F.lit(True))
-    df = df.join(flag(stored, "document_id", "_stored"), "document_id", "left")
-    df = df.join(flag(absorbed, "document_id", "_absorbed"), "document_id", "left")
+    marked = stored.select("document_id", F.col("process_id").alias("_kept"), F.lit(True).alias("_stored"), F.lit(False).alias("_absorbed")).unionByName(
+        absorbed.select("document_id", F.lit(False).alias("_stored"), F.lit(True).alias("_absorbed")), allowMissingColumns=True
+    )
+    marks = marked.groupBy("document_id").agg(F.min("_kept").alias("_kept"), F.bool_or("_stored").alias("_stored"), F.bool_or("_absorbed").alias("_absorbed"))
+    df = df.join(marks, "document_id", "left")
     known = processes.select(F.col("stable_id").alias("_stable"), "process_id").groupBy("_stable").agg(F.min("process_id").alias("_known"))
     df = df.join(known, F.concat(F.lit("BOELOCAL:"), "call_id") == F.col("_stable"), "left")
 
@@ -86,7 +89,7 @@ def import_calls(
     out = df.withColumn("decision", decision)
     target = F.when(F.col("decision") == "EVENTO_DOCUMENTAL_IDENTIFICADO", F.col("_event")).when(
         F.col("decision") == "EXISTENTE_BOE", F.col("_known")
-    ).when(F.col("decision") == "VINCULADA_BOP", F.col("_base"))
+    ).when(F.col("decision") == "VINCULADA_BOP", F.col("_base")).when(F.col("decision") == "EXISTENTE_PUBLICACION", F.col("_kept"))
     return out.select("call_id", "document_id", "decision", target.alias("process_id"), "agency_id")
 
 
@@ -259,6 +262,7 @@ def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, histo
     what is visible and whom it concerns.  ``history`` closes without any notification.
 
     ``tables``: processes, agencies, notices, sources, texts, events; processes may state the term of an ad (term_state).  With
+    bulletins (see ``own_term``) a term may come from the only one of a process.  With
     recipients (user_id, entitled) there are outbox rows, one per event and audience, and the members of the audiences; with
     subscriptions, entitled and changes there are follow-ups of the news after ``since``, the closures of this cycle among them.
     Returns the actions of every step, the next snapshot and the new events; the caller writes them.
@@ -267,7 +271,7 @@ def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, histo
     if "subscriptions" in tables and since is None:
         raise ValueError("follow-ups need the day of the last cycle")
     visible = lambda p: Q.catalogue(p, tables["agencies"], notices, tables["sources"], as_of)
-    deadlines = D.deadline_plan(processes.filter(~C.is_terminal("state") & F.col("is_opportunity") & (F.col("scope") == "SI")), cal)
+    deadlines = D.deadline_plan(processes.filter(~C.is_terminal("state") & F.col("is_opportunity") & (F.col("scope") == "SI")), cal, tables.get("bulletins"))
     fills = deadlines.filter(F.col("action") == "FILL").select("process_id", F.col("term_opens").alias("opens"), F.col("term_closes").alias("closes"))
     dated = with_columns_for(U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled"), "grp", "subgroup")
     groups = stage(group_pipeline(dated.join(tables["agencies"].select("agency_id", "agency_name"), "agency_id", "left"), tables["texts"]))
@@ -325,6 +329,6 @@ def cycle_ledger(steps: dict[str, DataFrame], as_of: Column) -> DataFrame:
 def review_cycle(calls: DataFrame, notices: DataFrame, processes: DataFrame, agencies: DataFrame, resolutions: DataFrame, stored: DataFrame, provinces=PROVINCES) -> DataFrame:
     """Q18: extraordinary review in plan mode: bulletins first, then the state gazette, counted per decision."""
     bulletins = A.counts(import_notices(notices, processes, stored).withColumn("decision", F.col("action")), "decision").withColumn("source", F.lit("BOP"))
-    none = stored.select(F.lit("").alias("document_id")).limit(0)
+    none = stored.select(F.lit("").alias("document_id"), F.lit(None).cast("long").alias("process_id")).limit(0)
     gazette = A.counts(import_calls(calls, processes, agencies, resolutions, none, none, provinces), "decision").withColumn("source", F.lit("BOE"))
     return bulletins.unionByName(gazette).select("source", "decision", "n")

@@ -16,10 +16,9 @@ def as_of():
 
 
 def cal(spark, path, *uses):
-    """The calendar of the years of notices and processes with their terms, or of what is given instead."""
+    """The calendar of the years of processes and their bulletins with the terms they state, or of what is given instead."""
     return D.calendar_for(spark, uses or (
-        (view(spark, path, "notices"), ["published"], None), D.term_use(view(spark, path, "processes"), ["call_date", "gazette_date"]),
-        D.term_use(bulletins(spark, path), ["gazette_date"]),
+        D.term_use(view(spark, path, "processes"), ["call_date", "gazette_date"]), D.term_use(bulletins(spark, path), ["gazette_date"]),
     ), YEARS)
 
 
@@ -42,7 +41,8 @@ def add_business_days(spark, path):
 
 
 def deadline(spark, path):
-    out = D.deadline(view(spark, path, "processes"), cal(spark, path))
+    terms = D.own_term(view(spark, path, "processes"), bulletins(spark, path))
+    out = D.deadline(terms, cal(spark, path, D.term_use(terms, ["gazette_date"])))
     return out.select("process_id", "term_days", "term_kind", day("term_opens").alias("term_opens"), day("term_closes").alias("term_closes"), "term_verified")
 
 
@@ -77,7 +77,8 @@ def enrolment_state(spark, path):
 
 
 def deadline_plan(spark, path):
-    plan = D.deadline_plan(view(spark, path, "processes"), cal(spark, path))
+    terms = D.own_term(view(spark, path, "processes"), bulletins(spark, path))
+    plan = D.deadline_plan(terms, cal(spark, path, D.term_use(terms, ["gazette_date"])))
     return plan.select("process_id", "action", day("term_opens").alias("term_opens"), day("term_closes").alias("term_closes"), "term_days", "term_kind")
 
 

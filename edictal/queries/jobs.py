@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from edictal.plans import jobs as J
+from edictal.queries.calendar import bulletins
 from edictal.queries.catalogue import as_of, cal, parts
 from edictal.queries.common import day, view
 from edictal.queries.match import owned
@@ -42,7 +43,7 @@ def stable(spark, path):
 
 def import_calls(spark, path):
     n = view(spark, path, "notices")
-    stored = n.filter(F.col("n") == 7).select(F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"))
+    stored = n.filter(F.col("n") == 7).select(F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"), "process_id")
     absorbed = n.filter(F.col("n") == 9).select(F.concat_ws("-", "ref", F.col("source_id") % 5).alias("document_id"))
     return J.import_calls(calls(spark, path), stable(spark, path), agencies(spark, path), resolutions(spark, path), stored, absorbed, PROVINCES)
 
@@ -114,7 +115,7 @@ def quality(spark, path):
 
 def cycle(spark, path, history=False):
     p, a, n, s = parts(spark, path)
-    tables = {"processes": p, "agencies": a, "notices": n, "sources": s, "texts": texts(spark, path), "events": n.filter(F.col("kind") == "convocatoria").select("process_id")}
+    tables = {"processes": p, "agencies": a, "notices": n, "sources": s, "texts": texts(spark, path), "events": n.filter(F.col("kind") == "convocatoria").select("process_id"), "bulletins": bulletins(spark, path)}
     return J.run_cycle(tables, cal(spark, path), as_of(), history)
 
 

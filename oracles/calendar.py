@@ -27,8 +27,12 @@ def stated(rel: str, lit: str = "deadline") -> str:
         FROM (SELECT *, {got('nn', _DIGITS)} AS d0, {got('nn', _WORD)} AS w0 FROM (SELECT *, nullif(trim({fold(lit)}), '') AS nn FROM {rel})))"""
 
 
+_LIT = f"CASE WHEN n % 4 <> 0 THEN {pick(DEADLINES, 'n % 7')} END"
 TERM = f"""{CAL}
-, t AS {stated('processes')}
+, sole AS (SELECT process_id, count(*) AS nb, arg_min(lit, notice_id) AS bd, arg_min(published, notice_id) AS bg FROM (SELECT *, {_LIT} AS lit FROM notices WHERE source_id % 3 = 1) GROUP BY 1)
+, pt AS (SELECT p.* REPLACE (CASE WHEN nb IS NULL OR nb = 1 THEN CASE WHEN p.deadline <> '' THEN p.deadline ELSE bd END END AS deadline,
+                CASE WHEN p.gazette_date IS NOT NULL THEN p.gazette_date WHEN nb = 1 THEN bg END AS gazette_date) FROM processes p LEFT JOIN sole USING (process_id))
+, t AS {stated('pt')}
 , e AS (SELECT t.*, CASE kind WHEN 'NATURALES' THEN nat.next_business ELSE w.day END AS closes_on
         FROM t LEFT JOIN cal g ON g.day = t.gazette_date LEFT JOIN work w ON w.ordinal = g.ordinal + days LEFT JOIN cal nat ON nat.day = t.gazette_date + days)
 , term AS (SELECT *, CASE WHEN days IS NOT NULL THEN gazette_date + 1 END AS term_opens, CASE WHEN days IS NOT NULL AND gazette_date IS NOT NULL THEN closes_on END AS term_closes FROM e)
@@ -41,7 +45,6 @@ def state(rel: str, published: str) -> str:
         FROM {stated(rel)} s LEFT JOIN cal g ON g.day = s.{published} LEFT JOIN work w ON w.ordinal = g.ordinal + s.days)"""
 
 
-_LIT = f"CASE WHEN n % 4 <> 0 THEN {pick(DEADLINES, 'n % 7')} END"
 ROLL = f"""
 , bul AS (SELECT process_id, {_LIT} AS deadline, published AS gazette_date FROM notices WHERE source_id % 3 = 1)
 , bs AS {state('bul', 'gazette_date')}
@@ -61,14 +64,14 @@ SQL = {
     "calendar": sql("notices", f"{CAL} SELECT CAST(day AS VARCHAR) AS published, business, ordinal, CAST(next_business AS VARCHAR) AS next_business FROM cal WHERE day IN (SELECT published FROM notices)"),
     "is_business_day": sql("notices", f"{CAL} SELECT notice_id, business FROM notices JOIN cal ON day = published"),
     "add_business_days": sql("notices", f"{CAL} SELECT notice_id, CAST(w.day AS VARCHAR) AS \"end\" FROM notices JOIN cal ON cal.day = published JOIN work w ON w.ordinal = cal.ordinal + n"),
-    "deadline": sql("processes", f"""{TERM} SELECT process_id, days AS term_days, kind AS term_kind, CAST(term_opens AS VARCHAR) AS term_opens, CAST(term_closes AS VARCHAR) AS term_closes,
+    "deadline": sql("processes notices", f"""{TERM} SELECT process_id, days AS term_days, kind AS term_kind, CAST(term_opens AS VARCHAR) AS term_opens, CAST(term_closes AS VARCHAR) AS term_closes,
         CASE WHEN term_closes IS NOT NULL THEN false END AS term_verified FROM term"""),
     "verified_flag": sql("processes", """
         , r AS (SELECT process_id, year(call_date) AS a, year(coalesce(closes, exam_date, call_date)) AS z FROM processes)
         SELECT process_id, len(list_filter(range(a, z + 1), lambda y: y NOT IN (1996, 1997, 2000))) = 0 AS verified FROM r"""),
     "enrolment_rollup": sql("notices", f"{CAL}{ROLL} SELECT * FROM roll"),
     "enrolment_state": sql("processes notices", f"{ENROL} SELECT process_id, enrolment, enrolment = 'ABIERTO' OR (NOT stored AND coalesce(any_open, false)) AS open_now FROM enrol"),
-    "deadline_plan": sql("processes", f"""{TERM}
+    "deadline_plan": sql("processes notices", f"""{TERM}
         , a AS (SELECT *, CASE WHEN opens IS NULL AND closes IS NULL THEN 'FILL' WHEN opens IS NOT NULL AND closes IS NOT NULL THEN CASE WHEN opens <> term_opens OR closes <> term_closes THEN 'DISCREPANCY' END ELSE 'PARTIAL_UNTOUCHED' END AS action
                 FROM term WHERE term_closes IS NOT NULL)
         SELECT process_id, action, CAST(term_opens AS VARCHAR) AS term_opens, CAST(term_closes AS VARCHAR) AS term_closes, days AS term_days, kind AS term_kind FROM a WHERE action IS NOT NULL"""),

@@ -86,7 +86,8 @@ SNAP = f"""{CYCLE}{ACTIONS}
 """
 SQL = {
     "import_calls": sql("notices processes agencies", f"""{CALLS}{decide(f"cf.document_id IN {_DOC.format(7)}", f"cf.document_id IN {_DOC.format(9)}")}
-        SELECT call_id, document_id, decision, CASE decision WHEN 'EVENTO_DOCUMENTAL_IDENTIFICADO' THEN ev WHEN 'EXISTENTE_BOE' THEN known WHEN 'VINCULADA_BOP' THEN base END AS process_id, agency_id FROM dc"""),
+        SELECT call_id, document_id, decision, CASE decision WHEN 'EVENTO_DOCUMENTAL_IDENTIFICADO' THEN ev WHEN 'EXISTENTE_BOE' THEN known WHEN 'VINCULADA_BOP' THEN base WHEN 'EXISTENTE_PUBLICACION' THEN kept END AS process_id, agency_id
+        FROM dc LEFT JOIN (SELECT concat_ws('-', ref, source_id % 5) AS document_id, min(process_id) AS kept FROM notices WHERE n = 7 GROUP BY 1) USING (document_id)"""),
     "import_notices": sql("notices processes", f"""{notices_import("published < DATE '1998-01-01'", "concat('D:', process_id)")}
         SELECT notice_id, stable_id, process_id, action, action NOT IN ('IGNORE', 'ORPHAN') AND NOT dup AS publish, CASE WHEN base THEN 'CONVOCATORIA' ELSE 'BOP' END AS kind FROM im"""),
     "import_twice": "SELECT CAST(NULL AS VARCHAR) AS notice_id, CAST(NULL AS VARCHAR) AS action WHERE false",

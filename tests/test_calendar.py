@@ -79,3 +79,27 @@ def test_a_day_past_the_edge_is_an_error(spark):
     ):
         with pytest.raises(Exception, match="outside the calendar"):
             out.collect()
+
+
+def test_terms_of_aggregated_bulletins(spark):
+    ten, twenty = "diez días hábiles", "20 días hábiles"
+    rows = [
+        (1, None, None, None, None), (2, "", None, None, None), (3, twenty, date("2026-09-23"), None, None), (4, twenty, date("2026-09-23"), None, None),
+        (5, twenty, date("2026-09-23"), None, None), (6, twenty, None, date("2026-09-02"), date("2026-10-01")), (7, None, None, None, None), (8, "ver bases", date("2026-09-17"), None, None),
+    ]
+    processes = spark.createDataFrame(rows, "process_id long, deadline string, gazette_date date, opens date, closes date")
+    said = [
+        (1, ten, date("2026-09-01")), (1, ten, date("2026-09-20")),  # several decide nothing
+        (2, ten, date("2026-09-01")),  # the only one is taken
+        (3, ten, date("2026-09-01")),  # what the process says itself goes first
+        (4, None, None), (4, None, None),  # several, though they state nothing
+        (6, ten, date("2026-09-01")),  # own sentence, date of the bulletin
+        (7, None, date("2026-09-01")), (9, ten, date("2026-09-01")),
+    ]
+    bulletins = spark.createDataFrame(said, "process_id long, deadline string, gazette_date date")
+    plan = D.deadline_plan(processes, D.calendar(spark, 2025, 2027), bulletins)
+    got = {r.process_id: (r.action, r.term_opens.isoformat(), r.term_closes.isoformat()) for r in plan.collect()}
+    assert got == {
+        2: ("FILL", "2026-09-02", "2026-09-15"), 3: ("FILL", "2026-09-24", "2026-10-23"), 5: ("FILL", "2026-09-24", "2026-10-23"), 6: ("DISCREPANCY", "2026-09-02", "2026-09-29"),
+    }
+    assert D.own_term(processes, bulletins.limit(0)).exceptAll(processes.withColumn("deadline", F.nullif("deadline", F.lit("")))).count() == 0

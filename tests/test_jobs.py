@@ -90,3 +90,23 @@ def test_syllabus_of_the_own_call(spark):
     assert out[2].block.endswith("contenciosa\nBASES\nfin") and "La Unión Europea" in out[2].block
     assert {out[k].block for k in (3, 4, 5)} == {text[text.index("TEMARIO"):text.index("\nBASES")]}
     assert out[6].notice_id == 61 and "La Unión Europea" in out[6].block
+
+
+def test_calls_that_are_published_keep_their_process(spark):
+    frame = spark.createDataFrame
+    call = lambda k, doc, shift="Libre": (k, doc, "CONVOCATORIA", "Ayuntamiento de Xàbia", "Alicante", "Administrativo", None, shift, None, None, "Administrativo")
+    calls = frame(
+        [call("a", "D1"), call("b", "D2"), call("c", "D3"), call("d", "D4"), call("e", "D5"), call("f", "D1", "Promoción interna"), call("g", None)],
+        "call_id string, document_id string, document_type string, entity string, province string, job string, places int, shift string, base_date date, cited date, text string",
+    )
+    processes = frame([(70, "BOELOCAL:c", 1, "x", None, None, "SI"), (71, "BOELOCAL:a", 1, "x", None, None, "SI")], "process_id long, stable_id string, agency_id long, name string, call_date date, places int, scope string")
+    agencies = frame([(1, "Ayuntamiento de Xàbia", "Alicante")], "agency_id long, agency_name string, province string")
+    resolutions = frame([], "process_id long, agency_name string, province string, resolved date")
+    # D1 was stored for two processes and D4 for none; D5 is also absorbed, which is asked first.
+    stored = frame([("D1", 9), ("D1", 8), ("D1", 8), ("D4", None), ("D5", 5), (None, 3)], "document_id string, process_id long")
+    absorbed = frame([("D5",), ("D6",)], "document_id string")
+    out = {r.call_id: (r.decision, r.process_id) for r in J.import_calls(calls, processes, agencies, resolutions, stored, absorbed).collect()}
+    assert out == {
+        "a": ("EXISTENTE_PUBLICACION", 8), "b": ("NUEVA", None), "c": ("EXISTENTE_BOE", 70), "d": ("EXISTENTE_PUBLICACION", None),
+        "e": ("ABSORBIDA_BOP_REVISION", None), "f": ("EXCLUIDA_TURNO_INTERNO", None), "g": ("NUEVA", None),
+    }

@@ -199,29 +199,34 @@ def encoder(key: str, make: Callable[[], WordEncoder]) -> WordEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, decoded: bool = False) -> DataFrame:
     """(id, ids) of every row: the ids of its whole text without special tokens; null and empty texts have none.
 
     Special strings inside a text get the ids that the library gives them.  Rows are never merged, so repeated ids and texts stay; an
-    empty table gives an empty result, and other columns of ``docs`` are not read.
+    empty table gives an empty result, and other columns of ``docs`` are not read.  ``decoded`` adds what ``decode`` adds, in the same
+    worker: ids then go through one Python process a task instead of two.
     """
     spark = docs.sparkSession
+    if decoded:
+        check_joined(path)
     known, key = spark.sparkContext.broadcast(word_table(docs, path, text_col, table_words)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 6))
+        enc, names = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 6)), pieces(path) if decoded else None
         for batch in batches:
-            for i, j, texts in text_steps(batch.column("text"), 2 << 20):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])
+            for i, j, texts in text_steps(batch.column("text"), (1 if decoded else 2) << 20):
+                found = pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])
+                yield from decoded_steps(found, *names) if decoded else [found]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + DECODED * decoded)
 
 
-def pieces(path: str) -> pa.Array:
-    """The piece of every id, special tokens included."""
+def pieces(path: str) -> tuple[pa.Array, pa.Array]:
+    """The piece of every id, special tokens included, and its decimal number."""
     tok = tokenizer(path)
-    return pa.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))], pa.string())
+    names = pa.array([tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))], pa.string())
+    return names, pc.cast(pa.array(np.arange(len(names))), pa.string())
 
 
 def joined(ids: pa.ListArray, names: pa.Array) -> pa.Array:
@@ -232,24 +237,35 @@ def joined(ids: pa.ListArray, names: pa.Array) -> pa.Array:
     return pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
+DECODED = ", decoded string, written string"
+
+
+def check_joined(path: str) -> None:
+    if tokenizer(path).decoder is not None:
+        raise ValueError("only vocabularies without a decoder are decoded by joining pieces")
+
+
+def decoded_steps(batch: pa.RecordBatch, piece: pa.Array, number: pa.Array) -> Iterator[pa.RecordBatch]:
+    """id and ids of a batch with their decoded texts and written numbers, so many ids at a time."""
+    ids = batch.column("ids")
+    at = ids.offsets.to_numpy().astype(np.int64)
+    for i, j in steps(at - at[0], 1 << 18):
+        part = ids.slice(i, j - i)
+        part = pa.ListArray.from_arrays(pa.array((at[i : j + 1] - at[i]).astype(np.int32)), ids.values.slice(int(at[i]), int(at[j] - at[i])))
+        yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), part, joined(part, piece), joined(part, number)], names=["id", "ids", "decoded", "written"])
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the text of ``ids`` as the library gives it for a vocabulary without a decoder, and ``written``, the decimal ids.
 
     A vocabulary without a decoder joins pieces by one space; special tokens stay.  Null ids count as none.
     """
-    if tokenizer(path).decoder is not None:
-        raise ValueError("only vocabularies without a decoder are decoded by joining pieces")
+    check_joined(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path)
-        number = pc.cast(pa.array(np.arange(len(piece))), pa.string())
+        names = pieces(path)
         for batch in batches:
-            ids = batch.column("ids")
-            at = ids.offsets.to_numpy().astype(np.int64)
-            for i, j in steps(at - at[0], 1 << 19):
-                part = ids.slice(i, j - i)
-                part = pa.ListArray.from_arrays(pa.array((at[i : j + 1] - at[i]).astype(np.int32)), ids.values.slice(int(at[i]), int(at[j] - at[i])))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), part, joined(part, piece), joined(part, number)], names=["id", "ids", "decoded", "written"])
+            yield from decoded_steps(batch, *names)
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, decoded string, written string")
+    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>" + DECODED)

@@ -34,6 +34,8 @@ def test_encode_and_decode(frame, table_words):
     lib = Tokenizer.from_file(WORDS)
     encoded = word_table.encode(frame(rows, DOCS), WORDS, table_words=table_words)
     got = Counter((r.id, tuple(r.ids), r.decoded, r.written) for r in word_table.decode(encoded, WORDS).collect())
+    at_once = word_table.encode(frame(rows, DOCS), WORDS, table_words=table_words, decoded=True)
+    assert Counter((r.id, tuple(r.ids), r.decoded, r.written) for r in at_once.collect()) == got
     want = Counter()
     for i, t in rows:
         ids = lib.encode(t or "", add_special_tokens=False).ids
@@ -157,3 +159,9 @@ def test_fillings_are_also_applied_fewer_times(capacity, counts, fewest):
         for n, k in content.items():
             placed[n] += times * k
     assert placed == counts and sum(times for times, _ in made) == fewest == -(-sum(n * k for n, k in counts.items()) // capacity)
+
+
+def test_tokens_of_an_empty_table(frame):
+    for decoded in (False, True):
+        assert word_table.encode(frame([], DOCS), WORDS, decoded=decoded).collect() == []
+    assert token_counts.count_tokens(frame([], DOCS), BYTES).collect() == []

@@ -56,10 +56,15 @@ def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(likely(rows, dropped, "filter_hash").join(dropped.select(key), key, "left_anti").select(rows.columns)).drop("filter_hash")
 
 
+# What one operator keeps in a Python worker from task to task; the next operator that uses the worker drops it.
+kept: dict[str, object] = {}
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, after which the worker gives freed memory back to the system: it lives on, beside the JVM, for other tasks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept.clear()
         try:
             yield from run(batches)
         finally:

@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from edictal.llm.common import fill, flat, steps
+from edictal.llm.common import fill, flat, kept, steps
 from edictal.session import stage
 
 # Bounds of the broadcast table: so many words of so many bytes at most.
 TABLE_WORDS = 1 << 18
 WORD_BYTES = 48
 # Words that a Python worker remembers in each of two generations; those that were not used during one are forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+# The same beside the broadcast table, which holds the frequent words.
+REMEMBERED_BESIDE = 100_000
 # Words that the library cuts as one text.
 LEARNED = 4096
 # Words whose ids show whether that gives what the library gives for each alone.
@@ -188,15 +190,12 @@ def word_table(docs: DataFrame, path: str, text_col: str, table_words: int) -> d
     return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(key: str, make: Callable[[], WordEncoder]) -> WordEncoder:
-    """One encoder a worker process, which goes on remembering rare words from task to task."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = make()
-    return _encoders[key]
+    """One encoder a worker process, which goes on remembering rare words from task to task until another operator uses the worker."""
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS, decoded: bool = False) -> DataFrame:
@@ -212,7 +211,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     known, key = spark.sparkContext.broadcast(word_table(docs, path, text_col, table_words)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, names = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED // 6)), pieces(path) if decoded else None
+        enc, names = encoder(key, lambda: WordEncoder(path, known.value, REMEMBERED_BESIDE)), pieces(path) if decoded else None
         for batch in batches:
             for i, j, texts in text_steps(batch.column("text"), (1 if decoded else 2) << 20):
                 found = pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), _id_lists(enc.encode(texts))], names=["id", "ids"])

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from edictal.llm.common import trimmed
 from edictal.llm.word_table import WordEncoder, encoder, text_steps
 from edictal.session import stage
 
@@ -261,7 +262,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     kept = [f for f in ranked.schema if f.name not in ("part", "nth")]
-    return ranked.mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    # Workers drop the words that ``cut`` remembered.
+    return ranked.mapInArrow(trimmed(run), T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack(docs: DataFrame, path: str, **options) -> DataFrame:

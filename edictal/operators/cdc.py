@@ -14,6 +14,7 @@ from edictal.functions import classify as C
 from edictal.functions import extract as X
 from edictal.functions import text as T
 from edictal.operators.windows import debounce, first_by
+from edictal.session import once
 from edictal.sources.tables import absent
 
 
@@ -290,14 +291,18 @@ def fan_out_stage(ads: DataFrame, edges: DataFrame, published: DataFrame) -> Dat
 
     ``ads``: ad_id, number, stage, published; ``published``: pool_id, ad_id, stage of earlier news.
     """
-    key = T.stage_key("stage")
-    told = published.select("pool_id", "ad_id", key.alias("_key")).distinct()
+    key = {"_key": T.stage_key("stage")}
+    told = once(published.select("pool_id", "ad_id", "stage").distinct(), ["stage"], key).select("pool_id", "ad_id", "_key")
     related = edges.filter(F.col("pool_id").isNotNull()).select("ad_id", "pool_id").distinct()
-    news = ads.withColumn("_key", key).join(related, "ad_id").filter(F.col("_key") != "")
+    # The oldest news of an ad and stage is the same for every pool, so it is found before the pools are met.
+    fresh = once(ads.select("ad_id", "number", "stage", "published").distinct(), ["stage"], key).filter(F.col("_key") != "")
+    oldest = fresh.groupBy("ad_id", "_key").agg(
+        F.min(F.struct(F.col("published").isNull().alias("none"), "published", "stage", "number")).alias("_n")
+    ).select("ad_id", "_key", "_n.published", "_n.stage", "_n.number")
     title = F.concat(F.lit("ADC "), F.coalesce("number", F.col("ad_id").cast("string")), F.lit(": "), F.coalesce(T.clean_stage("stage"), F.lit("novedad relacionada")))
-    ref = F.concat(F.lit("ADC:"), "ad_id", F.lit(":"), T.content_hash("_key", 16), F.lit(":B"), "pool_id")
-    fresh = news.join(told, ["pool_id", "ad_id", "_key"], "left_anti").withColumn("title", title).withColumn("ref", ref)
-    return first_by(fresh, ["ref"], [F.col("published").asc_nulls_last(), F.col("stage")]).select("pool_id", "ad_id", "ref", "title", "published")
+    ref = F.concat(F.lit("ADC:"), "ad_id", F.lit(":"), T.content_hash("_key", 16), F.lit(":B"))
+    news = oldest.withColumns({"title": title, "_ref": ref}).join(related, "ad_id").join(told, ["pool_id", "ad_id", "_key"], "left_anti")
+    return news.select("pool_id", "ad_id", F.concat("_ref", "pool_id").alias("ref"), "title", "published")
 
 
 def reassign(notices: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -67,3 +71,18 @@ def stage(df: DataFrame) -> DataFrame:
     folder = os.path.join(checkpoint_dir(df.sparkSession), f"stage-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def once(df: DataFrame, names: list[str], *rules: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns that ``rules`` make of the texts ``names``, each group of rules from the columns of those before it.
+
+    Rules run once for every distinct text, however many rows have it.  What they say is written, so that its size is known: Spark
+    broadcasts it where the texts are few.
+    """
+    texts = df.select(*names).distinct()
+    for group in rules:
+        texts = texts.withColumns(group)
+    keys = [f"_text_{i}" for i in range(len(names))]
+    made = stage(texts.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[c for group in rules for c in group]))
+    equal = reduce(and_, [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, keys, strict=True)])
+    return df.join(made, equal, "left").drop(*keys)

@@ -98,3 +98,20 @@ def test_a_missing_key_part_is_stored_once(spark):
 def test_pages_are_not_clamped():
     with pytest.raises(ValueError, match="1 to 200"):
         page(1000)
+
+
+def test_stage_news_meet_pools_once_per_ad_and_stage(spark):
+    """However often an ad repeats a stage, each pool meets it once, by its oldest date; told stages and empty ones stay out."""
+    from tests.plans import joined_rows
+
+    ads = [(1, "1/24", "Bases", dt.date(2024, 1, 1 + i % 28)) for i in range(300)] + [(1, "1/24", "Bases", None), (1, "1/24", "Examen", None), (1, "1/24", "", None), (2, None, "Examen", dt.date(2024, 3, 1))]
+    ads = spark.createDataFrame(ads, "ad_id long, number string, stage string, published date")
+    edges = spark.createDataFrame([(1, p) for p in range(200)] + [(1, None), (2, 7)], "ad_id long, pool_id long")
+    told = spark.createDataFrame([(5, 1, " EXAMEN ")], "pool_id long, ad_id long, stage string")
+    out = U.fan_out_stage(ads, edges, told)
+    rows = out.collect()
+    assert len(rows) == len({r.ref for r in rows}) == 200 + 199 + 1
+    assert {r.published for r in rows if "Bases" in r.title} == {dt.date(2024, 1, 1)}
+    assert [(r.pool_id, r.title) for r in rows if r.ad_id == 2] == [(7, "ADC 2: Examen")]
+    # 301 rows of one stage met 200 pools each before.
+    assert joined_rows(out) <= 1000

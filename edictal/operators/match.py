@@ -94,14 +94,22 @@ def resolve_agency(refs: DataFrame, agencies: DataFrame, towns: DataFrame, ref_i
 def match_call_to_base(calls: DataFrame, processes: DataFrame) -> DataFrame:
     """Founding notice of a call: same agency, base date and family, equal places or either unknown.
 
-    A process is listed under its places and under ALL; a call without places asks for ALL, one with
-    places for its own number and for the processes that state none.
+    A block of agency, date and family is one row by the time a call meets it: the extremes of all its processes, of those that state no
+    places, and of those of every number of places.  So a call is moved once and has no second row for its alternatives.
     """
     keys = ["agency_id", "base_date", "family"]
-    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
-    build = processes.filter(F.col("family").isNotNull()).withColumn("_alias", F.array(F.lit("ALL"), number("places")))
-    asks = F.when(F.col("places").isNull(), F.array(F.lit("ALL"))).otherwise(F.array(number("places"), F.lit("UNKNOWN")))
-    return unique_match_any(calls.withColumn("_alias", asks), build, keys, "_alias", "call_id", "process_id").drop("_alias")
+    pair = F.struct(F.min("process_id").alias("l"), F.max("process_id").alias("h"))
+    numbers = processes.filter(F.col("family").isNotNull()).groupBy(*keys, "places").agg(pair.alias("_x"))
+    blocks = numbers.groupBy(*keys).agg(
+        F.min("_x.l").alias("_all_l"), F.max("_x.h").alias("_all_h"), F.max(F.when(F.col("places").isNull(), F.col("_x"))).alias("_none"),
+        F.map_from_entries(F.collect_list(F.when(F.col("places").isNotNull(), F.struct(F.col("places").cast("string").alias("key"), F.col("_x").alias("value"))))).alias("_by"),
+    )
+    own, none, unknown = F.try_element_at("_by", F.col("places").cast("string")), F.col("_none"), F.col("places").isNull()
+    joined = calls.join(blocks, keys, "left").withColumns({
+        "_low": F.when(unknown, F.col("_all_l")).otherwise(F.least(own["l"], none["l"])),
+        "_high": F.when(unknown, F.col("_all_h")).otherwise(F.greatest(own["h"], none["h"])),
+    })
+    return _settle(joined).select(*calls.columns, "status", "match_id")
 
 
 def recover_calls(processes: DataFrame, calls: DataFrame, as_of: Column, max_days: int = 180) -> DataFrame:
@@ -374,7 +382,8 @@ def match_document_event(events: DataFrame, resolutions: DataFrame) -> DataFrame
     probe = events.withColumn("_day", F.col("cited")).withColumn("_province", T.fold("province")).withColumn(
         "_alias", T.entity_variants("entity")
     )
-    probe = probe.withColumn("_probe", F.struct("document_id", "entity", "province", "cited"))
+    # The document plays no part in the lookup, so its entity, province and date are asked once.
+    probe = probe.withColumn("_probe", F.struct("entity", "province", "cited"))
     return unique_match_any(probe, build, ["_day", "_province"], "_alias", "_probe", "process_id").drop("_day", "_province", "_alias", "_probe")
 
 

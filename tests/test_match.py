@@ -204,3 +204,16 @@ def test_gazette_candidates(spark):
     rows = [("BOELOCAL:1", True, "SI", "Valencia"), ("DOGV:2", True, "SI", "Valencia"), ("BOELOCAL:3", False, "SI", "Valencia"), ("BOELOCAL:4", True, "NO", "Valencia"), ("BOELOCAL:5", True, "SI", None), ("BOELOCAL:6", True, None, "Valencia"), (None, True, "SI", "Valencia")]
     df = spark.createDataFrame(rows, "stable_id string, is_opportunity boolean, scope string, province string")
     assert [r.stable_id for r in M.gazette_candidates(df, "Valencia").collect()] == ["BOELOCAL:1"]
+
+
+def test_a_call_meets_its_block_once(spark):
+    """Alternatives of a call (its own places, none stated) are extremes of one row, not rows of their own."""
+    from tests.plans import joined_rows
+
+    day = dt.date(2024, 5, 2)
+    calls = spark.createDataFrame([(f"c{i}", 1, day, "ADM", 3) for i in range(100)] + [("u", 1, day, "ADM", None), ("x", 1, day, None, 3)], "call_id string, agency_id int, base_date date, family string, places int")
+    p = spark.createDataFrame([(10, 1, day, "ADM", 3), (10, 1, day, "ADM", None), (11, 1, day, "ADM", 4)], "process_id int, agency_id int, base_date date, family string, places int")
+    out = M.match_call_to_base(calls, p)
+    got = {r.call_id: (r.match_id, r.status) for r in out.collect()}
+    assert got["c0"] == (10, "UNIQUE") and got["u"] == (None, "AMBIGUOUS") and got["x"] == (None, "NONE")
+    assert joined_rows(out) <= 102

@@ -20,7 +20,7 @@ from edictal.operators import match as M
 from edictal.operators import windows as W
 from edictal.plans import catalogue as Q
 from edictal.plans import follow as Fo
-from edictal.session import stage
+from edictal.session import once, stage
 from edictal.sources.feeds import code_block, line_block
 
 # Provinces whose notices are imported.
@@ -38,31 +38,33 @@ def import_calls(
     ``resolutions``: see ``match_document_event``; ``stored``: document_id and process_id of stored notices; a call that is stored
     already keeps its process, the smallest one where a document was stored for several.
     """
-    # Five lookups read the calls: they are written once with what the text rules say of them.
-    df = calls.withColumns({"_nj": T.fold(F.coalesce("job", F.lit(""))), "_nt": T.fold(F.concat_ws(" ", "job", "text"))})
-    df = df.withColumns({"_family": C.family("_nj"), "_scope": C.scope("_nt", "_nj")}).drop("_nj", "_nt", "text")
-    df = stage(df)
-    act = F.coalesce(F.col("document_type").isin("RECTIFICACION", "ANULACION"), F.lit(False))
-    events = M.match_document_event(df.filter(act).select("document_id", "entity", "province", "cited").distinct(), resolutions)
-    asked = F.struct("document_id", "entity", "province", "cited")
-    df = df.withColumn("_probe", asked).join(events.select(asked.alias("_probe"), F.col("match_id").alias("_event")), "_probe", "left").drop("_probe")
-
-    owners = M.unique_match_any(
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    # Five lookups read the calls: they are written once with what the text rules say of them, without the texts.  Scope is the last
+    # reason, so it is read only where no earlier one that the call itself states holds.
+    act = yes(F.col("document_type").isin("RECTIFICACION", "ANULACION"))
+    df = calls.withColumns({"_act": act, "_near": yes(F.col("province").isin(*provinces)), "_internal": C.has(T.fold("shift"), ("promocion interna",))})
+    df = df.withColumn("_nj", T.fold(F.coalesce("job", F.lit("")))).withColumn("_nt", F.when(F.col("_near") & ~F.col("_act") & ~yes(F.col("_internal")), T.fold(F.concat_ws(" ", "job", "text"))))
+    scope = F.when(F.col("_nt").isNotNull(), C.scope("_nt", "_nj"))
+    df = stage(df.select("call_id", "document_id", "entity", "province", "places", "base_date", F.when(F.col("_act"), F.col("cited")).alias("cited"), "_act", "_near", "_internal", C.family("_nj").alias("family"), scope.alias("_scope")))
+
+    # What is asked of few distinct entities and days is written, so that its size is known before the calls are dealt.
+    events = M.match_document_event(df.filter("_act").select("entity", "province", "cited").distinct(), resolutions)
+    cited = stage(events.select(F.struct("entity", "province", "cited").alias("_asked"), F.col("match_id").alias("_event")))
+    df = df.withColumn("_asked", F.when(F.col("_act"), F.struct("entity", "province", "cited"))).join(cited, "_asked", "left").drop("_asked", "cited")
+
+    owners = stage(M.unique_match_any(
         df.select("entity", "province").distinct().withColumns(
             {"_id": F.concat_ws("|", "entity", "province"), "_p": T.fold("province"), "_alias": T.entity_variants("entity")}
         ),
         agencies.select("agency_id", T.fold("province").alias("_p"), F.array(T.fold("agency_name")).alias("_alias")),
         ["_p"], "_alias", "_id", "agency_id",
-    ).select("entity", "province", F.col("match_id").alias("agency_id"))
-    df = df.join(owners, ["entity", "province"], "left")
+    ).select("entity", "province", F.col("match_id").alias("agency_id")))
+    df = df.join(owners, ["entity", "province"], "left").drop("entity", "province")
 
     base = processes.filter(F.col("scope") == "SI").select(
         "agency_id", F.col("call_date").alias("base_date"), C.family(T.fold("name")).alias("family"), "places", "process_id"
     )
-    linked = M.match_call_to_base(
-        df.select("call_id", "agency_id", "base_date", F.col("_family").alias("family"), "places"), base
-    ).select("call_id", F.col("match_id").alias("_base"), F.col("status").alias("_overlap"))
-    df = df.join(linked, "call_id", "left")
+    df = M.match_call_to_base(df, base).withColumnsRenamed({"match_id": "_base", "status": "_overlap"}).drop("base_date", "family", "places")
 
     marked = stored.select("document_id", F.col("process_id").alias("_kept"), F.lit(True).alias("_stored"), F.lit(False).alias("_absorbed")).unionByName(
         absorbed.select("document_id", F.lit(False).alias("_stored"), F.lit(True).alias("_absorbed")), allowMissingColumns=True
@@ -72,13 +74,12 @@ def import_calls(
     known = processes.select(F.col("stable_id").alias("_stable"), "process_id").groupBy("_stable").agg(F.min("process_id").alias("_known"))
     df = df.join(known, F.concat(F.lit("BOELOCAL:"), "call_id") == F.col("_stable"), "left")
 
-    yes = lambda c: F.coalesce(c, F.lit(False))
     decision = C.chain(
-        (~yes(F.col("province").isin(*provinces)), "FUERA_ALCANCE"),
-        (act & F.col("_event").isNotNull(), "EVENTO_DOCUMENTAL_IDENTIFICADO"),
-        (act, "EVENTO_DOCUMENTAL_REVISION"),
+        (~F.col("_near"), "FUERA_ALCANCE"),
+        (F.col("_act") & F.col("_event").isNotNull(), "EVENTO_DOCUMENTAL_IDENTIFICADO"),
+        (F.col("_act"), "EVENTO_DOCUMENTAL_REVISION"),
         (yes(F.col("_absorbed")), "ABSORBIDA_BOP_REVISION"),
-        (C.has(T.fold("shift"), ("promocion interna",)), "EXCLUIDA_TURNO_INTERNO"),
+        (F.col("_internal"), "EXCLUIDA_TURNO_INTERNO"),
         (yes(F.col("_stored")), "EXISTENTE_PUBLICACION"),
         (F.col("_known").isNotNull(), "EXISTENTE_BOE"),
         (F.col("_overlap") == "UNIQUE", "VINCULADA_BOP"),
@@ -101,9 +102,10 @@ def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame)
     process_id, stable_id, process_type; ``stored``: ref, source_id, url.
     """
     fields = ("notice_id", "stable_id", "ref", "source_id", "url", "title", "body", "published")
-    staged = notices.select(*fields).withColumns({"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")})
-    ruled = staged.withColumn("_rule", C.closure_rule("_k"))
-    ruled = ruled.withColumns({"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")})
+    ruled = once(
+        notices.select(*fields), ["title", "body"], {"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")}, {"_rule": C.closure_rule("_k")},
+        {"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")},
+    )
     known = processes.select("stable_id", "process_id", C.is_pool_type("process_type").alias("_pool"))
     # A missing reference, source or address is a value like any other: what was published without it is published.
     done = stored.select(*[F.col(c).alias(f"_{c}") for c in ("ref", "source_id", "url")]).distinct().withColumn("_done", F.lit(True))

@@ -125,8 +125,26 @@ def sources(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def notices(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
+    """The rows of M4 before their texts are composed; ``distinct`` keeps one row of every notice_id.
+
+    Those of an order are brought together in their narrow form, so a join by order that follows moves them no second time.
+    """
+    part, supp, order, line = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
+    key = F.concat_ws("-", order, line, part, supp, F.round(F.col("l_extendedprice") * 100).cast("long"))
+    rows = load(spark, path, "lineitem")
+    if not distinct:
+        return rows.withColumn("notice_id", key)
+    return rows.repartition("l_orderkey").withColumn("notice_id", key).dropDuplicates(["l_orderkey", "notice_id"])
+
+
+def notices(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
     """M4 over lineitem: one publication per row, with a natural key that repeats."""
+    return composed(lines(spark, path, distinct))
+
+
+def composed(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns of M4, and ``more`` of the rows' own."""
     part, supp, order, line = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
     day = F.to_date("l_shipdate")
     n = F.col("l_quantity").cast("int")
@@ -134,8 +152,8 @@ def notices(spark: SparkSession, path: str) -> DataFrame:
     town = F.concat(F.when(part % 2 == 0, "NATION_").otherwise("NACIÓ_"), (supp % 25).cast("string"))
     title = fill(pick(TITLES, part % len(TITLES)), n, code, town, pick(WORDS, n % len(WORDS)))
     ref = F.concat_ws("-", order, line)
-    return load(spark, path, "lineitem").select(
-        F.concat_ws("-", order, line, part, supp, F.round(F.col("l_extendedprice") * 100).cast("long")).alias("notice_id"),
+    return rows.select(
+        "notice_id",
         order.alias("process_id"),
         supp.alias("source_id"),
         ref.alias("ref"),
@@ -146,6 +164,7 @@ def notices(spark: SparkSession, path: str) -> DataFrame:
             part % 5 != 0, F.concat(pick(("https://bop.dival.es/d/", "https://www.boe.es/d/", "http://a.example/d/"), supp % 3), ref)
         ).alias("url"),
         n.alias("n"),
+        *more,
     )
 
 

@@ -110,3 +110,18 @@ def test_calls_that_are_published_keep_their_process(spark):
         "a": ("EXISTENTE_PUBLICACION", 8), "b": ("NUEVA", None), "c": ("EXISTENTE_BOE", 70), "d": ("EXISTENTE_PUBLICACION", None),
         "e": ("ABSORBIDA_BOP_REVISION", None), "f": ("EXCLUIDA_TURNO_INTERNO", None), "g": ("NUEVA", None),
     }
+
+
+def test_import_reads_every_title_once(spark, monkeypatch):
+    """Text rules run on distinct titles, null ones among them; every notice gets what they say of its title."""
+    from edictal import session
+
+    written, real = [], session.stage
+    monkeypatch.setattr(session, "stage", lambda df: written.append((df.columns, df.count())) or real(df))
+    titles = ["Nombramiento como funcionario de carrera", "Concesión de subvenciones", None]
+    rows = [(f"n{i}", f"s{i % 5}", f"r{i}", 1, None, titles[i % 3], "", dt.date(2024, 1, 1)) for i in range(90)]
+    n = spark.createDataFrame(rows, "notice_id string, stable_id string, ref string, source_id long, url string, title string, body string, published date")
+    p = spark.createDataFrame([(1, "s0", "Oposición")], "process_id long, stable_id string, process_type string")
+    out = J.import_notices(n, p, n.limit(0)).collect()
+    assert len(out) == 90 and {r.action for r in out if int(r.notice_id[1:]) % 3 == 1} == {"IGNORE"}
+    assert [c for columns, c in written if "_rule" in columns] == [3]

@@ -17,6 +17,8 @@ from edictal.session import stage
 
 # Near copies: five-word shingles, this similarity or more.
 NEAR_PERCENT = 80
+# Words that a worker of the last stage remembers: fewer than packing alone may, beside what the stages before it left in the executor.
+REMEMBERED = 150_000
 
 
 def _whole(docs: DataFrame):
@@ -58,7 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     prepared(spark)
-    pieces = bin_completion.cut(docs, public_tokenizers.path(WORD_BPE))
+    pieces = bin_completion.cut(docs, public_tokenizers.path(WORD_BPE), remembered=REMEMBERED)
     placed = bin_completion.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edictal.llm.common import trimmed
-from edictal.llm.word_table import WordEncoder, encoder, text_steps
+from edictal.llm.word_table import REMEMBERED, WordEncoder, encoder, text_steps
 from edictal.session import stage
 
 CAPACITY = 2048
@@ -213,16 +213,17 @@ class Places:
         return self.first[run] + ahead // self.each[run], self.offset[run] + ahead % self.each[run] * length
 
 
-def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def cut(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """(id, piece, start, length, ids, part, nth) of every piece: the ids of a document, ``end_id`` after them, cut where they do not fit.
 
     ids are little-endian unsigned 32-bit integers.  Null counts as the empty text, which is one piece of ``end_id``.  nth numbers the
-    pieces of a length within a task, part is the task: Spark then needs no shuffle of the pieces to rank them.
+    pieces of a length within a task, part is the task: Spark then needs no shuffle of the pieces to rank them.  ``remembered`` bounds the
+    words a worker remembers, see ``WordEncoder``; the ids do not depend on it.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(path, lambda: WordEncoder(path)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, part, seen = encoder(f"{path} {remembered}", lambda: WordEncoder(path, remembered=remembered)), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for i, _, texts in text_steps(batch.column("text"), 1 << 20):
                 row, piece, start, lengths, nth, ids = [], [], [], [], [], []

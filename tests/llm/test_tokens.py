@@ -165,3 +165,12 @@ def test_tokens_of_an_empty_table(frame):
     for decoded in (False, True):
         assert word_table.encode(frame([], DOCS), WORDS, decoded=decoded).collect() == []
     assert token_counts.count_tokens(frame([], DOCS), BYTES).collect() == []
+
+
+def test_packing_cuts_alike_however_few_words_are_remembered(spark):
+    """The pipeline remembers fewer words than packing alone; a worker that packed with more does not go on with those."""
+    from edictal.llm import bin_completion
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    rows = lambda **k: sorted(tuple(r) for r in bin_completion.cut(docs, WORDS, **k).select("id", "piece", "start", "length", "ids").collect())
+    assert rows() == rows(remembered=2)

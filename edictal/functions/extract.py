@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edictal import rules as R
 from edictal.functions.classify import chain, has, matches, scope
-from edictal.functions.text import TITLE_START, col, fold, found, squeeze
+from edictal.functions.text import TITLE_START, col, fold, found, let, squeeze
 
 
 def lookup(word: Column, table: dict) -> Column:
@@ -220,22 +220,31 @@ def ymd(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def first_date(c: Column | str, p: str, year: int, month: int, day: int, name=lambda m: m) -> Column:
+    """Date of the first place that fits ``p``, by the numbers of its groups.  The text is searched once; its parts are read from that place."""
+    return let(F.regexp_extract(col(c), p, 0), lambda h: F.when(h != "", ymd(found(h, p, year), name(found(h, p, month)), found(h, p, day))))
+
+
+def month_number(word: Column) -> Column:
+    return lookup(word, R.MONTHS)
+
+
 def numeric_date(c: Column | str) -> Column:
     """X11: first dd/mm/yyyy or dd-mm-yyyy."""
-    p = r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
-    return ymd(found(c, p, 3), found(c, p, 2), found(c, p, 1))
+    return first_date(c, r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", 3, 2, 1)
 
 
 def worded_date(n: Column | str) -> Column:
     """X11: first "5 de marzo de 1999" or "17 d'abril de 2026"."""
     p = r"\b(\d{1,2})\s+(?:de\s+|del\s+|d['’])?(" + "|".join(R.MONTHS) + r")\s+(?:de\s+|del\s+|de\s+l['’])?(\d{4})\b"
-    return ymd(found(n, p, 3), lookup(found(n, p, 2), R.MONTHS), found(n, p, 1))
+    return first_date(n, p, 3, 2, 1, month_number)
 
 
-def any_date(c: Column | str) -> Column:
-    """X11: ISO, numeric or worded date, in that order."""
+def any_date(c: Column | str, numeric: Column | str | None = None, worded: Column | str | None = None) -> Column:
+    """X11: ISO, numeric or worded date, in that order; the latter two may be columns that are ready."""
     iso = r"(\d{4})-(\d{1,2})-(\d{1,2})"
-    return F.coalesce(ymd(found(c, iso, 1), found(c, iso, 2), found(c, iso, 3)), numeric_date(c), worded_date(fold(c)))
+    numeric = numeric_date(c) if numeric is None else col(numeric)
+    return F.coalesce(first_date(c, iso, 1, 2, 3), numeric, worded_date(fold(c)) if worded is None else col(worded))
 
 
 def date_range(c: Column | str, label: str = "(?:Plazo|Termini)") -> Column:
@@ -264,7 +273,7 @@ def closing_date(n: Column | str) -> Column:
         r"(?:plazo\s+presentacion|termini\s+presentacio)\s*:?\s*(?:hasta\s+el|hasta|fins\s+al|fins\s+a)\s+(\d{1,2})\s+"
         r"(?:de\s+|del\s+|d')?\s*([a-z]+)\s+(?:de\s+|del\s+|de\s+l')?(\d{4})"
     )
-    return ymd(found(n, p, 3), lookup(found(n, p, 2), R.MONTHS), found(n, p, 1))
+    return first_date(n, p, 3, 2, 1, month_number)
 
 
 # --- codes, citations, stages ------------------------------------------------------------------------------------
@@ -313,7 +322,7 @@ def resolution_dates(c: Column | str) -> Column:
     )
 
     def date(p: str) -> Column:
-        return ymd(found(c, p, 3), lookup(F.lower(found(c, p, 2)), R.MONTHS), found(c, p, 1))
+        return first_date(c, p, 3, 2, 1, lambda m: month_number(F.lower(m)))
 
     return F.struct(date(own).alias("own"), date(cited).alias("cited"))
 

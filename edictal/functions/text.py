@@ -34,6 +34,11 @@ def unfold(df: DataFrame, name: str, array: Column | str) -> DataFrame:
     return df.withColumn(name, F.explode_outer(col(array))).filter(F.col(name).isNotNull())
 
 
+def let(c: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def found(c: Column | str, pattern: str, group: int = 1) -> Column:
     """The captured group, or null when the pattern does not match."""
     return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))

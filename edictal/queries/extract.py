@@ -64,7 +64,10 @@ QUERIES = {
     "class_from_subscale": staged("bodies", "process_id", body, **{f: (lambda f=f: X.class_from_subscale("n")[f]) for f in ("grp", "subgroup")}),
     "class_agree": staged("bodies", "process_id", body, subgroup=lambda: X.class_agree(F.array(X.class_from_subscale("n")["subgroup"], X.short_class("n")["subgroup"]))),
     "class_from_name": scalar("processes", "process_id", grp=lambda: X.class_from_name("name")["grp"], subgroup=lambda: X.class_from_name("name")["subgroup"]),
-    "any_date": scalar("bodies", "process_id", day=lambda: day(X.any_date("body")), numeric=lambda: day(X.numeric_date("body")), worded=lambda: day(X.worded_date(T.fold("body")))),
+    "any_date": staged(
+        "bodies", "process_id", lambda: {"_d": X.numeric_date("body"), "_w": X.worded_date(T.fold("body"))},
+        day=lambda: day(X.any_date("body", "_d", "_w")), numeric=lambda: day("_d"), worded=lambda: day("_w"),
+    ),
     "date_range": scalar("bodies", "process_id", opens=lambda: day(X.date_range("body")["opens"]), closes=lambda: day(X.date_range("body")["closes"])),
     "closing_date": staged("bodies", "process_id", body, closes=lambda: day(X.closing_date("n"))),
     "call_code": staged("bodies", "process_id", body, code=lambda: X.call_code("n")["code"], year=lambda: X.call_code("n")["year"], file=lambda: X.file_code("n")),

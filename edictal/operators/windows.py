@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from edictal.functions.classify import chain, pool_operating
 from edictal.functions.text import clean_news, fold, news_key
+from edictal.session import once
 
 
 def top_by(df: DataFrame, keys: list, order: list[Column], k: int = 1) -> DataFrame:
@@ -27,12 +28,12 @@ def first_by(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
 def dedup_news(news: DataFrame) -> DataFrame:
     """The same news of a process once, the oldest kept, its text cleaned.
 
-    Expects process_id, news_kind, kind, field, summary, url, detected and news_id.
+    Expects process_id, news_kind, kind, field, summary, url, detected and news_id.  A text is cleaned once, however many news have it.
     """
-    keyed = news.withColumn("_text", news_key("summary"))
+    keyed = once(news, ["summary"], {"_text": news_key("summary"), "_clean": clean_news("summary")}).drop("summary").withColumnRenamed("_clean", "summary")
     keys = ["process_id", "news_kind", F.coalesce(F.upper("kind"), F.lit("")), F.coalesce(F.lower("field"), F.lit("")), "_text", "url"]
     kept = first_by(keyed, keys, [F.col("detected").asc_nulls_first(), F.col("news_id").asc()])
-    return kept.withColumn("summary", clean_news("summary")).drop("_text")
+    return kept.select(*news.columns)
 
 
 # Host names by which documents of the two bulletins are told apart.

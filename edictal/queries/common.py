@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edictal.session import once
 from edictal.sources import bind, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,16 @@ def staged(source: str, key: str, stage: Callable[[], dict], **columns) -> Query
     return run
 
 
+def read_once(source: str, key: str, text: str, stage: Callable[[], dict] = dict, **columns) -> Query:
+    """Like ``staged`` for rules that read one text and nothing else: they run once for every distinct text."""
+
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        groups = [g for g in (stage(), {n: c for n, c in _flat(columns)}) if g]
+        return once(view(spark, path, source).select(key, text), [text], *groups).select(key, *columns)
+
+    return run
+
+
 def _flat(columns: dict) -> list[tuple[str, Column]]:
     """Expressions come as functions, because a column cannot be built before there is a session."""
     return [(n, c()) for n, c in columns.items()]

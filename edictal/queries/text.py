@@ -6,7 +6,8 @@ from edictal import rules as R
 from edictal.functions import classify as C
 from edictal.functions import extract as X
 from edictal.functions import text as T
-from edictal.queries.common import day, scalar, staged, text_of, view
+from edictal.queries.common import day, read_once, scalar, staged, text_of, view
+from edictal.sources.bind import notices
 
 def entity():
     return F.concat(F.lit("Ayuntamiento de "), "name", F.lit(" ("), "process_type", F.lit(") "))
@@ -93,10 +94,10 @@ QUERIES = {
     "code_block": code_block,
     "norm_lines": scalar("documents", "doc_id", text=lambda: T.norm_lines("text")),
     "tokens": scalar("notices", "notice_id", words=lambda: text_of(F.array_sort(T.tokens("title", 4, R.STOPWORDS_BASES, R.TOKEN_ALIAS)))),
-    "identity_tokens": scalar("notices", "notice_id", tokens=lambda: text_of(T.identity_tokens("title"))),
+    "identity_tokens": read_once("notices", "notice_id", "title", tokens=lambda: text_of(T.identity_tokens("title"))),
     "url_facets": staged("notices", "notice_id", lambda: {"u": address()}, host=lambda: T.url_host("u"), id_emp=lambda: T.url_param("u", "id_emp"), signature=lambda: T.bulletin_signature("u"), url_day=lambda: day(T.url_date("u"))),
     "page_facets": scalar("pages", "page_id", host=lambda: T.url_host("url"), page=lambda: T.url_param("url", "page")),
-    "repair_mojibake": staged("notices", "notice_id", lambda: {"bad": garbled()}, repaired=lambda: T.repair_mojibake("bad"), kept=lambda: T.repair_mojibake("title")),
+    "repair_mojibake": read_once("notices", "notice_id", "title", lambda: {"bad": garbled()}, repaired=lambda: T.repair_mojibake("bad"), kept=lambda: T.repair_mojibake("title")),
     "repair_glyphs": staged(
         "documents", "doc_id", lambda: {"odd": F.replace(F.replace(F.col("text"), F.lit("ti"), F.lit("Ɵ")), F.lit("fi"), F.lit("ﬁ"))},
         text=lambda: T.repair_glyphs("odd"), readable=lambda: T.readable("odd"),

@@ -49,8 +49,8 @@ def segment_records(spark, path):
         "title", F.lit(". Núm. registro: 2024/"), "n", F.lit(" Otro Anunci de les bases de la convocatoria. Núm. de registre 2024/"), "n",
         F.lit(" entidad Núm. registro 2025/"), "n", F.lit(" Anuncio posterior de "), "ref", F.lit(". Fin"),
     )
-    pages = view(spark, path, "notices").select(F.col("notice_id").alias("page"), text.alias("text"))
-    return segment_records(pages.dropDuplicates(["page"]), "page", "text")
+    pages = notices(spark, path, distinct=True).select(F.col("notice_id").alias("page"), text.alias("text"))
+    return segment_records(pages, "page", "text")
 
 
 def syllabus_text():

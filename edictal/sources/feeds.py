@@ -29,21 +29,18 @@ def segment_records(df: DataFrame, page: str, text: str) -> DataFrame:
     """The records of a bulletin index: number and title.
 
     The number is the delimiter: its title is the last notice before it, else the first after it, and
-    never crosses into the next record.  Blocks and numbers are two aligned arrays of one row, so a page
-    is cut without any shuffle; a number that repeats in a page keeps its first title.
+    never crosses into the next record.  Blocks and numbers are two aligned arrays of one row; a number that repeats in a page keeps its
+    first title.  A page is one row, so it is cut and its numbers are told apart without any shuffle.
     """
     numbers = F.regexp_extract_all(F.col(text), F.lit(RECORD_MARK), F.lit(1))
     blocks = F.split(F.col(text), RECORD_MARK)
     cut = df.select(page, numbers.alias("_n"), blocks.alias("_b"))
-    # A record carries its two neighbours, not the page.
-    zipped = F.transform("_n", lambda x, i: F.struct(i.alias("pos"), x.alias("record"), F.get("_b", i).alias("before"), F.get("_b", i + 1).alias("after")))
-    rows = X.unfold(cut.select(page, zipped.alias("_z")), "_r", "_z").select(page, "_r.*")
-    read = rows.select(
-        page, "record", "pos", X.found(X.squeeze("before"), LAST_NOTICE).alias("_t1"), X.found(X.squeeze("after"), FIRST_NOTICE).alias("_t2")
-    )
-    titled = read.select(page, "record", "pos", F.coalesce(record_title(F.col("_t1")), record_title(F.col("_t2"))).alias("title"))
-    at = F.when(F.col("title").isNotNull(), F.col("pos"))
-    return titled.groupBy(page, "record").agg(F.min_by("title", at).alias("title")).filter(F.col("title").isNotNull())
+    title = lambda block, pattern: X.let(F.regexp_extract(X.squeeze(block), pattern, 1), record_title)
+    # What follows a number is read only where nothing before it is a title.
+    first = F.transform("_n", lambda x, i: F.struct(x.alias("record"), F.coalesce(title(F.get("_b", i), LAST_NOTICE), title(F.get("_b", i + 1), FIRST_NOTICE)).alias("title")))
+    titled = cut.select(page, F.filter(first, lambda r: r["title"].isNotNull()).alias("_r"))
+    # Of equal numbers a map keeps the last (``tune``), which is the first of the reversed list.
+    return X.unfold(titled, "_e", F.map_entries(F.map_from_entries(F.reverse("_r")))).select(page, F.col("_e.key").alias("record"), F.col("_e.value").alias("title"))
 
 
 # --- N14 ------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edictal import rules as R
-from edictal.functions.text import col
+from edictal.functions.text import col, let
 
 
 SPECIAL = set(r".^$*+?()[]{}\\")
@@ -334,15 +334,15 @@ def shift_compatible(n_title: Column | str, n_shift: Column | str) -> Column:
 
 def mentions_town(n_text: Column | str, n_agency: Column | str) -> Column:
     """The document names the municipality of the agency."""
-    text = F.regexp_replace(F.regexp_replace(col(n_text), "[^a-z0-9 ]", " "), r"\s+", " ")
+    text = F.regexp_replace(col(n_text), "[^a-z0-9]+", " ")
     name = F.regexp_replace(
         F.trim(col(n_agency)),
         "^(?:ayuntamiento|mancomunidad|mancomunitat|diputacion provincial)\\s+(?:de |del |d')?", "",
     )
     aliases = F.transform(
-        F.split(name, "/"), lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "[^a-z0-9 ]", " "), r"\s+", " "))
+        F.split(name, "/"), lambda a: F.trim(F.regexp_replace(a, "[^a-z0-9]+", " "))
     )
-    return F.coalesce(F.exists(aliases, lambda a: (a != "") & F.contains(text, a)), F.lit(False))
+    return F.coalesce(let(text, lambda t: F.exists(aliases, lambda a: (a != "") & F.contains(t, a))), F.lit(False))
 
 
 def term_state(n_header: Column | str) -> Column:

@@ -113,14 +113,16 @@ def total_places(c: Column | str) -> Column:
 
 def declared_class(n: Column | str) -> Column:
     """Labelled group, subgroup and scale; the combined label first."""
-    n = col(n)
+    text = col(n)
+    # Every label of a group has this stem.
+    n = F.when(F.contains(text, F.lit("grup")), text)
     both = r"\b(?:grupo|grup)\s*/\s*(?:subgrupo|subgrup)\s*[:.\-]?\s*([a-e])\s*/\s*([a-e][1-3])\b"
     combined = found(n, both, 2)
     sub = found(n, r"\b(?:subgrupo|subgrup)\s*[:.\-]?\s*([a-e][1-3])\b")
     group = found(n, r"\b(?:grupo|grup)\s*[:.\-]?\s*([a-e](?:[1-3])?)\b")
     subgroup = F.upper(F.coalesce(combined, sub, F.when(F.length(group) == 2, group)))
     scale = found(
-        n,
+        text,
         r"\b(?:cuerpo\s*(?:/|y)?\s*escala|cos\s*(?:/|i)?\s*escala|escala)\s*(?:(?::|\.|\-)|(?:d['’](?:e)?|de))\s*"
         r"administracion?\s+(general|especial)\b",
     )
@@ -141,14 +143,20 @@ def class_from_subscale(n: Column | str) -> Column:
     """Subgroup of the one subscale or class the text declares."""
     n = col(n)
     general = F.contains(n, F.lit("administracion general"))
-    fragment = F.regexp_extract(n, r"subescala\s+(?:de\s+|d')?([^,.;]{1,50})", 1)
-    present = F.filter(
-        F.array(*[F.lit(k) for k in R.SUBGROUP_OF_SUBSCALE]), lambda k: F.regexp_like(fragment, F.concat(F.lit(r"\b"), k, F.lit(r"s?\b")))
-    )
-    middle = fragment.rlike(r"\btecnicas?\b") & fragment.rlike(r"\bclase\s+(?:de\s+)?(?:tecnico\s+)?medi[ao]\b")
-    by_subscale = F.when(F.size(present) == 1, F.when(middle, "A2").otherwise(lookup(F.get(present, F.lit(0)), R.SUBGROUP_OF_SUBSCALE)))
-    classes = F.filter(F.array(*[F.lit(k) for k in R.SUBGROUP_OF_CLASS]), lambda k: F.contains(n, k))
-    by_class = F.when(F.size(classes) == 1, lookup(F.get(classes, F.lit(0)), R.SUBGROUP_OF_CLASS))
+
+
+    def only(table: dict, says) -> Column:
+        """The subgroup of the one word of the table that the text says."""
+        stated = F.array_compact(F.array(*[F.when(says(k), F.lit(g)) for k, g in table.items()]))
+        return let(stated, lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))))
+
+    def by_fragment(fragment: Column) -> Column:
+        middle = fragment.rlike(r"\btecnicas?\b") & fragment.rlike(r"\bclase\s+(?:de\s+)?(?:tecnico\s+)?medi[ao]\b")
+        named = only(R.SUBGROUP_OF_SUBSCALE, lambda k: fragment.rlike(rf"\b{k}s?\b"))
+        return let(named, lambda s: F.when(s.isNotNull() & middle, "A2").otherwise(s))
+
+    by_subscale = let(F.regexp_extract(n, r"subescala\s+(?:de\s+|d')?([^,.;]{1,50})", 1), by_fragment)
+    by_class = only(R.SUBGROUP_OF_CLASS, lambda k: F.contains(n, F.lit(k)))
     subgroup = F.when(general, by_subscale).when(F.contains(n, F.lit("administracion especial")), by_class)
     return F.struct(F.left(subgroup, F.lit(1)).alias("grp"), subgroup.alias("subgroup"))
 
@@ -158,36 +166,42 @@ VACANCY_ROW = r"\b([abc])\s+(a1|a2|c1|c2)\s+[a-z ]{3,30}?\s+(\d{1,3})\b"
 
 def class_from_table(n: Column | str) -> Column:
     """Subgroup and places of the vacancy table, else the one subgroup in prose, else the subscale."""
-    n = F.regexp_replace(col(n), r"\s+", " ")
-    table = F.when(F.contains(n, F.lit("vacantes")), F.substr(n, F.locate("vacantes", n)))
-    rows = F.array_distinct(
-        F.filter(
-            F.transform(
-                F.regexp_extract_all(table, F.lit(VACANCY_ROW), F.lit(0)),
-                lambda r: F.struct(
-                    F.regexp_extract(r, VACANCY_ROW, 1).alias("g"),
-                    F.upper(F.regexp_extract(r, VACANCY_ROW, 2)).alias("sub"),
-                    F.regexp_extract(r, VACANCY_ROW, 3).cast("int").alias("n"),
+
+    def stated(n: Column) -> Column:
+        table = F.when(F.contains(n, F.lit("vacantes")), F.substr(n, F.locate("vacantes", n)))
+        rows = F.array_distinct(
+            F.filter(
+                F.transform(
+                    F.regexp_extract_all(table, F.lit(VACANCY_ROW), F.lit(0)),
+                    lambda r: F.struct(
+                        F.regexp_extract(r, VACANCY_ROW, 1).alias("g"),
+                        F.upper(F.regexp_extract(r, VACANCY_ROW, 2)).alias("sub"),
+                        F.regexp_extract(r, VACANCY_ROW, 3).cast("int").alias("n"),
+                    ),
                 ),
-            ),
-            lambda x: F.lower(F.left(x["sub"], F.lit(1))) == x["g"],
+                lambda x: F.lower(F.left(x["sub"], F.lit(1))) == x["g"],
+            )
         )
-    )
-    listed = F.coalesce(F.size(rows) > 0, F.lit(False))
-    subs = F.array_distinct(F.transform(rows, lambda x: x["sub"]))
-    prose = F.array_distinct(F.transform(F.regexp_extract_all(n, F.lit(r"\bsubgrupo\s*[:.-]?\s*(a1|a2|c1|c2)\b"), F.lit(1)), F.upper))
-    in_prose = F.size(prose) == 1
-    subgroup = F.when(listed, F.when(F.size(subs) == 1, F.get(subs, F.lit(0)))).when(in_prose, F.get(prose, F.lit(0))).otherwise(
-        class_from_subscale(n)["subgroup"]
-    )
-    origin = F.when(listed, "TABLA").when(in_prose, "TEXTO").otherwise("SUBESCALA")
-    total = F.aggregate(rows, F.lit(0), lambda a, x: a + x["n"])
-    return F.struct(
-        F.left(subgroup, F.lit(1)).alias("grp"),
-        subgroup.alias("subgroup"),
-        F.when(listed & subgroup.isNotNull(), total).alias("places"),
-        F.when(subgroup.isNotNull(), origin).alias("origin"),
-    )
+        prose = F.array_distinct(F.transform(F.regexp_extract_all(n, F.lit(r"\bsubgrupo\s*[:.-]?\s*(a1|a2|c1|c2)\b"), F.lit(1)), F.upper))
+        return let(rows, lambda r: let(F.when(F.contains(n, F.lit("subgrupo")), prose), lambda p: decided(n, r, p)))
+
+    def decided(n: Column, rows: Column, prose: Column) -> Column:
+        listed = F.coalesce(F.size(rows) > 0, F.lit(False))
+        in_prose = F.size(prose) == 1
+        subs = F.array_distinct(F.transform(rows, lambda x: x["sub"]))
+        subgroup = F.when(listed, F.when(F.size(subs) == 1, F.get(subs, F.lit(0)))).when(in_prose, F.get(prose, F.lit(0))).otherwise(
+            class_from_subscale(n)["subgroup"]
+        )
+        origin = F.when(listed, "TABLA").when(in_prose, "TEXTO").otherwise("SUBESCALA")
+        total = F.aggregate(rows, F.lit(0), lambda a, x: a + x["n"])
+        return let(subgroup, lambda s: F.struct(
+            F.left(s, F.lit(1)).alias("grp"),
+            s.alias("subgroup"),
+            F.when(listed & s.isNotNull(), total).alias("places"),
+            F.when(s.isNotNull(), origin).alias("origin"),
+        ))
+
+    return let(F.regexp_replace(col(n), r"\s+", " "), stated)
 
 
 def class_agree(subgroups: Column) -> Column:

@@ -87,11 +87,16 @@ def source_score(kind: Column, title: Column, url: Column) -> Column:
     return total
 
 
-def rank_sources(notices: DataFrame, k: int | None = None) -> DataFrame:
-    """The source documents of each process by their worth, the ``k`` best of them if a limit is given."""
-    scored = notices.filter(F.trim(F.coalesce("url", F.lit(""))) != "").withColumn(
+def scored_sources(notices: DataFrame) -> DataFrame:
+    """The source documents with an address, and their score."""
+    return notices.filter(F.trim(F.coalesce("url", F.lit(""))) != "").withColumn(
         "score", source_score(F.col("kind"), F.col("title"), F.col("url"))
     )
+
+
+def rank_sources(notices: DataFrame, k: int | None = None) -> DataFrame:
+    """The source documents of each process by their worth, the ``k`` best of them if a limit is given."""
+    scored = scored_sources(notices)
     order = [F.col("score").desc(), F.col("published").desc_nulls_last(), F.col("notice_id").desc()]
     if k is not None:
         return top_by(scored, ["process_id"], order, k)

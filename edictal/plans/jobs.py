@@ -186,13 +186,17 @@ def syllabus(documents: DataFrame, k: int | None = None) -> DataFrame:
     ``documents``: process_id, name (of the process), notice_id, kind, title, url, published, text.  Unreadable documents take no
     rank; ``k`` may limit the readable ones that are looked at.
     """
-    ranked = W.rank_sources(documents.withColumn("_text", T.repair_glyphs("text")).filter(T.readable("_text")), k)
-    keys = ["process_id", "notice_id", "rank"]
-    coded = code_block(ranked.withColumn("_call", F.regexp_replace(X.found(F.col("name"), NAMED_CALL), r"\s+", "")), [*keys, "_text"], "_text", "_call")
+    # A repair neither loses characters nor finds lost ones, so the text says as it is whether it is readable.
+    usable = documents.filter(T.readable("text"))
+    ranked = W.scored_sources(usable) if k is None else W.rank_sources(usable, k)
+    # Documents of a process with one text have one block: the best of them stands for all, and the text is read once.
+    at = F.struct("score", "published", "notice_id")
+    texts = ranked.groupBy("process_id", "name", "text").agg(F.max(at).alias("_best")).withColumn("_text", T.repair_glyphs("text")).drop("text")
+    keys = ["process_id", "_best"]
+    coded = code_block(texts.withColumn("_call", F.regexp_replace(X.found(F.col("name"), NAMED_CALL), r"\s+", "")), [*keys, "_text"], "_text", "_call")
     blocks = line_block(coded.withColumnRenamed("block", "_own"), [*keys, "_own"], "_text").withColumn("block", F.coalesce("_own", "block"))
-    usable = F.when(F.col("block").isNotNull(), F.col("rank"))
-    best = blocks.groupBy("process_id").agg(F.min_by(F.struct("notice_id", "block"), usable).alias("b")).filter(F.col("b").isNotNull())
-    return best.select("process_id", F.col("b.notice_id").alias("notice_id"), F.col("b.block").alias("block"))
+    best = blocks.groupBy("process_id").agg(F.max_by(F.struct("_best.notice_id", "block"), F.when(F.col("block").isNotNull(), F.col("_best"))).alias("b"))
+    return best.filter(F.col("b").isNotNull()).select("process_id", F.col("b.notice_id").alias("notice_id"), F.col("b.block").alias("block"))
 
 
 def topics(blocks: DataFrame) -> DataFrame:

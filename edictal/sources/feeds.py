@@ -63,7 +63,7 @@ def _first(flags: Column, after: Column) -> Column:
 def _block(lines: Column, start: Column, end: Column) -> Column:
     last = F.coalesce(end, F.size(lines))
     text = F.trim(F.array_join(F.slice(lines, start + 1, F.greatest(last - start, F.lit(0))), "\n"))
-    return F.when(start.isNotNull() & (F.length(text) >= SMALLEST_BLOCK), text)
+    return F.when(start.isNotNull(), X.let(text, lambda t: F.when(F.length(t) >= SMALLEST_BLOCK, t)))
 
 
 def line_block(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -80,7 +80,7 @@ def code_block(df: DataFrame, key: str | list[str], text: str, code: str) -> Dat
     keys = [key] if isinstance(key, str) else key
     lines = df.select(*keys, F.col(code).alias("_code"), F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n").alias("_l"))
     stated = lambda x: F.concat_ws("/", F.regexp_extract(x, CALL_LINE, 1), F.regexp_extract(x, CALL_LINE, 2))
-    at = _first(F.transform("_l", lambda x: x.rlike(CALL_LINE) & (stated(x) == F.col("_code"))), F.lit(-1))
+    at = F.when(F.col("_code").isNotNull(), _first(F.transform("_l", lambda x: x.rlike(CALL_LINE) & (stated(x) == F.col("_code"))), F.lit(-1)))
     placed = lines.withColumn("_at", at)
     heading = F.array_max(
         F.filter(
@@ -88,7 +88,7 @@ def code_block(df: DataFrame, key: str | list[str], text: str, code: str) -> Dat
             lambda x: x.isNotNull(),
         )
     )
-    end = _first(F.transform("_l", lambda x: x.rlike(CALL_LINE)), F.col("_at"))
+    end = F.when(F.col("_at").isNotNull(), _first(F.transform("_l", lambda x: x.rlike(CALL_LINE)), F.col("_at")))
     ready = placed.withColumn("_s", F.when(F.col("_at").isNotNull(), F.coalesce(heading, "_at"))).withColumn("_e", end)
     return ready.select(*keys, _block(F.col("_l"), F.col("_s"), F.col("_e")).alias("block"))
 

@@ -342,14 +342,16 @@ def best_notice(processes: DataFrame, notices: DataFrame) -> DataFrame:
         towns.select(F.concat(F.lit("I "), "_entity").alias("_probe"), F.concat(F.lit("I "), "_entity").alias("_key"), F.array().cast("array<string>").alias("_ewords"))
     ))
     # Words are cut once; rules that read whole titles run only on days that are asked for and on notices that are listed.
-    words = notices.select("notice_id", "title", F.col("published").alias("_day")).join(p.select("_day").distinct(), "_day", "left_semi").withColumn("_n", T.fold("title"))
+    asked_for = notices.select("notice_id", "title", F.col("published").alias("_day")).join(stage(p.select("_day").distinct()), "_day", "left_semi")
+    words = asked_for.select("title").distinct().withColumn("_n", T.fold("title"))
     words = words.withColumn("_raw", F.regexp_extract_all("_n", F.lit("[a-z0-9]{3,}"), F.lit(0)))
-    n = words.select("_day", "notice_id", "_n", "_raw", F.concat(F.lit("I "), T.issuer_town("title")).alias("_town"), T.canonical("_raw", (), R.TOKEN_ALIAS).alias("_twords"))
+    n = words.select("title", "_n", "_raw", F.concat(F.lit("I "), T.issuer_town("title")).alias("_town"), T.canonical("_raw", (), R.TOKEN_ALIAS).alias("_twords"))
     listed = F.array_compact(F.array_append(F.transform("_twords", lambda w: F.concat(F.lit("W "), w)), F.col("_town")))
-    held = T.unfold(n, "_probe", listed).join(probes, "_probe").filter(F.size(F.array_except("_ewords", "_twords")) == 0).select("_day", "_key", "notice_id", "_n", "_raw")
+    held = T.unfold(n, "_probe", listed).join(probes, "_probe").filter(F.size(F.array_except("_ewords", "_twords")) == 0).select("title", "_key", "_n", "_raw")
     longer = F.filter("_raw", lambda w: F.length(w) >= 4)
-    judged = held.select("_day", "_key", "notice_id", (C.notice_class("_n") == "NUEVA_CONVOCATORIA").alias("_new"), F.array_sort(T.canonical(longer, R.STOPWORDS_BASES, R.TOKEN_ALIAS)).alias("_set"))
-    offered = stage(judged.groupBy("_day", "_key", "_new", "_set").agg(F.min("notice_id").alias("_l"), F.max("notice_id").alias("_h")))
+    # Titles are listed, not notices: each notice meets the few keys of its title.
+    judged = held.select("title", "_key", (C.notice_class("_n") == "NUEVA_CONVOCATORIA").alias("_new"), F.array_sort(T.canonical(longer, R.STOPWORDS_BASES, R.TOKEN_ALIAS)).alias("_set"))
+    offered = stage(asked_for.join(stage(judged), "title").groupBy("_day", "_key", "_new", "_set").agg(F.min("notice_id").alias("_l"), F.max("notice_id").alias("_h")))
 
     limits = offered.groupBy("_day", "_key", "_new").agg(F.min("_l").alias("_l"), F.max("_h").alias("_h"))
     where = p.select("_day", "_entity").distinct().join(keys, "_entity")

@@ -265,7 +265,8 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
     ``notices``: notice_id, title, town; ``processes``: process_id, name, town, agency_name, shift (``gazette_candidates`` of them).  Rows
     with the same town, shift and words are interchangeable, so words are compared once per distinct set, in ``best_overlap``.
     """
-    n = notices.withColumn("_n", T.fold("title")).withColumn("_town", F.trim(T.fold("town")))
+    # What is decided depends on title and town alone, so each pair is decided once and the notices meet the decision.
+    n = notices.select("title", "town").distinct().withColumn("_n", T.fold("title")).withColumn("_town", F.trim(T.fold("town")))
     need = F.when(C.has("_n", C.RESERVE), "RESERVE").when(
         C.matches("_n", r"\b(?:turno|torn)\s+(?:libre|lliure)\b"), "OPEN"
     ).otherwise("ANY")
@@ -305,7 +306,9 @@ def match_by_content(notices: DataFrame, processes: DataFrame) -> DataFrame:
     linked = F.when(F.col("reason").isin("MUNICIPIO_TURNO", "MUNICIPIO_UNICO"), F.col("_low")).when(
         F.col("reason") == "MUNICIPIO_DENOMINACION", F.col("_l")
     )
-    return out.withColumn("match_id", linked).select(*notices.columns, "reason", "match_id")
+    decided = stage(out.select(F.col("title").alias("_title"), F.col("town").alias("_town"), "reason", linked.alias("match_id")))
+    same = F.col("title").eqNullSafe(F.col("_title")) & F.col("town").eqNullSafe(F.col("_town"))
+    return notices.join(decided, same, "left").select(*notices.columns, "reason", "match_id")
 
 
 # Kinds of body that do not tell one entity from another.

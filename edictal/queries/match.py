@@ -6,6 +6,7 @@ from edictal.functions import classify as C
 from edictal.functions import text as T
 from edictal.operators import match as M
 from edictal.queries.common import day, view
+from edictal.session import once
 
 
 def owned(spark, path):
@@ -76,7 +77,7 @@ def recover_calls(spark, path):
 
 def follow_ups(spark, path):
     """Municipal follow-up notices: the town is read from the title."""
-    return view(spark, path, "notices").select("notice_id", "title", "published", T.issuer_town("title").alias("town")).filter(F.col("town").isNotNull())
+    return once(view(spark, path, "notices").select("notice_id", "title", "published"), ["title"], {"town": T.issuer_town("title")}).filter(F.col("town").isNotNull())
 
 
 def match_follow_up(spark, path):

@@ -120,11 +120,12 @@ def recover_calls(processes: DataFrame, calls: DataFrame, as_of: Column, max_day
     """
     since = F.greatest(F.col("base_date"), F.date_sub(as_of, max_days - 1))
     keys = ["province", "base_date", "_entity", "family"]
-    documents = (
-        T.unfold(calls.filter(F.col("family").isNotNull() & F.col("published").between(since, as_of)), "_entity", T.entity_variants("entity"))
-        .groupBy(*keys, "document_id")
-        .agg(F.sum("places").alias("places"))
-    )
+    # Calls of a document are summed under the entity as it is written, and few sums take its forms.
+    written = calls.filter(F.col("family").isNotNull() & F.col("published").between(since, as_of)).groupBy(
+        "province", "base_date", "entity", "family", "document_id"
+    ).agg(F.sum("places").alias("places"))
+    forms = T.unfold(written.select("entity").distinct(), "_entity", T.entity_variants("entity"))
+    documents = written.join(stage(forms), "entity").groupBy(*keys, "document_id").agg(F.sum("places").alias("places"))
     blocks = documents.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("document_id").alias("document_id"),
         F.sum(F.coalesce("places", F.lit(0))).alias("call_places"), F.min("places").alias("_one"),

@@ -67,9 +67,10 @@ def recover_calls(spark, path):
         "process_id", "places", "province", F.col("call_date").alias("base_date"), C.family(T.fold("name")).alias("family"),
         F.concat(F.lit("Ayuntamiento de "), F.split_part("town", F.lit("/"), F.lit(1))).alias("agency_name"),
     )
-    calls = view(spark, path, "notices").join(owned(spark, path).select("process_id", "province", "town", "call_date", F.col("name").alias("job")), "process_id").select(
+    jobs = owned(spark, path).select("process_id", "province", "town", "call_date", C.family(T.fold("name")).alias("family"))
+    calls = view(spark, path, "notices").join(jobs, "process_id").select(
         F.concat_ws("-", "process_id", F.col("source_id") % 3).alias("document_id"), "province", F.concat(F.lit("Ayuntamiento de "), "town", F.lit(" (X)")).alias("entity"),
-        F.col("call_date").alias("base_date"), C.family(T.fold("job")).alias("family"), F.when(F.col("n") % 5 != 0, F.col("n") % 31).alias("places"), "published",
+        F.col("call_date").alias("base_date"), "family", F.when(F.col("n") % 5 != 0, F.col("n") % 31).alias("places"), "published",
     )
     out = M.recover_calls(p, calls, as_of, 2000)
     return out.select("process_id", "n", "status", "document_id", "call_places", "complete")

@@ -8,6 +8,9 @@ keys, both sides list their keys and the extremes of the keys are combined.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -382,15 +385,20 @@ def match_document_event(events: DataFrame, resolutions: DataFrame) -> DataFrame
     resolved — one row per gazette notice of a process.  Entities of one document are decided apart: one that has a
     process says nothing of another.
     """
-    build = resolutions.filter(F.col("resolved").isNotNull()).select(
-        F.col("resolved").alias("_day"), T.fold("province").alias("_province"), F.array(T.fold("agency_name")).alias("_alias"), "process_id"
-    )
-    probe = events.withColumn("_day", F.col("cited")).withColumn("_province", T.fold("province")).withColumn(
+    # Of the resolutions of an agency and day only the extremes count; they are found before any name is folded.
+    ends = F.array_distinct(F.array(F.min("process_id"), F.max("process_id"))).alias("_ids")
+    known = T.unfold(resolutions.filter(F.col("resolved").isNotNull()).groupBy("resolved", "province", "agency_name").agg(ends), "process_id", "_ids")
+    build = known.select(F.col("resolved").alias("_day"), T.fold("province").alias("_province"), F.array(T.fold("agency_name")).alias("_alias"), "process_id")
+    # The document plays no part in the lookup, so its entity, province and date are asked once.
+    asked = ["entity", "province", "cited"]
+    probe = events.select(*asked).distinct().withColumn("_day", F.col("cited")).withColumn("_province", T.fold("province")).withColumn(
         "_alias", T.entity_variants("entity")
     )
-    # The document plays no part in the lookup, so its entity, province and date are asked once.
-    probe = probe.withColumn("_probe", F.struct("entity", "province", "cited"))
-    return unique_match_any(probe, build, ["_day", "_province"], "_alias", "_probe", "process_id").drop("_day", "_province", "_alias", "_probe")
+    found = unique_match_any(probe.withColumn("_probe", F.struct("entity", "province", "cited")), build, ["_day", "_province"], "_alias", "_probe", "process_id")
+    # Written, so that its size is known before the events are dealt.
+    found = stage(found.select(*[F.col(c).alias(f"_{c}") for c in asked], "status", "match_id"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked])
+    return events.join(found, same, "left").select(*events.columns, "status", "match_id")
 
 
 def _kind(tokens: str, kinds: tuple[str, ...]) -> Column:

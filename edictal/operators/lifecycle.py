@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edictal import rules as R
 from edictal.functions.classify import chain, closes_pools, closure_rule, is_pool_type, is_terminal, state_of_rule
 from edictal.functions.text import title_key
+from edictal.session import once
 
 # Order of closing evidence: annulment, desistance, final result.
 PRIORITY = {R.ANNULLED: 0, R.DESISTED: 1, R.FINISHED: 2}
@@ -48,7 +49,7 @@ def best_evidence(
     One aggregation with map-side combine: a process that owns a third of all notices contributes one
     row per task to the shuffle.
     """
-    closing = with_rule(notices, title)
+    closing = once(notices, [title], {"_key": title_key(title)}, {"rule": closure_rule("_key")}).withColumn("closing_state", state_of_rule("rule"))
     evidence = F.struct(
         F.col("closing_state").alias("state"), F.col("rule"), F.col(tie).alias("notice_id"),
         F.col(title).alias("title"), F.col(day).alias("published"),

@@ -277,9 +277,10 @@ def run_cycle(tables: dict[str, DataFrame], cal: DataFrame, as_of: Column, histo
     if "subscriptions" in tables and since is None:
         raise ValueError("follow-ups need the day of the last cycle")
     visible = lambda p: Q.catalogue(p, tables["agencies"], notices, tables["sources"], as_of)
-    deadlines = D.deadline_plan(processes.filter(~C.is_terminal("state") & F.col("is_opportunity") & (F.col("scope") == "SI")), cal, tables.get("bulletins"))
+    # Every step after reads the terms and the dated processes: they are worked out once.
+    deadlines = stage(D.deadline_plan(processes.filter(~C.is_terminal("state") & F.col("is_opportunity") & (F.col("scope") == "SI")), cal, tables.get("bulletins")))
     fills = deadlines.filter(F.col("action") == "FILL").select("process_id", F.col("term_opens").alias("opens"), F.col("term_closes").alias("closes"))
-    dated = with_columns_for(U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled"), "grp", "subgroup")
+    dated = stage(with_columns_for(U.fill_empty(processes, fills, "process_id", ["opens", "closes"]).drop("filled"), "grp", "subgroup"))
     groups = stage(group_pipeline(dated.join(tables["agencies"].select("agency_id", "agency_name"), "agency_id", "left"), tables["texts"]))
     graded = apply_groups(dated, groups)
     titles = stage(clean_titles(graded))

@@ -101,7 +101,7 @@ COMPETITIONS, LOCAL = "2B", "9525"
 
 def _listed(c: Column) -> Column:
     """A JSON value that may be one object or a list of them, as a list of JSON texts."""
-    return F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).when(c.isNotNull(), F.array(c))
+    return X.let(c, lambda v: F.when(F.trim(v).startswith("["), F.from_json(v, "array<string>")).when(v.isNotNull(), F.array(v)))
 
 
 def flatten_summary(df: DataFrame, raw: str = "json", section: str = COMPETITIONS, department: str = LOCAL) -> DataFrame:
@@ -113,13 +113,13 @@ def flatten_summary(df: DataFrame, raw: str = "json", section: str = COMPETITION
     out = out.filter(F.trim(part(F.col("_j"), "codigo")) == section)
     out = X.unfold(out, "_j", _listed(part(F.col("_j"), "departamento"))).select(*keep, "_j")
     out = out.filter(F.trim(part(F.col("_j"), "codigo")) == department)
-    body = F.coalesce(F.when(part(F.col("_j"), "texto").startswith("{"), part(F.col("_j"), "texto")), F.col("_j"))
+    body = X.let(part(F.col("_j"), "texto"), lambda t: F.coalesce(F.when(t.startswith("{"), t), F.col("_j")))
     out = X.unfold(out, "_j", _listed(part(body, "epigrafe"))).select(*keep, "_j")
     out = X.unfold(out.withColumn("heading", part(F.col("_j"), "nombre")), "_j", _listed(part(F.col("_j"), "item"))).select(*keep, "heading", "_j")
-    html = part(F.col("_j"), "url_html")
+    url = X.let(part(F.col("_j"), "url_html"), lambda html: F.trim(F.coalesce(F.when(html.startswith("{"), part(html, "texto")), html)))
     return out.select(
         *keep, "heading", part(F.col("_j"), "identificador").alias("item_id"), part(F.col("_j"), "titulo").alias("title"),
-        F.trim(F.coalesce(F.when(html.startswith("{"), part(html, "texto")), html)).alias("url"),
+        url.alias("url"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character a Unicode-aware "\s" accepts; Java and RE2 only know the ASCII ones by default.
+# Printable ASCII is told first, by one comparison.
 WS = (
     r"[[^!-~]&&[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"

@@ -89,9 +89,13 @@ def title_key(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.replace(fold(c), F.lit("·"), F.lit("")), "[^a-z0-9]+", " "))
 
 
+# A run of white space that is not one blank already; most texts have none, and are left as they are.
+RUN = rf"{WS}(?:(?<! ){WS}*|{WS}+)"
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space, no-break spaces included, become one space."""
-    return F.trim(F.regexp_replace(col(c), WS + "+", " "))
+    return F.trim(F.regexp_replace(col(c), RUN, " "))
 
 
 # Leading and trailing articles of place names.

@@ -96,3 +96,11 @@ def test_entities_are_asked_once(spark, monkeypatch):
     known = spark.createDataFrame([(5, "Ayuntamiento de B", "p", day)] * 3, "process_id long, agency_name string, province string, resolved date")
     out = M.match_document_event(events, known).collect()
     assert asked == [2] and len(out) == 20 and {(r.document_id % 2, r.match_id) for r in out} == {(1, 5), (0, None)}
+
+
+def test_squeezed_blanks(spark):
+    from edictal.functions.text import squeeze
+
+    rows = [("a b c",), ("a  b",), (" \ta\t b  c ",), ("a b",), ("a \n\n b\nc",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(squeeze("c")).collect()]
+    assert got == ["a b c", "a b", "a b c", "a b", "a b c", "", None]

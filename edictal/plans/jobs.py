@@ -5,7 +5,7 @@ A job returns its actions; one sink step applies them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edictal import rules as R
@@ -94,6 +94,19 @@ def import_calls(
     return out.select("call_id", "document_id", "decision", target.alias("process_id"), "agency_id")
 
 
+# What the rules say of a notice.
+RULED = ("_rule", "_base", "_employment")
+
+
+def read_notices(notices: DataFrame) -> DataFrame:
+    """Notices with what the text rules say of them; imports of notices that were read before read no text again."""
+    ruled = once(
+        notices, ["title", "body"], {"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")}, {"_rule": C.closure_rule("_k")},
+        {"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")},
+    )
+    return ruled.drop("_n", "_b", "_k")
+
+
 def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame) -> DataFrame:
     """Bulletin import: a founding notice creates or refreshes its process, a follow-up only links,
     follow-ups without a process are reported.
@@ -101,39 +114,34 @@ def import_notices(notices: DataFrame, processes: DataFrame, stored: DataFrame)
     ``notices``: notice_id, stable_id, ref, source_id, url, title, body, published; ``processes``:
     process_id, stable_id, process_type; ``stored``: ref, source_id, url.
     """
-    fields = ("notice_id", "stable_id", "ref", "source_id", "url", "title", "body", "published")
-    ruled = once(
-        notices.select(*fields), ["title", "body"], {"_n": T.fold("title"), "_b": T.fold("body"), "_k": T.title_key("title")}, {"_rule": C.closure_rule("_k")},
-        {"_base": C.is_founding("_n", "_b"), "_employment": C.is_employment("_n", "_rule")},
-    )
+    fields = ("notice_id", "stable_id", "ref", "source_id", "url", "published")
+    read = notices if set(RULED) <= set(notices.columns) else read_notices(notices.select(*fields, "title", "body"))
+    ruled = read.select(*fields, *RULED)
     known = processes.select("stable_id", "process_id", C.is_pool_type("process_type").alias("_pool"))
-    # A missing reference, source or address is a value like any other: what was published without it is published.
-    done = stored.select(*[F.col(c).alias(f"_{c}") for c in ("ref", "source_id", "url")]).distinct().withColumn("_done", F.lit(True))
-    stored_already = F.col("ref").eqNullSafe(F.col("_ref")) & F.col("source_id").eqNullSafe(F.col("_source_id")) & F.col("url").eqNullSafe(F.col("_url"))
-    ruled = stage(ruled.drop("_n", "_b", "_k", "title", "body"))
+    # A missing reference, source or address is a value like any other: what was published without it is published.  As parts of one
+    # value they are equal to each other, and what is stored is moved once, to be told apart and to be found.
+    triple = F.struct("ref", "source_id", "url")
+    done = stored.select(triple.alias("_triple")).distinct().withColumn("_done", F.lit(True))
+    # The notices of a code lie together to meet its process, and there meet the first that founds it, which a notice without a code has not.
     at = F.struct(F.col("published").alias("a"), F.col("notice_id").alias("b"))
-    founded = ruled.filter("_employment AND _base").groupBy("stable_id").agg(F.min(at).alias("_f"))
-    first = founded.select("stable_id", F.col("_f.a").alias("_from"), F.col("_f.b").alias("_first"))
-    df = ruled.join(known, "stable_id", "left").join(first, "stable_id", "left").join(done, stored_already, "left")
+    founds = F.col("_employment") & F.col("_base") & F.col("stable_id").isNotNull()
+    placed = ruled.withColumn("_f", F.min(F.when(founds, at)).over(Window.partitionBy("stable_id"))).join(known, "stable_id", "left")
     closes = F.col("_rule").isNotNull() & (~F.coalesce("_pool", F.lit(False)) | L.closes_pools("_rule"))
     exists = F.col("process_id").isNotNull()
-    later = F.col("_first").isNotNull() & (
-        F.struct(F.col("_from").alias("a"), F.col("_first").alias("b")) < F.struct(F.col("published").alias("a"), F.col("notice_id").alias("b"))
-    )
+    later = F.col("_f.b").isNotNull() & (F.col("_f") < at)
     action = C.chain(
         (~F.col("_employment"), "IGNORE"),
         (F.col("_base") & exists, "REFRESH"),
-        (F.col("_base") & (F.col("_first") == F.col("notice_id")), "CREATE"),
+        (F.col("_base") & (F.col("_f.b") == F.col("notice_id")), "CREATE"),
         (F.col("_base"), "REFRESH"),
         ((exists | later) & closes, "CLOSE"),
         (exists | later, "LINK"),
         default="ORPHAN",
     )
-    out = df.withColumn("action", action)
-    return out.select(
-        "notice_id", "stable_id", "process_id", "action",
-        (~F.col("action").isin("IGNORE", "ORPHAN") & F.col("_done").isNull()).alias("publish"),
-        F.when(F.col("_base"), "CONVOCATORIA").otherwise("BOP").alias("kind"),
+    kind = F.when(F.col("_base"), "CONVOCATORIA").otherwise("BOP").alias("kind")
+    acted = placed.select("notice_id", "stable_id", "process_id", action.alias("action"), kind, triple.alias("_triple"))
+    return acted.join(done, "_triple", "left").select(
+        "notice_id", "stable_id", "process_id", "action", (~F.col("action").isin("IGNORE", "ORPHAN") & F.col("_done").isNull()).alias("publish"), "kind"
     )
 
 

@@ -62,22 +62,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
+# Spark removes the shuffle files of an execution as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a result that several later steps read to the shared folder, and go on from the table.
 
     The lineage ends there, so a lost executor repeats nothing before it, and readers still prune columns
-    and push filters into the scan, which a checkpointed plan cannot.
+    and push filters into the scan, which a checkpointed plan cannot.  Nothing reads the shuffle files of the writing again; they go
+    with it instead of when the driver happens to collect its garbage.
     """
-    folder = os.path.join(checkpoint_dir(df.sparkSession), f"stage-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = os.path.join(checkpoint_dir(spark), f"stage-{uuid.uuid4().hex}")
+    writer = df.write.mode("errorifexists")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.option("compression", codec) if codec else writer).parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+# Distinct texts that are sent to every executor, in bytes; more of them are left to Spark, which moves the rows.
+TEXT_BYTES = 16 << 20
 
 
 def once(df: DataFrame, names: list[str], *rules: dict[str, Column]) -> DataFrame:
     """``df`` with the columns that ``rules`` make of the texts ``names``, each group of rules from the columns of those before it.
 
-    Rules run once for every distinct text, however many rows have it.  What they say is written, so that its size is known: Spark
-    broadcasts it where the texts are few.
+    Rules run once for every distinct text, however many rows have it.  What they say is written, so that its size is known: where the
+    texts are few they are sent to the rows, whatever Spark's own limit is, as rows that are moved by their text take it along.
     """
     texts = df.select(*names).distinct()
     for group in rules:
@@ -85,4 +101,5 @@ def once(df: DataFrame, names: list[str], *rules: dict[str, Column]) -> DataFram
     keys = [f"_text_{i}" for i in range(len(names))]
     made = stage(texts.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[c for group in rules for c in group]))
     equal = reduce(and_, [F.col(n).eqNullSafe(F.col(k)) for n, k in zip(names, keys, strict=True)])
-    return df.join(made, equal, "left").drop(*keys)
+    held = made.agg(F.sum(sum((F.coalesce(F.octet_length(k), F.lit(0)) for k in keys), F.lit(100)))).first()[0] or 0
+    return df.join(F.broadcast(made) if held <= TEXT_BYTES else made, equal, "left").drop(*keys)

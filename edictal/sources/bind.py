@@ -125,22 +125,33 @@ def sources(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
+def _key(cents: Column) -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents)
+
+
+def lines(spark: SparkSession, path: str, distinct: bool = False, by: str = "l_orderkey", **codes: Column) -> DataFrame:
     """The rows of M4 before their texts are composed; ``distinct`` keeps one row of every notice_id.
 
-    Those of an order are brought together in their narrow form, so a join by order that follows moves them no second time.
+    Those are brought together in their narrow form by their order, by one of the ``codes`` made of it, or by notice_id: a step that
+    needs the rows of that column together moves them no second time.
     """
-    part, supp, order, line = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
-    key = F.concat_ws("-", order, line, part, supp, F.round(F.col("l_extendedprice") * 100).cast("long"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     rows = load(spark, path, "lineitem")
     if not distinct:
-        return rows.withColumn("notice_id", key)
-    return rows.repartition("l_orderkey").withColumn("notice_id", key).dropDuplicates(["l_orderkey", "notice_id"])
+        return rows.withColumn("notice_id", _key(cents))
+    narrow = rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("l_quantity"),
+        F.to_date("l_shipdate").alias("l_shipdate"), cents.alias("_cents"),
+    )
+    # Dealt by what the texts will be, which are made of the numbers where they arrive.
+    made = {**codes, "notice_id": _key(F.col("_cents"))}
+    dealt = narrow.repartition(made.get(by, F.col(by))).withColumns(made).drop("_cents")
+    return dealt.dropDuplicates([*codes, "l_orderkey", "notice_id"])
 
 
-def notices(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
+def notices(spark: SparkSession, path: str, distinct: bool = False, by: str = "l_orderkey", **codes: Column) -> DataFrame:
     """M4 over lineitem: one publication per row, with a natural key that repeats."""
-    return composed(lines(spark, path, distinct))
+    return composed(lines(spark, path, distinct, by, **codes), *codes)
 
 
 def composed(rows: DataFrame, *more: str) -> DataFrame:

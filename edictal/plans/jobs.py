@@ -39,18 +39,17 @@ def import_calls(
     already keeps its process, the smallest one where a document was stored for several.
     """
     yes = lambda c: F.coalesce(c, F.lit(False))
-    # Five lookups read the calls: they are written once with what the text rules say of them, without the texts.  Scope is the last
+    # Four lookups read the calls: they are written once with what the text rules say of them, without the texts.  Scope is the last
     # reason, so it is read only where no earlier one that the call itself states holds.
     act = yes(F.col("document_type").isin("RECTIFICACION", "ANULACION"))
     df = calls.withColumns({"_act": act, "_near": yes(F.col("province").isin(*provinces)), "_internal": C.has(T.fold("shift"), ("promocion interna",))})
     df = df.withColumn("_nj", T.fold(F.coalesce("job", F.lit("")))).withColumn("_nt", F.when(F.col("_near") & ~F.col("_act") & ~yes(F.col("_internal")), T.fold(F.concat_ws(" ", "job", "text"))))
     scope = F.when(F.col("_nt").isNotNull(), C.scope("_nt", "_nj"))
-    df = stage(df.select("call_id", "document_id", "entity", "province", "places", "base_date", F.when(F.col("_act"), F.col("cited")).alias("cited"), "_act", "_near", "_internal", C.family("_nj").alias("family"), scope.alias("_scope")))
+    df = stage(df.select("call_id", "document_id", "entity", "province", "places", "base_date", F.when(F.col("_act"), F.col("cited")).alias("cited"), "_act", "_near", "_internal", C.family("_nj").alias("family"), scope.alias("_scope")), "zstd")
 
     # What is asked of few distinct entities and days is written, so that its size is known before the calls are dealt.
     events = M.match_document_event(df.filter("_act").select("entity", "province", "cited").distinct(), resolutions)
     cited = stage(events.select(F.struct("entity", "province", "cited").alias("_asked"), F.col("match_id").alias("_event")))
-    df = df.withColumn("_asked", F.when(F.col("_act"), F.struct("entity", "province", "cited"))).join(cited, "_asked", "left").drop("_asked", "cited")
 
     owners = stage(M.unique_match_any(
         df.select("entity", "province").distinct().withColumns(
@@ -59,7 +58,16 @@ def import_calls(
         agencies.select("agency_id", T.fold("province").alias("_p"), F.array(T.fold("agency_name")).alias("_alias")),
         ["_p"], "_alias", "_id", "agency_id",
     ).select("entity", "province", F.col("match_id").alias("agency_id")))
-    df = df.join(owners, ["entity", "province"], "left").drop("entity", "province")
+    df = df.join(owners, ["entity", "province"], "left")
+
+    # Calls from elsewhere, corrections and annulments are decided by what they state and cite; the others alone are moved to be looked up.
+    identified = F.col("_near") & F.col("_event").isNotNull()
+    told = df.filter("NOT _near OR _act").withColumn("_asked", F.when(F.col("_act"), F.struct("entity", "province", "cited"))).join(cited, "_asked", "left").select(
+        "call_id", "document_id",
+        C.chain((~F.col("_near"), "FUERA_ALCANCE"), (identified, "EVENTO_DOCUMENTAL_IDENTIFICADO"), default="EVENTO_DOCUMENTAL_REVISION").alias("decision"),
+        F.when(identified, F.col("_event")).alias("process_id"), "agency_id",
+    )
+    df = df.filter("_near AND NOT _act").drop("entity", "province", "cited", "_near", "_act")
 
     base = processes.filter(F.col("scope") == "SI").select(
         "agency_id", F.col("call_date").alias("base_date"), C.family(T.fold("name")).alias("family"), "places", "process_id"
@@ -75,9 +83,6 @@ def import_calls(
     df = df.join(known, F.concat(F.lit("BOELOCAL:"), "call_id") == F.col("_stable"), "left")
 
     decision = C.chain(
-        (~F.col("_near"), "FUERA_ALCANCE"),
-        (F.col("_act") & F.col("_event").isNotNull(), "EVENTO_DOCUMENTAL_IDENTIFICADO"),
-        (F.col("_act"), "EVENTO_DOCUMENTAL_REVISION"),
         (yes(F.col("_absorbed")), "ABSORBIDA_BOP_REVISION"),
         (F.col("_internal"), "EXCLUIDA_TURNO_INTERNO"),
         (yes(F.col("_stored")), "EXISTENTE_PUBLICACION"),
@@ -88,10 +93,10 @@ def import_calls(
         default="NUEVA",
     )
     out = df.withColumn("decision", decision)
-    target = F.when(F.col("decision") == "EVENTO_DOCUMENTAL_IDENTIFICADO", F.col("_event")).when(
-        F.col("decision") == "EXISTENTE_BOE", F.col("_known")
-    ).when(F.col("decision") == "VINCULADA_BOP", F.col("_base")).when(F.col("decision") == "EXISTENTE_PUBLICACION", F.col("_kept"))
-    return out.select("call_id", "document_id", "decision", target.alias("process_id"), "agency_id")
+    target = F.when(F.col("decision") == "EXISTENTE_BOE", F.col("_known")).when(F.col("decision") == "VINCULADA_BOP", F.col("_base")).when(
+        F.col("decision") == "EXISTENTE_PUBLICACION", F.col("_kept")
+    )
+    return told.unionByName(out.select("call_id", "document_id", "decision", target.alias("process_id"), "agency_id"))
 
 
 # What the rules say of a notice.
@@ -343,7 +348,8 @@ def cycle_ledger(steps: dict[str, DataFrame], as_of: Column) -> DataFrame:
 
 def review_cycle(calls: DataFrame, notices: DataFrame, processes: DataFrame, agencies: DataFrame, resolutions: DataFrame, stored: DataFrame, provinces=PROVINCES) -> DataFrame:
     """Q18: extraordinary review in plan mode: bulletins first, then the state gazette, counted per decision."""
-    bulletins = A.counts(import_notices(notices, processes, stored).withColumn("decision", F.col("action")), "decision").withColumn("source", F.lit("BOP"))
+    # Either half is counted and written by itself, so that what the first one moved is gone when the second begins.
+    bulletins = stage(A.counts(import_notices(notices, processes, stored).withColumn("decision", F.col("action")), "decision").withColumn("source", F.lit("BOP")))
     none = stored.select(F.lit("").alias("document_id"), F.lit(None).cast("long").alias("process_id")).limit(0)
-    gazette = A.counts(import_calls(calls, processes, agencies, resolutions, none, none, provinces), "decision").withColumn("source", F.lit("BOE"))
+    gazette = stage(A.counts(import_calls(calls, processes, agencies, resolutions, none, none, provinces), "decision").withColumn("source", F.lit("BOE")))
     return bulletins.unionByName(gazette).select("source", "decision", "n")

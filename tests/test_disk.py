@@ -136,3 +136,54 @@ def test_layouts_hold_the_same_notices(spark, tables):
     coded = notices(spark, tables, True, by="c", c=F.concat(F.lit("x"), "l_orderkey"))
     assert len(rows[0]) == 120 and rows[0] == rows[1] == sorted(map(str, coded.drop("c").collect()))
     assert all(r.c == f"x{r.process_id}" for r in coded.collect()) and Path(tables, "lineitem.parquet").exists()
+
+
+def test_settled_calls_are_not_moved(shuffling, monkeypatch):
+    """Calls from elsewhere and those that correct others meet no lookup of calls; each call is decided by the first reason that holds."""
+    base = dt.date(2024, 1, 1)
+    kind = lambda i: ("ANULACION", "RECTIFICACION", None, "CONVOCATORIA")[i % 4]
+    place = lambda i: ("Alicante", "Madrid", None)[i // 4 % 3]
+    calls = shuffling.createDataFrame(
+        [(f"c{i}", f"D{i}", kind(i), "Ayuntamiento de Xàbia", place(i), "Administrativo", None, "Promoción interna" if i % 16 == 2 else "Libre", base, base, "x") for i in range(240)],
+        "call_id string, document_id string, document_type string, entity string, province string, job string, places int, shift string, base_date date, cited date, text string",
+    )
+    processes = shuffling.createDataFrame([(70, "BOELOCAL:c15", 1, "x", None, None, "SI"), (71, "BOELOCAL:c0", 2, "Administrativo", base, None, "SI")], "process_id long, stable_id string, agency_id long, name string, call_date date, places int, scope string")
+    agencies = shuffling.createDataFrame([(1, "Ayuntamiento de Xàbia", "Alicante"), (2, "Ayuntamiento de Xàbia", "Madrid")], "agency_id long, agency_name string, province string")
+    resolutions = shuffling.createDataFrame([(9, "Ayuntamiento de Xàbia", "Alicante", base), (9, "Ayuntamiento de Xàbia", "Madrid", base)], "process_id long, agency_name string, province string, resolved date")
+    stored = shuffling.createDataFrame([("D0", 5), ("D3", 6), ("D4", 7)], "document_id string, process_id long")
+    absorbed = shuffling.createDataFrame([("D14",), ("D1",), ("D5",)], "document_id string")
+    out = J.import_calls(calls, processes, agencies, resolutions, stored, absorbed)
+    got = {r.call_id: (r.document_id, r.decision, r.process_id, r.agency_id) for r in out.collect()}
+
+    def expected(i: int):
+        agency = {"Alicante": 1, "Madrid": 2}.get(place(i))
+        if place(i) != "Alicante":
+            return f"D{i}", "FUERA_ALCANCE", None, agency
+        if kind(i) in ("ANULACION", "RECTIFICACION"):
+            return f"D{i}", "EVENTO_DOCUMENTAL_IDENTIFICADO", 9, agency
+        if i == 14:
+            return f"D{i}", "ABSORBIDA_BOP_REVISION", None, agency
+        if i % 16 == 2:
+            return f"D{i}", "EXCLUIDA_TURNO_INTERNO", None, agency
+        if i == 3:
+            return f"D{i}", "EXISTENTE_PUBLICACION", 6, agency
+        return f"D{i}", *(("EXISTENTE_BOE", 70) if i == 15 else ("NUEVA", None)), agency
+
+    assert got == {f"c{i}": expected(i) for i in range(240)}
+    # Forty of them are looked up under document, code and date; the small tables are joined without moving calls.
+    shuffling.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    far = J.import_calls(calls, processes.repartition(3), agencies, resolutions, stored, absorbed)
+    assert max(moved(far), default=0) <= 40
+
+
+def test_halves_of_a_review_are_counted_apart(spark, tables):
+    out = Q.review_cycle(spark, tables)
+    counts = {(r.source, r.decision): r.n for r in out.collect()}
+    assert moved(out) == [] and out.columns == ["source", "decision", "n"]
+    n, p = Q.bulletin(spark, tables)
+    known = Q.stable(spark, tables).withColumn("stable_id", F.coalesce("stable_id", F.concat(F.lit("D:"), "process_id")))
+    actions = J.import_notices(n, known, n.limit(0)).groupBy("action").count().collect()
+    assert {k[1]: v for k, v in counts.items() if k[0] == "BOP"} == {r["action"]: r["count"] for r in actions}
+    assert sum(v for k, v in counts.items() if k[0] == "BOE") == sum(v for k, v in counts.items() if k[0] == "BOP") == 120
+    # Two of five customers, and so 12 of 30 processes with four notices each, are not of the provinces.
+    assert counts["BOE", "FUERA_ALCANCE"] == 48
